@@ -11,13 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.operators import aggregates as agg
-from tallyspark.operators import filters
+from tallyspark.operators import filters, forecast, goals
 from tallyspark.plans import oracle_sql as sql
 from tallyspark.sources import tables
 
 # Fixed parameters of the registered queries.
 SEARCH_PATTERN = "high|99"
 TOP_K = 5
+HORIZON = 3
+AS_OF = "2026-07-01"
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +79,33 @@ register("lineitem_kpi_summary", lambda s, d: agg.kpi_summary(_lineitem(s, d)),
 register("events_category_share", lambda s, d: agg.category_share(_events(s, d)),
          sql.category_share(sql.EVENTS_LEDGER))
 
+# --- forecast ---------------------------------------------------------------
+register("fit_trend", lambda s, d: forecast.fit_trend(_orders(s, d)), sql.fit_trend(sql.ORDERS_LEDGER))
+register("forecast_horizon", lambda s, d: forecast.forecast_horizon(_orders(s, d), HORIZON),
+         sql.forecast_horizon(sql.ORDERS_LEDGER, HORIZON))
+register("forecast", lambda s, d: forecast.forecast(_orders(s, d), HORIZON),
+         sql.forecast(sql.ORDERS_LEDGER, HORIZON))
+register("projection_split",
+         lambda s, d: filters.projection_split(forecast.forecast(_orders(s, d), HORIZON), True),
+         sql.projection_split(sql.ORDERS_LEDGER, HORIZON))
+register("projection_trend_line",
+         lambda s, d: filters.projection_trend_line(forecast.forecast(_orders(s, d), HORIZON)),
+         sql.projection_trend_line(sql.ORDERS_LEDGER, HORIZON))
+register("forecast_fallback", lambda s, d: forecast.forecast(_events(s, d), HORIZON),
+         sql.forecast(sql.EVENTS_LEDGER, HORIZON))
+register("lineitem_forecast", lambda s, d: forecast.forecast(_lineitem(s, d), 12),
+         sql.forecast(sql.LINEITEM_LEDGER, 12))
+
+# --- savings goals (one goal per customer) ----------------------------------
+register("savings_goal",
+         lambda s, d: goals.savings_goal(tables.goals_table(tables.read_table(s, d, "customer")),
+                                         _orders(s, d), AS_OF),
+         sql.savings_goal(sql.ORDERS_LEDGER, AS_OF))
+register("goal_validation",
+         lambda s, d: goals.goal_validation(tables.goals_table(tables.read_table(s, d, "customer")),
+                                            _orders(s, d)),
+         sql.goal_validation(sql.ORDERS_LEDGER))
+
 
 def queries() -> dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in _REGISTRY.items()}

@@ -165,3 +165,126 @@ def search_transactions(ledger: str, pattern: str) -> str:
 SELECT * FROM ledger
 WHERE regexp_matches(Description, '{q}', 'i') OR regexp_matches(Category, '{q}', 'i')
    OR regexp_matches(CAST(Amount AS VARCHAR), '{q}')"""
+
+
+# --- forecast -------------------------------------------------------------
+
+def hud(num: str, den: str) -> str:
+    """round(num / den) half away from zero on integers; null unless den > 0."""
+    return (f"(CASE WHEN NOT ({den} > 0) THEN NULL WHEN ({num}) >= 0 "
+            f"THEN (2 * ({num}) + {den}) // (2 * {den}) "
+            f"ELSE -((2 * (-({num})) + {den}) // (2 * {den})) END)")
+
+
+DAYNUM = "CAST(date_diff('day', DATE '1970-01-01', {d}) AS HUGEINT)"
+
+
+def _trend_ctes(ledger: str) -> str:
+    x = DAYNUM.format(d="MonthDate")
+    return f"""WITH {ledger},
+m AS (SELECT account_id, CAST(date_trunc('month', "Date") AS DATE) AS MonthDate,
+             CAST(round({CREDIT_SUM}, 2) * 100 AS HUGEINT) AS inc_c,
+             CAST(round({DEBIT_SUM}, 2) * 100 AS HUGEINT) AS exp_c
+      FROM ledger WHERE "Date" IS NOT NULL GROUP BY ALL),
+mx AS (SELECT *, {x} AS x FROM m),
+s AS (SELECT account_id, CAST(count(*) AS HUGEINT) AS n, sum(x) AS sx, sum(x * x) AS sxx,
+             sum(inc_c) AS sy_inc, sum(x * inc_c) AS sxy_inc,
+             sum(exp_c) AS sy_exp, sum(x * exp_c) AS sxy_exp,
+             max(MonthDate) AS last_month, arg_max(inc_c, MonthDate) AS last_inc_c,
+             arg_max(exp_c, MonthDate) AS last_exp_c
+      FROM mx GROUP BY account_id),
+sd AS (SELECT *, n * sxx - sx * sx AS D, n * sxy_inc - sx * sy_inc AS N_inc,
+              n * sxy_exp - sx * sy_exp AS N_exp FROM s)"""
+
+
+def fit_trend(ledger: str) -> str:
+    return _trend_ctes(ledger) + f"""
+SELECT account_id, CAST(n AS BIGINT) AS n_months, last_month,
+       CASE WHEN D > 0 THEN CAST({hud('N_inc * 10000', 'D')} AS DOUBLE) / 1e6 END AS income_slope_per_day,
+       CASE WHEN D > 0 THEN CAST({hud('N_exp * 10000', 'D')} AS DOUBLE) / 1e6 END AS expenses_slope_per_day
+FROM sd"""
+
+
+def _projection_ctes(ledger: str, h: int) -> str:
+    xf = DAYNUM.format(d="MonthDate")
+    return _trend_ctes(ledger) + f""",
+p AS (SELECT sd.*, t.step, CAST(last_month + to_months(CAST(t.step AS INTEGER)) AS DATE) AS MonthDate
+      FROM sd CROSS JOIN (SELECT range AS step FROM range(1, {h + 1})) t),
+q AS (SELECT *, n * D AS Q, sy_inc * D + N_inc * (n * {xf} - sx) AS P_inc,
+             sy_exp * D + N_exp * (n * {xf} - sx) AS P_exp FROM p),
+f AS (SELECT account_id, step, MonthDate,
+             CASE WHEN n >= 2 THEN greatest(0, {hud('P_inc', 'Q')}) ELSE last_inc_c END AS inc_c,
+             CASE WHEN n >= 2 THEN greatest(0, {hud('P_exp', 'Q')})
+                  ELSE {hud('last_exp_c * (1000 - 15 * step)', '1000')} END AS exp_c
+      FROM q),
+proj AS (SELECT account_id, MonthDate, CAST(inc_c AS DOUBLE) / 100.0 AS Income,
+                CAST(exp_c AS DOUBLE) / 100.0 AS Expenses,
+                CAST(inc_c - exp_c AS DOUBLE) / 100.0 AS Savings, true AS IsProjected FROM f),
+hist AS (SELECT account_id, MonthDate, CAST(inc_c AS DOUBLE) / 100.0 AS Income,
+                CAST(exp_c AS DOUBLE) / 100.0 AS Expenses,
+                CAST(inc_c - exp_c AS DOUBLE) / 100.0 AS Savings, false AS IsProjected FROM m),
+fc AS (SELECT * FROM hist UNION ALL SELECT * FROM proj)"""
+
+
+def forecast(ledger: str, h: int) -> str:
+    return _projection_ctes(ledger, h) + "\nSELECT * FROM fc"
+
+
+def projection_split(ledger: str, h: int) -> str:
+    return _projection_ctes(ledger, h) + "\nSELECT * FROM fc WHERE IsProjected"
+
+
+def projection_trend_line(ledger: str, h: int) -> str:
+    return _projection_ctes(ledger, h) + """
+SELECT account_id, MonthDate, Income, Expenses, Savings, IsProjected FROM (
+  SELECT *, max(CASE WHEN NOT IsProjected THEN MonthDate END) OVER (PARTITION BY account_id) AS lh FROM fc)
+WHERE IsProjected OR MonthDate = lh"""
+
+
+def forecast_horizon(ledger: str, h: int) -> str:
+    return f"""WITH {ledger},
+l AS (SELECT account_id, CAST(date_trunc('month', max("Date")) AS DATE) AS last_month
+      FROM ledger WHERE "Date" IS NOT NULL GROUP BY account_id)
+SELECT account_id, CAST(t.step AS INTEGER) AS step,
+       CAST(last_month + to_months(CAST(t.step AS INTEGER)) AS DATE) AS MonthDate
+FROM l CROSS JOIN (SELECT range AS step FROM range(1, {h + 1})) t"""
+
+
+# --- goals ------------------------------------------------------------------
+
+GOALS = """goals AS (
+  SELECT c_custkey AS account_id, 'Emergency Fund' AS goal_name, CAST(5000.0 AS DOUBLE) AS target_amount,
+         c_acctbal AS current_savings, CAST(NULL AS DOUBLE) AS monthly_contribution FROM customer)"""
+
+
+def _goal_ctes(ledger: str) -> str:
+    return f"""WITH {ledger}, {GOALS},
+s AS (SELECT account_id, {CREDIT_SUM} AS inc, {DEBIT_SUM} AS exp,
+             count(DISTINCT date_trunc('month', "Date")) AS n_months FROM ledger GROUP BY account_id),
+dc AS (SELECT account_id, CASE WHEN n_months > 0 THEN greatest(100.0, {cents('inc - exp')} / n_months)
+                          ELSE 500.0 END AS dflt FROM s),
+j AS (SELECT g.*, coalesce(g.monthly_contribution, dc.dflt, 500.0) AS eff FROM goals g
+      LEFT JOIN dc ON g.account_id = dc.account_id),
+r AS (SELECT *, CASE WHEN target_amount IS NULL OR target_amount < 100 THEN 'target_amount below 100'
+                     WHEN current_savings IS NULL OR current_savings < 0 THEN 'current_savings below 0'
+                     WHEN eff < 10 THEN 'monthly_contribution below 10' END AS reject_reason FROM j)"""
+
+
+def goal_validation(ledger: str) -> str:
+    return _goal_ctes(ledger) + """
+SELECT account_id, goal_name, target_amount, current_savings, monthly_contribution,
+       eff AS effective_monthly_contribution, reject_reason FROM r WHERE reject_reason IS NOT NULL"""
+
+
+def savings_goal(ledger: str, as_of: str) -> str:
+    return _goal_ctes(ledger) + f""",
+v AS (SELECT account_id, goal_name, target_amount, current_savings, eff AS monthly_contribution,
+             target_amount - current_savings AS remaining,
+             (target_amount - current_savings) <= 0 AS achieved,
+             CASE WHEN NOT ((target_amount - current_savings) <= 0)
+                  THEN (target_amount - current_savings) / eff END AS months_required
+      FROM r WHERE reject_reason IS NULL),
+w AS (SELECT *, CAST(DATE '{as_of}' + to_months(CAST(ceil(months_required) AS INTEGER)) AS DATE) AS target_date
+      FROM v)
+SELECT *, format('{{:.1f}}', months_required) AS months_required_text,
+       strftime(target_date, '%B %Y') AS target_month FROM w"""
