@@ -23,7 +23,7 @@ def parse_date_as(raw, fmt: str) -> Column:
     s = F.trim(_col(raw))
     if fmt == "iso":
         return s.try_cast("timestamp_ntz")
-    return F.try_to_date(s, F.lit(fmt)).cast("timestamp_ntz")
+    return F.try_to_date(s, fmt).cast("timestamp_ntz")
 
 
 def month_start(c) -> Column:

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.operators import aggregates as agg
-from tallyspark.operators import filters, forecast, goals
+from tallyspark.functions.categorize import DEFAULT_RULES, categorize
+from tallyspark.functions.money import classify_type
+from tallyspark.operators import filters, forecast, goals, normalize
 from tallyspark.plans import oracle_sql as sql
 from tallyspark.sources import tables
 
@@ -106,6 +108,25 @@ register("goal_validation",
                                             _orders(s, d)),
          sql.goal_validation(sql.ORDERS_LEDGER))
 
+# --- statement ingest over the raw statement text built from orders --------
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.raw_statement(tables.read_table(spark, sf_dir, "orders"))
+
+
+register("parse_statement", lambda s, d: normalize.standardize_statement(_raw(s, d)),
+         sql.parse_statement())
+register("rejected_rows", lambda s, d: normalize.statement_rejects(_raw(s, d)), sql.rejected_rows())
+register("parse_dates", lambda s, d: normalize.parsed_dates(_raw(s, d)), sql.parse_dates())
+register("fill_category", lambda s, d: normalize.filled_categories(_raw(s, d)), sql.fill_category())
+register("clean_amounts", lambda s, d: normalize.cleaned_amounts(_raw(s, d)), sql.clean_amounts())
+register("classify_type",
+         lambda s, d: _orders(s, d).select("txn_id", "Amount", classify_type("Amount").alias("Type")),
+         sql.classify_type(sql.ORDERS_LEDGER))
+register("categorize_keywords",
+         lambda s, d: tables.read_table(s, d, "documents").select(
+             "doc_id", categorize("text").alias("Category")),
+         sql.categorize_keywords(DEFAULT_RULES))
+
 
 def queries() -> dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in _REGISTRY.items()}

@@ -288,3 +288,103 @@ w AS (SELECT *, CAST(DATE '{as_of}' + to_months(CAST(ceil(months_required) AS IN
       FROM v)
 SELECT *, format('{{:.1f}}', months_required) AS months_required_text,
        strftime(target_date, '%B %Y') AS target_month FROM w"""
+
+
+# --- statement ingest -------------------------------------------------------
+
+RAW_STATEMENT = """raw AS (
+  SELECT 'statement_' || CAST(o_custkey AS VARCHAR) || '.csv' AS source_file, o_orderkey AS line_no,
+         o_custkey AS account_id,
+         CASE (CASE WHEN o_custkey % 97 = 5 AND o_orderstatus = 'P' THEN 0 ELSE o_custkey % 4 END)
+              WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%m/%d/%Y')
+              WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%b %-d, %Y') END AS raw_date,
+         'Payment ' || CAST(o_orderkey AS VARCHAR) AS raw_desc,
+         CASE o_orderkey % 5
+              WHEN 0 THEN '$' || format('{:,.2f}', CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END)
+              WHEN 1 THEN '€' || format('{:,.2f}', CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END)
+              WHEN 2 THEN (CASE WHEN o_orderstatus = 'F' THEN '£' ELSE '-£' END) || format('{:,.2f}', o_totalprice)
+              WHEN 3 THEN '(' || format('{:,.2f}', o_totalprice) || ')'
+              ELSE 'n/a' END AS raw_amount,
+         CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'N/A' ELSE o_orderpriority END AS raw_cat
+  FROM orders)"""
+
+MISSING = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', "
+           "'<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'")
+
+FORMATS_SQL = [("iso", "try_cast(trim(d) AS TIMESTAMP)"),
+               ("M/d/yyyy", "try_strptime(trim(d), '%m/%d/%Y')"),
+               ("d/M/yyyy", "try_strptime(trim(d), '%d/%m/%Y')"),
+               ("MMM d, yyyy", "try_strptime(trim(d), '%b %d, %Y')"),
+               ("yyyyMMdd", "try_strptime(trim(d), '%Y%m%d')")]
+
+NUMERIC = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def _statement_ctes() -> str:
+    parsed = ", ".join(f"{e} AS p{i}" for i, (_, e) in enumerate(FORMATS_SQL))
+    fails = " ".join(f"WHEN sum(CASE WHEN d IS NOT NULL AND p{i} IS NULL THEN 1 ELSE 0 END) = 0 THEN {i}"
+                     for i in range(len(FORMATS_SQL)))
+    date = " ".join(f"WHEN {i} THEN p{i}" for i in range(len(FORMATS_SQL)))
+    label = " ".join(f"WHEN {i} THEN '{f}'" for i, (f, _) in enumerate(FORMATS_SQL))
+    return f"""WITH {RAW_STATEMENT},
+nt AS (SELECT *, CASE WHEN raw_date IN ({MISSING}) THEN NULL ELSE raw_date END AS d,
+              CASE WHEN raw_desc IN ({MISSING}) THEN NULL ELSE raw_desc END AS ds,
+              regexp_replace(CASE WHEN raw_amount IN ({MISSING}) THEN NULL ELSE raw_amount END,
+                             '[$€£,]', '', 'g') AS a,
+              CASE WHEN raw_cat IN ({MISSING}) THEN NULL ELSE raw_cat END AS c FROM raw),
+p AS (SELECT *, {parsed} FROM nt),
+e AS (SELECT source_file, CASE {fails} END AS fmt_idx FROM p GROUP BY source_file),
+n AS (SELECT p.*, e.fmt_idx,
+             coalesce(CASE WHEN regexp_matches(a, '{NUMERIC}') THEN try_cast(a AS DOUBLE) END, 0.0) AS amt
+      FROM p LEFT JOIN e ON p.source_file = e.source_file),
+st AS (SELECT account_id, line_no AS txn_id, CASE fmt_idx {date} END AS "Date",
+              coalesce(ds, '') AS Description, CASE WHEN isfinite(amt) THEN amt ELSE 0.0 END AS Amount,
+              coalesce(c, 'Uncategorized') AS Category, source_file, raw_date, raw_amount, raw_cat,
+              CASE fmt_idx {label} END AS date_format,
+              CASE WHEN fmt_idx IS NULL THEN 'no single date format fits the file'
+                   WHEN abs(CASE WHEN isfinite(amt) THEN amt ELSE 0.0 END) >= 1e14 THEN 'amount out of range'
+              END AS reject_reason
+       FROM n),
+stt AS (SELECT *, CASE WHEN Amount >= 0 THEN 'Credit' ELSE 'Debit' END AS Type FROM st)"""
+
+
+def parse_statement() -> str:
+    return _statement_ctes() + """
+SELECT account_id, txn_id, "Date", Description, Amount, Category, Type, source_file
+FROM stt WHERE reject_reason IS NULL"""
+
+
+def rejected_rows() -> str:
+    return _statement_ctes() + """
+SELECT account_id, txn_id, source_file, raw_date, raw_amount, reject_reason
+FROM stt WHERE reject_reason IS NOT NULL"""
+
+
+def parse_dates() -> str:
+    return _statement_ctes() + """
+SELECT account_id, txn_id, source_file, raw_date, date_format, "Date" FROM stt"""
+
+
+def fill_category() -> str:
+    return _statement_ctes() + "\nSELECT account_id, txn_id, raw_cat, Category FROM stt"
+
+
+def clean_amounts() -> str:
+    return _statement_ctes() + "\nSELECT txn_id, raw_amount, Amount, Type FROM stt"
+
+
+def classify_type(ledger: str) -> str:
+    return f"WITH {ledger}\nSELECT txn_id, Amount, CASE WHEN Amount >= 0 THEN 'Credit' ELSE 'Debit' END AS Type FROM ledger"
+
+
+def categorize_sql(text: str, rules, other: str = "Other") -> str:
+    """CASE over ordered keyword rules: substring of the lower-cased text."""
+    arms = []
+    for cat, kws in rules:
+        cond = " OR ".join(f"contains(lower(coalesce({text}, '')), '{k.lower()}')" for k in kws)
+        arms.append(f"WHEN {cond} THEN '{cat}'")
+    return "CASE " + " ".join(arms) + f" ELSE '{other}' END"
+
+
+def categorize_keywords(rules) -> str:
+    return f"SELECT doc_id, {categorize_sql('text', rules)} AS Category FROM documents"

@@ -104,6 +104,7 @@ def raw_statement(orders: DataFrame) -> DataFrame:
     return orders.select(
         F.concat(F.lit("statement_"), ck.cast("string"), F.lit(".csv")).alias("source_file"),
         ok.alias("line_no"),
+        ck.alias(ACCOUNT),
         date_text.alias(RAW_HEADERS[0]),
         F.concat(F.lit("Payment "), ok.cast("string")).alias(RAW_HEADERS[1]),
         amount_text.alias(RAW_HEADERS[2]),
