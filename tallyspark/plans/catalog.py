@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyspark.operators import aggregates as agg
 from tallyspark.functions.categorize import DEFAULT_RULES, categorize
 from tallyspark.functions.money import classify_type
-from tallyspark.operators import filters, forecast, goals, normalize
+from tallyspark.operators import context, filters, forecast, goals, normalize
 from tallyspark.plans import oracle_sql as sql
 from tallyspark.sources import tables
 
@@ -127,6 +127,37 @@ register("categorize_keywords",
              "doc_id", categorize("text").alias("Category")),
          sql.categorize_keywords(DEFAULT_RULES))
 
+# --- context, prompts, display and report tables ----------------------------
+register("top_transaction_lines", lambda s, d: context.top_transaction_lines(_orders(s, d), TOP_K),
+         sql.top_transaction_lines(sql.ORDERS_LEDGER, TOP_K))
+register("category_json",
+         lambda s, d: context.category_lists(_orders(s, d)).select(
+             "account_id", "category_json", "category_json_indented"),
+         sql.category_json(sql.ORDERS_LEDGER))
+register("financial_context",
+         lambda s, d: context.financial_context(_orders(s, d), TOP_K).select(
+             "account_id", "total_income", "total_expenses", "net_savings", "savings_rate_pct",
+             "category_json", "context_json"),
+         sql.financial_context(sql.ORDERS_LEDGER, TOP_K))
+register("review_prompt", lambda s, d: context.review_prompt(_orders(s, d)),
+         sql.review_prompt(sql.ORDERS_LEDGER,
+                           context.REVIEW_PROMPT.replace("{advisor}", context.DEFAULT_ADVISOR)))
+register("dialog_assembly",
+         lambda s, d: context.dialog_assembly(tables.read_table(s, d, "conversations"), _orders(s, d)),
+         sql.dialog_assembly(sql.ORDERS_LEDGER,
+                             context.CHAT_CONTEXT.replace("{advisor}", context.DEFAULT_ADVISOR),
+                             context.CHAT_OPENING_USER.replace("{advisor}", context.DEFAULT_ADVISOR),
+                             context.CHAT_OPENING_MODEL.replace("{advisor}", context.DEFAULT_ADVISOR)))
+register("text_blocks", lambda s, d: context.text_blocks(tables.read_table(s, d, "documents")),
+         sql.text_blocks())
+register("kpi_display", lambda s, d: context.kpi_display(_orders(s, d)), sql.kpi_display(sql.ORDERS_LEDGER))
+register("transactions_display", lambda s, d: context.transactions_display(_orders(s, d)),
+         sql.transactions_display(sql.ORDERS_LEDGER))
+register("report_kpis", lambda s, d: context.report_kpis(_orders(s, d)),
+         sql.report_kpis(sql.ORDERS_LEDGER, context.REPORT_KPI_LABELS))
+register("report_categories", lambda s, d: context.report_categories(_orders(s, d)),
+         sql.report_categories(sql.ORDERS_LEDGER))
+
 
 def queries() -> dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in _REGISTRY.items()}

@@ -388,3 +388,194 @@ def categorize_sql(text: str, rules, other: str = "Other") -> str:
 
 def categorize_keywords(rules) -> str:
     return f"SELECT doc_id, {categorize_sql('text', rules)} AS Category FROM documents"
+
+
+# --- context, prompts, display and report text -----------------------------
+
+def money_txt(x: str) -> str:
+    return f"('$' || format('{{:,.2f}}', {x}))"
+
+
+def pct_txt(x: str) -> str:
+    return f"(replace(format('{{:,.1f}}', {x}), ',', '') || '%')"
+
+
+def commas_txt(x: str) -> str:
+    return f"regexp_replace(format('{{:,.2f}}', {x}), '(\\.\\d)0$', '\\1')"
+
+
+def jstr(x: str) -> str:
+    return f"CAST(to_json({x}) AS VARCHAR)"
+
+
+def pyrepr(x: str) -> str:
+    esc = (f"replace(replace(replace(replace({x}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), "
+           f"chr(9), '\\t')")
+    return (f"(CASE WHEN contains({x}, '''') AND NOT contains({x}, '\"') THEN '\"' || {esc} || '\"' "
+            f"ELSE '''' || replace({esc}, '''', '\\''') || '''' END)")
+
+
+def _context_ctes(ledger: str, k: int = 5) -> str:
+    line = (f"coalesce(strftime(\"Date\", '%Y-%m-%d'), '') || ' - ' || Description || ': $' || "
+            f"CAST(Amount AS VARCHAR)")
+    obj = f"'{{\"Category\": ' || {jstr('Category')} || ', \"Total Spent\": ' || CAST(Amount AS VARCHAR) || '}}'"
+    obj_i = (f"'  {{' || chr(10) || '    \"Category\": ' || {jstr('Category')} || ',' || chr(10) || "
+             f"'    \"Total Spent\": ' || CAST(Amount AS VARCHAR) || chr(10) || '  }}'")
+    return f"""WITH {ledger},
+s AS (SELECT account_id, {CREDIT_SUM} AS inc, {DEBIT_SUM} AS exp FROM ledger GROUP BY account_id),
+k AS (SELECT account_id, {cents('inc')} AS total_income, {cents('exp')} AS total_expenses,
+             {cents('inc - exp')} AS net_savings FROM s),
+kr AS (SELECT *, CAST(round(CAST({pct('net_savings', 'total_income')} AS DECIMAL(38,10)), 2) AS DOUBLE)
+                 AS savings_rate_pct FROM k),
+c AS (SELECT account_id, Category, {cents('abs(sum(CAST(Amount AS DECIMAL(18,4))))')} AS Amount
+      FROM ledger WHERE Type = 'Debit' GROUP BY ALL),
+cl AS (SELECT account_id, '[' || string_agg({obj}, ', ' ORDER BY Amount DESC, Category) || ']' AS cj,
+              '[' || chr(10) || string_agg({obj_i}, ',' || chr(10) ORDER BY Amount DESC, Category)
+                  || chr(10) || ']' AS cji
+       FROM c GROUP BY account_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY account_id
+                                   ORDER BY abs(Amount) DESC, "Date" DESC NULLS LAST, txn_id) AS rank
+      FROM ledger),
+t AS (SELECT account_id, rank, {line} AS line FROM r WHERE rank <= {k}),
+tl AS (SELECT account_id, '[' || string_agg({jstr('line')}, ', ' ORDER BY rank) || ']' AS tj,
+              string_agg('- ' || line, chr(10) ORDER BY rank) AS tlines,
+              '[' || string_agg({pyrepr('line')}, ', ' ORDER BY rank) || ']' AS trepr
+       FROM t GROUP BY account_id),
+ctx AS (SELECT kr.*, coalesce(cl.cj, '[]') AS category_json, coalesce(cl.cji, '[]') AS category_json_indented,
+               coalesce(tl.tj, '[]') AS top_json, coalesce(tl.tlines, '') AS top_lines,
+               coalesce(tl.trepr, '[]') AS top_repr
+        FROM kr LEFT JOIN cl ON kr.account_id = cl.account_id LEFT JOIN tl ON kr.account_id = tl.account_id)"""
+
+
+def top_transaction_lines(ledger: str, k: int = 5) -> str:
+    line = ("coalesce(strftime(\"Date\", '%Y-%m-%d'), '') || ' - ' || Description || ': $' || "
+            "CAST(Amount AS VARCHAR)")
+    return f"""WITH {ledger},
+r AS (SELECT *, row_number() OVER (PARTITION BY account_id
+                                   ORDER BY abs(Amount) DESC, "Date" DESC NULLS LAST, txn_id) AS rank
+      FROM ledger)
+SELECT account_id, rank, {line} AS line FROM r WHERE rank <= {k}"""
+
+
+def category_json(ledger: str) -> str:
+    return _context_ctes(ledger) + """
+SELECT account_id, cj AS category_json, cji AS category_json_indented FROM cl"""
+
+
+def financial_context(ledger: str, k: int = 5) -> str:
+    cj = ("'{\"total_income\": ' || CAST(total_income AS VARCHAR) || ', \"total_expenses\": ' || "
+          "CAST(total_expenses AS VARCHAR) || ', \"net_savings\": ' || CAST(net_savings AS VARCHAR) || "
+          "', \"savings_rate_pct\": ' || CAST(savings_rate_pct AS VARCHAR) || ', \"category_expenses\": ' || "
+          "category_json || ', \"top_5_largest_transactions\": ' || top_json || '}'")
+    return _context_ctes(ledger, k) + f"""
+SELECT account_id, total_income, total_expenses, net_savings, savings_rate_pct, category_json,
+       {cj} AS context_json FROM ctx"""
+
+
+def _template_sql(template: str, slots: dict[str, str]) -> str:
+    """Template with ``<name>`` slots -> SQL string concatenation."""
+    out, rest = [], template
+    while "<" in rest:
+        i = rest.index("<")
+        j = rest.find(">", i)
+        name = rest[i + 1:j]
+        if j < 0 or name not in slots:
+            out.append(_lit(rest[:i + 1]))
+            rest = rest[i + 1:]
+            continue
+        out.append(_lit(rest[:i]))
+        out.append(f"({slots[name]})")
+        rest = rest[j + 1:]
+    out.append(_lit(rest))
+    return " || ".join(out)
+
+
+def _lit(text: str) -> str:
+    parts = text.split("\n")
+    quoted = ["'" + p.replace("'", "''") + "'" for p in parts]
+    return " || chr(10) || ".join(quoted)
+
+
+def _kpi_slots() -> dict[str, str]:
+    return {"income": commas_txt("total_income"), "expenses": commas_txt("total_expenses"),
+            "net": commas_txt("net_savings"), "rate": "CAST(savings_rate_pct AS VARCHAR)"}
+
+
+def review_prompt(ledger: str, template: str) -> str:
+    slots = _kpi_slots()
+    slots.update({"categories_indented": "category_json_indented", "top_lines": "top_lines"})
+    return _context_ctes(ledger) + f"\nSELECT account_id, {_template_sql(template, slots)} AS prompt FROM ctx"
+
+
+def dialog_assembly(ledger: str, context_template: str, opening_user: str, opening_model: str) -> str:
+    slots = _kpi_slots()
+    slots.update({"categories": "category_json", "top_list": "top_repr"})
+    opening = _template_sql(opening_user, {"context": "coalesce(cx.context, '')"})
+    return _context_ctes(ledger) + f""",
+cx AS (SELECT account_id, {_template_sql(context_template, slots)} AS context FROM ctx),
+cv AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT cv.conv_id, CAST(-2 AS BIGINT) AS position, 'user' AS role, {opening} AS text
+FROM cv LEFT JOIN cx ON cv.conv_id = cx.account_id
+UNION ALL
+SELECT conv_id, CAST(-1 AS BIGINT) AS position, 'model' AS role, {_lit(opening_model)} AS text FROM cv
+UNION ALL
+SELECT conv_id, CAST(turn AS BIGINT) AS position, CASE WHEN role = 'user' THEN 'user' ELSE 'model' END AS role,
+       text FROM conversations"""
+
+
+PYSPACE = (r"[\t\n\x0B\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+           r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
+
+def text_blocks() -> str:
+    strip = f"regexp_replace(raw, '^{PYSPACE}+|{PYSPACE}+$', '', 'g')"
+    return f"""WITH sp AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS raw FROM sp),
+s AS (SELECT doc_id, line_no, {strip} AS s FROM l),
+b AS (SELECT *, regexp_replace(s, '(?s)\\*\\*(.*?)\\*\\*', '<b>\\1</b>', 'g') AS bold,
+             CASE WHEN starts_with(s, '#') THEN 'heading'
+                  WHEN starts_with(s, '-') OR starts_with(s, '*') THEN 'bullet' ELSE 'paragraph' END AS kind
+      FROM s WHERE s <> ''),
+t AS (SELECT doc_id, line_no, kind,
+             CASE kind WHEN 'heading' THEN regexp_replace(regexp_replace(s, '^#+', ''),
+                                                          '^{PYSPACE}+|{PYSPACE}+$', '', 'g')
+                       WHEN 'bullet' THEN regexp_replace(bold, '^[-*]{PYSPACE}*', '')
+                       ELSE bold END AS text FROM b)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, kind, text,
+       CASE kind WHEN 'heading' THEN '<b>' || text || '</b>' WHEN 'bullet' THEN '• ' || text ELSE text END
+         AS markup
+FROM t"""
+
+
+def kpi_display(ledger: str) -> str:
+    return f"""WITH {ledger},
+s AS (SELECT account_id, {CREDIT_SUM} AS inc, {DEBIT_SUM} AS exp FROM ledger GROUP BY account_id),
+k AS (SELECT account_id, {cents('inc')} AS ti, {cents('exp')} AS te, {cents('inc - exp')} AS ns FROM s),
+r AS (SELECT *, {pct('ns', 'ti')} AS rate FROM k)
+SELECT account_id, {money_txt('ti')} AS income_text, {money_txt('te')} AS expenses_text,
+       {money_txt('ns')} AS net_text, {pct_txt('rate')} AS rate_text,
+       CASE WHEN rate >= 20 THEN 'green' ELSE 'blue' END AS rate_band FROM r"""
+
+
+def transactions_display(ledger: str) -> str:
+    return f"""WITH {ledger}
+SELECT *, strftime("Date", '%Y-%m-%d') AS date_text, {money_txt('Amount')} AS amount_text FROM ledger"""
+
+
+def report_kpis(ledger: str, labels: list[str]) -> str:
+    texts = [money_txt("ti"), money_txt("te"), money_txt("ns"), pct_txt(pct("ns", "ti"))]
+    arms = "\nUNION ALL\n".join(
+        f"SELECT account_id, {i + 1} AS position, {_lit(lbl)} AS metric, {t} AS value FROM k"
+        for i, (lbl, t) in enumerate(zip(labels, texts)))
+    return f"""WITH {ledger},
+s AS (SELECT account_id, {CREDIT_SUM} AS inc, {DEBIT_SUM} AS exp FROM ledger GROUP BY account_id),
+k AS (SELECT account_id, {cents('inc')} AS ti, {cents('exp')} AS te, {cents('inc - exp')} AS ns FROM s)
+{arms}"""
+
+
+def report_categories(ledger: str) -> str:
+    return category_share(ledger).replace(
+        "SELECT *, " + pct('Amount', 'total_expenses') + " AS share_pct FROM t",
+        f"""SELECT account_id, Category, Amount, share_pct, {money_txt('Amount')} AS amount_text,
+       {pct_txt('share_pct')} AS share_text
+FROM (SELECT *, {pct('Amount', 'total_expenses')} AS share_pct FROM t)""")
