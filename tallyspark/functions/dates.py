@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 # "iso" means Spark's own cast (yyyy-MM-dd with an optional time part).
 DATE_FORMATS = ["iso", "M/d/yyyy", "d/M/yyyy", "MMM d, yyyy", "yyyyMMdd"]
 
+# A loose shape every text parseable by the pattern has. Texts without it are
+# not handed to the parser at all: a failed parse costs an exception inside
+# Spark, a failed regex test does not.
+FORMAT_SHAPES = {
+    "M/d/yyyy": r"^(0?[1-9]|1[0-2])/(0?[1-9]|[12]\d|3[01])/\d+$",
+    "d/M/yyyy": r"^(0?[1-9]|[12]\d|3[01])/(0?[1-9]|1[0-2])/\d+$",
+    "MMM d, yyyy": r"^\p{L}+ \d{1,2}, \d+$",
+    "yyyyMMdd": r"^\d{8,}$",
+}
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -23,7 +33,9 @@ def parse_date_as(raw, fmt: str) -> Column:
     s = F.trim(_col(raw))
     if fmt == "iso":
         return s.try_cast("timestamp_ntz")
-    return F.try_to_date(s, fmt).cast("timestamp_ntz")
+    parsed = F.try_to_date(s, fmt).cast("timestamp_ntz")
+    shape = FORMAT_SHAPES.get(fmt)
+    return F.when(s.rlike(shape), parsed) if shape else parsed
 
 
 def month_start(c) -> Column:

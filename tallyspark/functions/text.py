@@ -15,9 +15,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same set as code points, for ``btrim`` (a character-set trim, no regex).
+PY_SPACE_CHARS = "".join(chr(c) for c in [
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
+    *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()`` (Spark ``trim`` removes spaces only)."""
-    return F.regexp_replace(_col(c), f"^{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+$", "")
+    return F.btrim(_col(c), F.lit(PY_SPACE_CHARS))
 
 
 def bold_to_tags(c) -> Column:

@@ -14,8 +14,31 @@ from tallyspark.functions.money import classify_type
 from tallyspark.schema import ACCOUNT, AMOUNT, CATEGORY, DATE, DESC, TXN, TYPE
 
 
+# Inputs at least this large are spread over the cluster's cores when the
+# scan yields fewer splits than cores (e.g. one big row group).
+SPREAD_MIN_BYTES = 8 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return spread_if_undersplit(spark.read.parquet(path), path)
+
+
+def spread_if_undersplit(df: DataFrame, path: str) -> DataFrame:
+    """Round-robin repartition a large input that arrives in too few splits.
+
+    A no-op whenever the scan already has at least ``defaultParallelism``
+    splits, which is the normal case for multi-file tables on a cluster; it
+    only fires for a big input stored as a few row groups, where one task
+    would otherwise do all the per-row work.
+    """
+    sc = spark_context = df.sparkSession.sparkContext
+    cores = spark_context.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    size = jpath.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+    return df.repartition(cores) if size >= SPREAD_MIN_BYTES else df
 
 
 def _ledger(account, txn, date, desc, amount, category) -> list:
