@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.money import (amount_text, float_commas_text, money_text, percent_text,
-                                        round_half_up)
+from tallyspark.functions.money import (amount_text, exact_sum, float_commas_text, money_text,
+                                        percent_text, round_half_up, safe_ratio_pct, to_cents)
 from tallyspark.functions.text import PY_SPACE_CLASS, bold_to_tags, json_string, py_strip
 from tallyspark.operators.aggregates import category_expenses, kpi_summary, top_transactions
-from tallyspark.schema import ACCOUNT, AMOUNT, CATEGORY, DATE, DESC
+from tallyspark.schema import ACCOUNT, AMOUNT, CATEGORY, CREDIT, DATE, DEBIT, DESC, TYPE
 
 # The advisor prompt templates. ``{advisor}`` names the
 # assistant; the placeholders in angle brackets are filled per account.
@@ -116,30 +116,40 @@ def top_transaction_lines(ledger: DataFrame, k: int = 5, by=ACCOUNT) -> DataFram
     return top.select(*keys, "rank", line.alias("line"))
 
 
+def _category_item(amount: Column) -> Column:
+    """Sortable record for one expense category: (-amount, name, JSON texts, record)."""
+    obj = F.concat(F.lit('{"Category": '), json_string(F.col(CATEGORY)), F.lit(', "Total Spent": '),
+                   amount_text(amount), F.lit("}"))
+    obj_ind = F.concat(F.lit('  {\n    "Category": '), json_string(F.col(CATEGORY)),
+                       F.lit(',\n    "Total Spent": '), amount_text(amount), F.lit("\n  }"))
+    return F.struct((-amount).alias("k1"), F.col(CATEGORY).alias("k2"), obj.alias("o"),
+                    obj_ind.alias("oi"), F.struct(F.col(CATEGORY), amount.alias("Total Spent")).alias("rec"))
+
+
+def _category_texts(items: Column) -> list[Column]:
+    """From a sorted array of ``_category_item``s: count, records, JSON texts."""
+    return [F.size(items).alias("n_categories"),
+            F.transform(items, lambda x: x["rec"]).alias("categories"),
+            F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["o"]), ", "), F.lit("]"))
+            .alias("category_json"),
+            F.when(F.size(items) == 0, F.lit("[]")).otherwise(
+                F.concat(F.lit("[\n"), F.array_join(F.transform(items, lambda x: x["oi"]), ",\n"),
+                         F.lit("\n]"))).alias("category_json_indented")]
+
+
 def category_lists(ledger: DataFrame, by=ACCOUNT) -> DataFrame:
     """Per account, expense categories largest first, as JSON texts.
 
     ``category_json`` is ``json.dumps(list)``, ``category_json_indented`` the
     ``indent=2`` form; ``categories`` keeps the records as an array of structs.
+    The list per account has one entry per category (bounded by the category
+    vocabulary, not by the number of transactions).
     """
     keys = _keys(by)
     cats = category_expenses(ledger, keys)
-    obj = F.concat(F.lit('{"Category": '), json_string(F.col(CATEGORY)), F.lit(', "Total Spent": '),
-                   amount_text(F.col("Amount")), F.lit("}"))
-    obj_ind = F.concat(F.lit('  {\n    "Category": '), json_string(F.col(CATEGORY)),
-                       F.lit(',\n    "Total Spent": '), amount_text(F.col("Amount")), F.lit("\n  }"))
-    item = F.struct((-F.col("Amount")).alias("k1"), F.col(CATEGORY).alias("k2"), obj.alias("o"),
-                    obj_ind.alias("oi"),
-                    F.struct(F.col(CATEGORY), F.col("Amount").alias("Total Spent")).alias("rec"))
-    grouped = cats.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    return grouped.select(
-        *keys,
-        F.size("_items").alias("n_categories"),
-        F.transform("_items", lambda x: x["rec"]).alias("categories"),
-        F.concat(F.lit("["), F.array_join(F.transform("_items", lambda x: x["o"]), ", "), F.lit("]"))
-        .alias("category_json"),
-        F.concat(F.lit("[\n"), F.array_join(F.transform("_items", lambda x: x["oi"]), ",\n"),
-                 F.lit("\n]")).alias("category_json_indented"))
+    grouped = cats.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(_category_item(F.col("Amount")))).alias("_items"))
+    return grouped.select(*keys, *_category_texts(F.col("_items")))
 
 
 def _top_lists(ledger: DataFrame, k: int, keys: list) -> DataFrame:
@@ -152,34 +162,44 @@ def _top_lists(ledger: DataFrame, k: int, keys: list) -> DataFrame:
 def financial_context(ledger: DataFrame, k: int = 5, by=ACCOUNT) -> DataFrame:
     """The context record per account: KPIs (2 dp), categories, top-k lines.
 
-    Three per-account aggregates joined on the account key; an account with
-    no debits gets an empty category list. ``context_json`` is the record as
-    ``json.dumps`` prints it.
+    Two passes over the ledger: one aggregate by (account, Category) with
+    exact credit and debit sums, rolled up per account into both the KPIs and
+    the category list (one more aggregate over the small per-category rows);
+    and the top-k window. The two per-account results are joined on the key;
+    an account with no debits gets an empty category list. ``context_json``
+    is the record as ``json.dumps`` prints it.
     """
     keys = _keys(by)
-    kpi = kpi_summary(ledger, keys).select(
-        *keys, "total_income", "total_expenses", "net_savings",
-        round_half_up(F.col("savings_rate"), 2).alias("savings_rate_pct"))
-    ctx = (kpi.join(category_lists(ledger, keys), keys, "left")
-           .join(_top_lists(ledger, k, keys), keys, "left"))
-    empty_recs = F.array().cast("array<struct<Category:string,`Total Spent`:double>>")
+    zero = F.lit(0).cast("decimal(18,4)")
+    per_cat = ledger.groupBy(*keys, CATEGORY).agg(
+        exact_sum(F.when(F.col(TYPE) == CREDIT, F.col(AMOUNT))).alias("_inc"),
+        exact_sum(F.when(F.col(TYPE) == DEBIT, F.col(AMOUNT))).alias("_deb"))
+    item = F.when(F.col("_deb").isNotNull(), _category_item(to_cents(F.abs(F.col("_deb")))))
+    acct = per_cat.groupBy(*keys).agg(
+        F.coalesce(F.sum("_inc"), zero).alias("_inc"),
+        F.abs(F.coalesce(F.sum("_deb"), zero)).alias("_exp"),
+        F.sort_array(F.collect_list(item)).alias("_items"))
+    inc, exp = to_cents(F.col("_inc")), to_cents(F.col("_exp"))
+    net = to_cents(F.col("_inc") - F.col("_exp"))
+    kpi = acct.select(*keys, inc.alias("total_income"), exp.alias("total_expenses"),
+                      net.alias("net_savings"),
+                      round_half_up(safe_ratio_pct(net, inc), 2).alias("savings_rate_pct"),
+                      *_category_texts(F.col("_items")))
+    ctx = kpi.join(_top_lists(ledger, k, keys), keys, "left")
     top = F.coalesce(F.col("top_lines"), F.array().cast("array<string>"))
     top_json = F.concat(F.lit("["), F.array_join(F.transform(top, json_string), ", "), F.lit("]"))
-    cjson = F.coalesce(F.col("category_json"), F.lit("[]"))
     context_json = F.concat(
         F.lit('{"total_income": '), amount_text(F.col("total_income")),
         F.lit(', "total_expenses": '), amount_text(F.col("total_expenses")),
         F.lit(', "net_savings": '), amount_text(F.col("net_savings")),
         F.lit(', "savings_rate_pct": '), amount_text(F.col("savings_rate_pct")),
-        F.lit(', "category_expenses": '), cjson,
+        F.lit(', "category_expenses": '), F.col("category_json"),
         F.lit(', "top_5_largest_transactions": '), top_json, F.lit("}"))
     return ctx.select(
         *keys, "total_income", "total_expenses", "net_savings", "savings_rate_pct",
-        F.coalesce(F.col("categories"), empty_recs).alias("category_expenses"),
+        F.col("categories").alias("category_expenses"),
         top.alias("top_5_largest_transactions"),
-        cjson.alias("category_json"),
-        F.coalesce(F.col("category_json_indented"), F.lit("[]")).alias("category_json_indented"),
-        context_json.alias("context_json"))
+        "category_json", "category_json_indented", context_json.alias("context_json"))
 
 
 def _kpi_values(prefix_rate: str = "savings_rate_pct") -> dict[str, Column]:

@@ -89,6 +89,7 @@ def test_empty_groups(spark):
     assert dc == {10: 100.0, 11: 100.0, 12: 500.0}
     ctx = {r["account_id"]: r for r in context.financial_context(led).collect()}
     assert ctx[11]["category_json"] == "[]" and ctx[11]["category_expenses"] == []
+    assert ctx[11]["category_json_indented"] == "[]"
 
 
 def test_goal_timeline(spark):
