@@ -186,3 +186,20 @@ def test_dialog_assembly_order_and_roles(spark):
 def test_unpivot_chart_dataset(trend):
     rows = agg.monthly_cash_flow_long(trend).collect()
     assert len(rows) == 6 and {r["variable"] for r in rows} == {"Income", "Expenses"}
+
+
+def test_write_report(spark):
+    import os
+    import tempfile
+
+    from tallyspark.sources.sinks import write_report
+    led = ledger(spark, [(1, 1, "2026-01-01", "Pay", 100.0, "Income"),
+                         (1, 2, "2026-01-02", "Rent", -40.0, "Rent")])
+    review = spark.createDataFrame([(1, "# Plan\n- save **more**")], "account_id bigint, text string")
+    out = write_report(led, tempfile.mkdtemp(prefix="report-"), "csv", review)
+    assert set(out) == {"kpis", "categories", "review_blocks"}
+    kp = spark.read.option("header", True).csv(out["kpis"]).orderBy("position").collect()
+    assert [r["value"] for r in kp] == ["$100.00", "$40.00", "$60.00", "60.0%"]
+    assert os.path.isdir(out["review_blocks"])
+    cats = spark.read.option("header", True).csv(out["categories"]).collect()
+    assert [(r["Category"], r["amount_text"], r["share_text"]) for r in cats] == [("Rent", "$40.00", "100.0%")]
