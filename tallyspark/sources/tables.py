@@ -32,12 +32,15 @@ def spread_if_undersplit(df: DataFrame, path: str) -> DataFrame:
     only fires for a big input stored as a few row groups, where one task
     would otherwise do all the per-row work.
     """
-    sc = spark_context = df.sparkSession.sparkContext
-    cores = spark_context.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        sc = df.sparkSession.sparkContext
+        cores = sc.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+        jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        size = jpath.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+    except Exception:  # e.g. a Spark Connect session: no RDD or JVM access; leave the plan as is
         return df
-    jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-    size = jpath.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
     return df.repartition(cores) if size >= SPREAD_MIN_BYTES else df
 
 
