@@ -34,14 +34,16 @@ def spread_if_undersplit(df: DataFrame, path: str) -> DataFrame:
     """
     try:
         sc = df.sparkSession.sparkContext
+        jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        size = jpath.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+        if size < SPREAD_MIN_BYTES:
+            return df
         cores = sc.defaultParallelism
         if df.rdd.getNumPartitions() >= cores:
             return df
-        jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-        size = jpath.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
     except Exception:  # e.g. a Spark Connect session: no RDD or JVM access; leave the plan as is
         return df
-    return df.repartition(cores) if size >= SPREAD_MIN_BYTES else df
+    return df.repartition(cores)
 
 
 def _ledger(account, txn, date, desc, amount, category) -> list:
