@@ -115,6 +115,8 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("parse_statement", lambda s, d: normalize.standardize_statement(_raw(s, d)),
          sql.parse_statement())
+
+
 register("rejected_rows", lambda s, d: normalize.statement_rejects(_raw(s, d)), sql.rejected_rows())
 register("parse_dates", lambda s, d: normalize.parsed_dates(_raw(s, d)), sql.parse_dates())
 register("fill_category", lambda s, d: normalize.filled_categories(_raw(s, d)), sql.fill_category())

@@ -28,27 +28,6 @@ from tallyspark.operators.normalize import finish, map_headers, normalize_roles,
 ACCEPTED_SUFFIXES = (".csv",)
 
 
-def _check_suffixes(spark: SparkSession, paths: list[str]) -> None:
-    """Reject files other than CSV (the reference raises on other formats)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        fs = path.getFileSystem(conf)
-        statuses = fs.globStatus(path) or []
-        for st in statuses:
-            if st.isDirectory():
-                it = fs.listFiles(st.getPath(), True)
-                while it.hasNext():
-                    name = it.next().getPath().getName()
-                    if not name.startswith((".", "_")) and not name.lower().endswith(ACCEPTED_SUFFIXES):
-                        raise ValueError(f"Error parsing statement: Unsupported file format: {name}. "
-                                         "Please upload CSV.")
-            elif not st.getPath().getName().lower().endswith(ACCEPTED_SUFFIXES):
-                raise ValueError(f"Error parsing statement: Unsupported file format: "
-                                 f"{st.getPath().getName()}. Please upload CSV.")
-
-
 def header_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(source_file, header) for every file: its first line, found in Spark."""
     txt = (spark.read.option("recursiveFileLookup", "true").text(paths)
@@ -73,9 +52,17 @@ def read_statements(spark: SparkSession, paths, columns: dict | None = None, rul
     with ``with_rejects=True``.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    _check_suffixes(spark, paths)
     heads = header_lines(spark, paths)
-    layouts = [r["header"] for r in heads.select("header").distinct().collect()]
+    # One small job: the distinct header lines and any file with another suffix.
+    ok = F.lower(F.col("source_file")).endswith(ACCEPTED_SUFFIXES[0])
+    for suffix in ACCEPTED_SUFFIXES[1:]:
+        ok = ok | F.lower(F.col("source_file")).endswith(suffix)
+    meta = heads.agg(F.collect_set("header").alias("layouts"),
+                     F.min(F.when(~ok, F.col("source_file"))).alias("bad")).collect()[0]
+    if meta["bad"] is not None:
+        raise ValueError(f"Error parsing statement: Unsupported file format: {meta['bad']}. "
+                         "Please upload CSV.")
+    layouts = sorted(meta["layouts"] or [])
     if not layouts:
         raise ValueError("Error parsing statement: no statement files found")
     parsed = {h: _parse_header(h, sep) for h in layouts}

@@ -152,3 +152,25 @@ def goals_table(customer: DataFrame) -> DataFrame:
         F.lit(5000.0).alias("target_amount"),
         F.col("c_acctbal").alias("current_savings"),
         F.lit(None).cast("double").alias("monthly_contribution"))
+
+
+# A second header layout for the exported statements: other order, other names.
+RAW_HEADERS_B = ["Amount (USD)", "Category", "Payee", "Transaction Date"]
+
+
+def export_raw_statements(raw: DataFrame, folder: str) -> str:
+    """Write ``raw_statement`` rows as CSV files, one folder per account.
+
+    Accounts are assigned to one of two header layouts (even and odd keys);
+    layout B writes its columns in another order under other names. Every
+    row is written once; the shuffle puts each account's rows in one file.
+    """
+    layout_b = (F.col(ACCOUNT) % 2) == 1
+    a = raw.where(~layout_b).select(ACCOUNT, *RAW_HEADERS)
+    b = raw.where(layout_b).select(
+        ACCOUNT, F.col("`Amount (USD)`"), F.col("Tag").alias("Category"),
+        F.col("`Merchant Details`").alias("Payee"), F.col("`Posting Date`").alias("Transaction Date"))
+    for name, df in (("layout=A", a), ("layout=B", b)):
+        (df.repartition(ACCOUNT).write.mode("errorifexists").partitionBy(ACCOUNT)
+         .option("header", "true").csv(f"{folder.rstrip('/')}/{name}"))
+    return folder
