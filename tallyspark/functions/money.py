@@ -56,7 +56,8 @@ def clean_amount(raw) -> Column:
     """Parse amount text: drop currency signs and commas, coerce, else 0.0.
 
     Text that is not a plain number (``(45.00)``, ``12.5d``, ``n/a``, null,
-    ``inf``, ``nan``) becomes 0.0, as in the reference's coercion.
+    ``inf``, ``nan``) becomes 0.0, as in the reference's coercion. Digits are
+    ASCII only (Python's ``float`` would also take other scripts' digits).
     """
     stripped = F.regexp_replace(_col(raw).cast("string"), "[$€£,]", "")
     parsed = F.when(stripped.rlike(NUMERIC_SHAPE), stripped.try_cast("double"))

@@ -1,0 +1,97 @@
+"""Spark expressions against Python's own behaviour on generated values.
+
+Each test builds one DataFrame from a generated batch and evaluates it in a
+single job, then compares with the Python builtin the source relied on.
+"""
+
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tallyspark.functions.categorize import DEFAULT_RULES, categorize
+from tallyspark.functions.money import (amount_text, clean_amount, float_commas_text, money_text,
+                                        percent_text)
+from tallyspark.functions.text import bold_to_tags, py_strip
+
+SETTINGS = settings(max_examples=4, deadline=None)
+
+cents = st.integers(min_value=-10**13, max_value=10**13).map(lambda c: c / 100)
+plain_floats = st.floats(min_value=-1e15, max_value=1e15, allow_nan=False).filter(
+    lambda x: x == 0 or abs(x) >= 1e-4)
+
+
+def _eval(spark, values, typ, expr):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {typ}")
+    return [r[1] for r in df.select("i", expr(F.col("v"))).orderBy("i").collect()]
+
+
+@SETTINGS
+@given(st.lists(plain_floats, min_size=1, max_size=200))
+def test_amount_text_is_python_str(spark, xs):
+    assert _eval(spark, xs, "double", amount_text) == [str(x) for x in xs]
+
+
+@SETTINGS
+@given(st.lists(cents, min_size=1, max_size=200))
+def test_money_texts(spark, xs):
+    assert _eval(spark, xs, "double", money_text) == [f"${x:,.2f}" for x in xs]
+    assert _eval(spark, xs, "double", float_commas_text) == [f"{x:,}" for x in xs]
+
+
+@SETTINGS
+@given(st.lists(st.floats(min_value=-1e6, max_value=1e6, allow_nan=False), min_size=1, max_size=200))
+def test_percent_text(spark, xs):
+    assert _eval(spark, xs, "double", lambda c: percent_text(c, 1)) == [f"{x:.1f}%" for x in xs]
+
+
+amount_strings = st.one_of(
+    st.from_regex(r"\A[ ]?[+-]?[$€£]?[0-9]{1,7}(,[0-9]{3})?(\.[0-9]{1,4})?([eE][+-]?[0-9])?[ ]?\Z",
+                  fullmatch=True),
+    st.sampled_from(["(45.00)", "n/a", "", "12.5d", "1e3", "inf", "-", ".5", "5.", "abc"]))
+
+
+def _py_amount(s):
+    t = re.sub("[$€£,]", "", s)
+    try:
+        v = float(t)
+    except ValueError:
+        return 0.0
+    return v if v == v and abs(v) != float("inf") and "_" not in t else 0.0
+
+
+@SETTINGS
+@given(st.lists(amount_strings, min_size=1, max_size=200))
+def test_clean_amount_matches_python_float(spark, xs):
+    assert _eval(spark, xs, "string", clean_amount) == [_py_amount(s) for s in xs]
+
+
+line_text = st.text(alphabet=st.sampled_from(list("ab *#-\t\r  x")), max_size=30)
+
+
+@SETTINGS
+@given(st.lists(line_text, min_size=1, max_size=200))
+def test_strip_and_bold(spark, xs):
+    assert _eval(spark, xs, "string", py_strip) == [s.strip() for s in xs]
+    want = [re.sub(r"\*\*(.*?)\*\*", r"<b>\1</b>", s) for s in xs]
+    assert _eval(spark, xs, "string", bold_to_tags) == want
+
+
+words = st.sampled_from([kw for _, kws in DEFAULT_RULES for kw in kws] + ["zzz", "Qq", "the", "INC"])
+
+
+def _py_category(text):
+    low = text.lower()
+    for cat, kws in DEFAULT_RULES:
+        if any(k in low for k in kws):
+            return cat
+    return "Other"
+
+
+@SETTINGS
+@given(st.lists(st.lists(words, max_size=4).map(lambda ws: " ".join(w.upper() if len(w) % 2 else w
+                                                                    for w in ws)),
+                min_size=1, max_size=200))
+def test_categorize_matches_brute_force(spark, xs):
+    assert _eval(spark, xs, "string", categorize) == [_py_category(s) for s in xs]
