@@ -135,8 +135,8 @@ FROM ledger WHERE "Date" IS NOT NULL GROUP BY ALL"""
 
 def top_transactions(ledger: str, k: int = 5) -> str:
     return f"""WITH {ledger},
-r AS (SELECT *, row_number() OVER (PARTITION BY account_id
-                                   ORDER BY abs(Amount) DESC, "Date" DESC NULLS LAST, txn_id) AS rank
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY account_id
+                                   ORDER BY abs(Amount) DESC, "Date" DESC NULLS LAST, txn_id) AS INTEGER) AS rank
       FROM ledger)
 SELECT * FROM r WHERE rank <= {k}"""
 
@@ -433,8 +433,8 @@ cl AS (SELECT account_id, '[' || string_agg({obj}, ', ' ORDER BY Amount DESC, Ca
               '[' || chr(10) || string_agg({obj_i}, ',' || chr(10) ORDER BY Amount DESC, Category)
                   || chr(10) || ']' AS cji
        FROM c GROUP BY account_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY account_id
-                                   ORDER BY abs(Amount) DESC, "Date" DESC NULLS LAST, txn_id) AS rank
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY account_id
+                                   ORDER BY abs(Amount) DESC, "Date" DESC NULLS LAST, txn_id) AS INTEGER) AS rank
       FROM ledger),
 t AS (SELECT account_id, rank, {line} AS line FROM r WHERE rank <= {k}),
 tl AS (SELECT account_id, '[' || string_agg({jstr('line')}, ', ' ORDER BY rank) || ']' AS tj,
@@ -451,8 +451,8 @@ def top_transaction_lines(ledger: str, k: int = 5) -> str:
     line = ("coalesce(strftime(\"Date\", '%Y-%m-%d'), '') || ' - ' || Description || ': $' || "
             "CAST(Amount AS VARCHAR)")
     return f"""WITH {ledger},
-r AS (SELECT *, row_number() OVER (PARTITION BY account_id
-                                   ORDER BY abs(Amount) DESC, "Date" DESC NULLS LAST, txn_id) AS rank
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY account_id
+                                   ORDER BY abs(Amount) DESC, "Date" DESC NULLS LAST, txn_id) AS INTEGER) AS rank
       FROM ledger)
 SELECT account_id, rank, {line} AS line FROM r WHERE rank <= {k}"""
 
