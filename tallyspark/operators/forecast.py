@@ -52,12 +52,17 @@ def monthly_cents(ledger: DataFrame, by=ACCOUNT) -> DataFrame:
         (F.round("_exp", 2) * 100).cast(WIDE).alias("exp_c"))
 
 
-def trend_sums(ledger: DataFrame, by=ACCOUNT) -> DataFrame:
-    """One row per account: the regression sums and the last month's values."""
+def trend_sums(ledger: DataFrame, by=ACCOUNT, with_history: bool = False) -> DataFrame:
+    """One row per account: the regression sums and the last month's values.
+
+    With ``with_history`` the row also carries ``_hist``, the account's
+    monthly (MonthDate, inc_c, exp_c) records: at most one per calendar month
+    with data, so its size is bounded by the date range, not by row counts.
+    """
     keys = _keys(by)
     m = monthly_cents(ledger, keys)
     x = F.col("x").cast(WIDE)
-    return m.groupBy(*keys).agg(
+    aggs = [
         F.count(F.lit(1)).cast(WIDE).alias("n"),
         F.sum(x).alias("sx"),
         F.sum(x * x).alias("sxx"),
@@ -67,7 +72,12 @@ def trend_sums(ledger: DataFrame, by=ACCOUNT) -> DataFrame:
         F.sum(x * F.col("exp_c")).alias("sxy_exp"),
         F.max("MonthDate").alias("last_month"),
         F.max_by("inc_c", "MonthDate").alias("last_inc_c"),
-        F.max_by("exp_c", "MonthDate").alias("last_exp_c"))
+        F.max_by("exp_c", "MonthDate").alias("last_exp_c")]
+    if with_history:
+        aggs.append(F.collect_list(F.struct(
+            "MonthDate", F.col("inc_c").cast("bigint").alias("inc_c"),
+            F.col("exp_c").cast("bigint").alias("exp_c"))).alias("_hist"))
+    return m.groupBy(*keys).agg(*aggs)
 
 
 def fit_trend(ledger: DataFrame, by=ACCOUNT) -> DataFrame:
@@ -97,34 +107,55 @@ def _check_horizon(months: int) -> None:
         raise ValueError("months must be a positive integer (the dashboard offers 1..12)")
 
 
+def _projected_array(months: int) -> str:
+    """SQL: array of projected (MonthDate, inc_c, exp_c, IsProjected) for steps 1..months."""
+    xf = "CAST(unix_date(add_months(last_month, i)) AS DECIMAL(38,0))"
+    p_inc = f"(sy_inc * D + N_inc * (n * {xf} - sx))"
+    p_exp = f"(sy_exp * D + N_exp * (n * {xf} - sx))"
+    fb = f"CAST(last_exp_c * (1000 - {FALLBACK_PER_MILLE} * i) AS DECIMAL(38,0))"
+    return f"""transform(sequence(1, {months}), i -> named_struct(
+        'MonthDate', add_months(last_month, i),
+        'inc_c', CASE WHEN n >= 2 THEN greatest(CAST(0 AS BIGINT), {_half_up_div(p_inc, 'n * D')})
+                      ELSE CAST(last_inc_c AS BIGINT) END,
+        'exp_c', CASE WHEN n >= 2 THEN greatest(CAST(0 AS BIGINT), {_half_up_div(p_exp, 'n * D')})
+                      ELSE {_half_up_div(fb, '1000')} END,
+        'IsProjected', true))"""
+
+
+_HISTORY_ARRAY = ("transform(_hist, h -> named_struct('MonthDate', h.MonthDate, 'inc_c', h.inc_c, "
+                  "'exp_c', h.exp_c, 'IsProjected', false))")
+
+
+def _rows(ledger: DataFrame, months: int | None, history_rows: bool, keys: list) -> DataFrame:
+    """Explode history and/or projections from one aggregate row per account.
+
+    A single branch: one scan, the (account, month) aggregate, then the
+    per-account aggregate; no union of two plans over the ledger.
+    """
+    s = (trend_sums(ledger, keys, with_history=history_rows)
+         .withColumn("D", F.expr("n * sxx - sx * sx"))
+         .withColumn("N_inc", F.expr("n * sxy_inc - sx * sy_inc"))
+         .withColumn("N_exp", F.expr("n * sxy_exp - sx * sy_exp")))
+    parts = []
+    if history_rows:
+        parts.append(_HISTORY_ARRAY)
+    if months is not None:
+        parts.append(_projected_array(months))
+    arr = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+    r = s.select(*keys, F.explode(F.expr(arr)).alias("r"))
+    inc, exp = F.col("r.inc_c"), F.col("r.exp_c")
+    return r.select(
+        *keys, F.col("r.MonthDate").alias("MonthDate"),
+        (inc.cast("double") / F.lit(100.0)).alias("Income"),
+        (exp.cast("double") / F.lit(100.0)).alias("Expenses"),
+        ((inc - exp).cast("double") / F.lit(100.0)).alias("Savings"),
+        F.col("r.IsProjected").alias("IsProjected"))
+
+
 def projections(ledger: DataFrame, months: int = 3, by=ACCOUNT) -> DataFrame:
     """Projected rows only: MonthDate, Income, Expenses, Savings, IsProjected=true."""
-    keys = _keys(by)
     _check_horizon(months)
-    s = (trend_sums(ledger, keys)
-         .withColumn("D", F.expr("n * sxx - sx * sx"))
-         .withColumn("N_inc", F.expr("n * sxy_inc - sx * sy_inc"))
-         .withColumn("N_exp", F.expr("n * sxy_exp - sx * sy_exp"))
-         .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(months))))
-         .withColumn("MonthDate", F.add_months("last_month", F.col("step")))
-         .withColumn("xf", day_ordinal(F.col("MonthDate")).cast(WIDE))
-         .withColumn("Q", F.expr("n * D")))
-    for series in ("inc", "exp"):
-        s = s.withColumn(f"P_{series}", F.expr(f"sy_{series} * D + N_{series} * (n * xf - sx)"))
-        s = s.withColumn(f"fit_{series}", F.expr(_half_up_div(f"P_{series}", "Q")))
-    factor = F.lit(1000) - F.lit(FALLBACK_PER_MILLE) * F.col("step")
-    s = s.withColumn("_fb_num", (F.col("last_exp_c") * factor).cast(WIDE))
-    fallback_exp = F.expr(_half_up_div("_fb_num", "1000"))
-    regression = F.col("n") >= 2
-    inc_c = F.when(regression, F.greatest(F.lit(0), F.col("fit_inc"))).otherwise(
-        F.col("last_inc_c").cast("bigint"))
-    exp_c = F.when(regression, F.greatest(F.lit(0), F.col("fit_exp"))).otherwise(fallback_exp)
-    return s.select(
-        *keys, "MonthDate",
-        (inc_c.cast("double") / F.lit(100.0)).alias("Income"),
-        (exp_c.cast("double") / F.lit(100.0)).alias("Expenses"),
-        ((inc_c - exp_c).cast("double") / F.lit(100.0)).alias("Savings"),
-        F.lit(True).alias("IsProjected"))
+    return _rows(ledger, months, False, _keys(by))
 
 
 def history(ledger: DataFrame, by=ACCOUNT) -> DataFrame:
@@ -141,7 +172,8 @@ def history(ledger: DataFrame, by=ACCOUNT) -> DataFrame:
 def forecast(ledger: DataFrame, months: int = 3, by=ACCOUNT) -> DataFrame:
     """History followed by ``months`` projections per account, flagged ``IsProjected``.
 
-    Both branches read the same monthly aggregate; Spark reuses its exchange.
+    Both kinds of row come out of one exploded array per account, so the
+    ledger is scanned once.
     """
-    keys = _keys(by)
-    return history(ledger, keys).unionByName(projections(ledger, months, keys))
+    _check_horizon(months)
+    return _rows(ledger, months, True, _keys(by))
