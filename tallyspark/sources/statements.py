@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.operators.normalize import finish, map_headers, normalize_roles, rejected
+from tallyspark.session import materialize
 
 ACCEPTED_SUFFIXES = (".csv",)
 
@@ -44,12 +45,18 @@ def _parse_header(line: str, sep: str) -> list[str]:
 
 
 def read_statements(spark: SparkSession, paths, columns: dict | None = None, rules=None,
-                    sep: str = ",", on_error: str = "quarantine", with_rejects: bool = False):
+                    sep: str = ",", on_error: str = "quarantine", with_rejects: bool = False,
+                    stage: bool = True):
     """Read CSV statements (files or folders) into one ledger.
 
     Every file is its own account (``account_id`` = file path) unless the
     caller re-keys the result. Returns the ledger, or ``(ledger, rejects)``
     with ``with_rejects=True``.
+
+    With ``stage`` (default) the parsed role columns are written once as
+    parquet into the shared checkpoint folder: the date election and the main
+    pass both read that table, so CSV is parsed once and a lost executor
+    never re-parses it.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     heads = header_lines(spark, paths)
@@ -96,6 +103,8 @@ def read_statements(spark: SparkSession, paths, columns: dict | None = None, rul
         pick("date").alias("raw_date"), pick("description").alias("raw_desc"),
         pick("amount").alias("raw_amount"), pick("category").alias("raw_cat"),
         has_cat.alias("has_category"))
+    if stage:
+        roles = materialize(roles, "statement-roles")
     norm = normalize_roles(roles, rules)
     ledger = finish(norm, on_error)
     return (ledger, rejected(norm)) if with_rejects else ledger

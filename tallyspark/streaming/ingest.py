@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,9 +57,16 @@ def start_statement_ingest(spark: SparkSession, folder: str, header: list[str],
         # Row key: batch id in the high bits, position in the batch below.
         keyed = batch.withColumn("line_no", F.lit(batch_id).cast("bigint") * F.lit(1 << 40)
                                  + F.monotonically_increasing_id())
-        norm = normalize_roles(keyed, rules)
-        finish(norm).write.mode("overwrite").parquet(os.path.join(out, "ledger", f"batch_id={batch_id}"))
-        rejected(norm).write.mode("overwrite").parquet(os.path.join(out, "rejects", f"batch_id={batch_id}"))
+        # The batch feeds the election, the ledger and the rejects: parse it once.
+        keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            norm = normalize_roles(keyed, rules)
+            finish(norm).write.mode("overwrite").parquet(
+                os.path.join(out, "ledger", f"batch_id={batch_id}"))
+            rejected(norm).write.mode("overwrite").parquet(
+                os.path.join(out, "rejects", f"batch_id={batch_id}"))
+        finally:
+            keyed.unpersist()
 
     writer = roles.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if available_now:
