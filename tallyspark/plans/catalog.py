@@ -15,6 +15,7 @@ from tallyspark.functions.categorize import DEFAULT_RULES, categorize
 from tallyspark.functions.money import classify_type
 from tallyspark.operators import context, filters, forecast, goals, normalize
 from tallyspark.plans import oracle_sql as sql
+from tallyspark.session import spread_for_cpu
 from tallyspark.sources import tables
 
 # Fixed parameters of the registered queries.
@@ -125,7 +126,7 @@ register("classify_type",
          lambda s, d: _orders(s, d).select("txn_id", "Amount", classify_type("Amount").alias("Type")),
          sql.classify_type(sql.ORDERS_LEDGER))
 register("categorize_keywords",
-         lambda s, d: tables.read_table(s, d, "documents").select(
+         lambda s, d: spread_for_cpu(tables.read_table(s, d, "documents")).select(
              "doc_id", categorize("text").alias("Category")),
          sql.categorize_keywords(DEFAULT_RULES))
 
@@ -150,7 +151,8 @@ register("dialog_assembly",
                              context.CHAT_CONTEXT.replace("{advisor}", context.DEFAULT_ADVISOR),
                              context.CHAT_OPENING_USER.replace("{advisor}", context.DEFAULT_ADVISOR),
                              context.CHAT_OPENING_MODEL.replace("{advisor}", context.DEFAULT_ADVISOR)))
-register("text_blocks", lambda s, d: context.text_blocks(tables.read_table(s, d, "documents")),
+register("text_blocks",
+         lambda s, d: context.text_blocks(spread_for_cpu(tables.read_table(s, d, "documents"))),
          sql.text_blocks())
 register("kpi_display", lambda s, d: context.kpi_display(_orders(s, d)), sql.kpi_display(sql.ORDERS_LEDGER))
 register("transactions_display", lambda s, d: context.transactions_display(_orders(s, d)),

@@ -71,3 +71,21 @@ def materialize(df: DataFrame, name: str, mode: str = "parquet") -> DataFrame:
     out = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("errorifexists").parquet(out)
     return spark.read.parquet(out)
+
+
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """Round-robin an input that has fewer splits than cores, for CPU-heavy rows.
+
+    Meant for per-row text work (regex, splitting long documents) where one
+    task per big row group would leave cores idle. A no-op whenever the scan
+    already yields at least ``defaultParallelism`` splits, the normal case
+    for multi-file tables on a cluster; not used for light per-row work,
+    where the extra shuffle costs more than it saves.
+    """
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # no RDD access (e.g. Spark Connect): keep the plan
+        return df
+    return df.repartition(cores)
