@@ -81,6 +81,12 @@ register("lineitem_kpi_summary", lambda s, d: agg.kpi_summary(_lineitem(s, d)),
          sql.kpi_summary(sql.LINEITEM_LEDGER))
 register("events_category_share", lambda s, d: agg.category_share(_events(s, d)),
          sql.category_share(sql.EVENTS_LEDGER))
+register("events_monthly_summary", lambda s, d: agg.monthly_summary(_events(s, d)),
+         sql.monthly_summary(sql.EVENTS_LEDGER))
+register("lineitem_top_transactions", lambda s, d: agg.top_transactions(_lineitem(s, d), TOP_K),
+         sql.top_transactions(sql.LINEITEM_LEDGER, TOP_K))
+register("lineitem_category_share", lambda s, d: agg.category_share(_lineitem(s, d)),
+         sql.category_share(sql.LINEITEM_LEDGER))
 
 # --- forecast ---------------------------------------------------------------
 register("fit_trend", lambda s, d: forecast.fit_trend(_orders(s, d)), sql.fit_trend(sql.ORDERS_LEDGER))
