@@ -140,3 +140,26 @@ def test_csv_round_trip_of_statements_built_from_orders(spark):
     got = sorted(tuple(r) for r in led.select(acct.alias("account_id"), *cols).collect())
     want = sorted(tuple(r) for r in standardize_statement(raw).select("account_id", *cols).collect())
     assert got == want and len(got) > 1000
+
+
+def test_dashboard_job_end_to_end(spark):
+    from tallyspark.plans.dashboard import run_dashboard
+    base = tempfile.mkdtemp(prefix="dash-")
+    src = os.path.join(base, "in")
+    os.makedirs(src)
+    _write(src, "alice.csv", "Date,Description,Amount\n2026-04-01,Corporate Salary Direct Deposit,2500\n"
+                             "2026-04-01,Apt 4B Monthly Rental Pay,-1200\n2026-05-01,Payroll,2500\n"
+                             "2026-05-05,Comcast High-Speed Internet,-65\n2026-06-01,Payroll,2500\n"
+                             "2026-06-20,Vanguard Brokerage ETF VOO,-500\n")
+    _write(src, "bob.csv", "Posting Date,Payee,Value,Tag\n03/02/2026,Shell,-40.00,Travel\n"
+                           "03/15/2026,Refund,12.50,\n")
+    paths = run_dashboard(spark, src, os.path.join(base, "out"), months=2)
+    assert {"kpis", "forecast", "review_prompt", "report_categories", "rejects"} <= set(paths)
+    k = {os.path.basename(r["account_id"]): r for r in spark.read.parquet(paths["kpis"]).collect()}
+    assert (k["alice.csv"]["total_income"], k["alice.csv"]["total_expenses"]) == (7500.0, 1765.0)
+    assert (k["bob.csv"]["total_income"], k["bob.csv"]["total_expenses"]) == (12.5, 40.0)
+    fc = spark.read.parquet(paths["forecast"]).collect()
+    assert len(fc) == 3 + 2 + 1 + 2
+    cats = {(os.path.basename(r["account_id"]), r["Category"])
+            for r in spark.read.parquet(paths["category_share"]).collect()}
+    assert ("alice.csv", "Rent & Housing") in cats and ("bob.csv", "Travel") in cats
