@@ -40,6 +40,12 @@ def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   tables.read_table(spark, sf_dir, "orders"))
 
 
+def _hot_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem ledger where one account holds a third of all rows."""
+    return tables.lineitem_ledger(tables.read_table(spark, sf_dir, "lineitem"),
+                                  tables.read_table(spark, sf_dir, "orders"), hot_every=3)
+
+
 _REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 
@@ -168,6 +174,19 @@ register("report_kpis", lambda s, d: context.report_kpis(_orders(s, d)),
 register("report_categories", lambda s, d: context.report_categories(_orders(s, d)),
          sql.report_categories(sql.ORDERS_LEDGER))
 
+# --- skew: one account with a third of all lineitem rows --------------------
+register("hot_account_kpi_summary", lambda s, d: agg.kpi_summary(_hot_lineitem(s, d)),
+         sql.kpi_summary(sql.HOT_LINEITEM_LEDGER))
+register("hot_account_top_transactions", lambda s, d: agg.top_transactions(_hot_lineitem(s, d), TOP_K),
+         sql.top_transactions(sql.HOT_LINEITEM_LEDGER, TOP_K))
+register("hot_account_forecast", lambda s, d: forecast.forecast(_hot_lineitem(s, d), HORIZON),
+         sql.forecast(sql.HOT_LINEITEM_LEDGER, HORIZON))
+register("hot_account_financial_context",
+         lambda s, d: context.financial_context(_hot_lineitem(s, d), TOP_K).select(
+             "account_id", "total_income", "total_expenses", "net_savings", "savings_rate_pct",
+             "category_json", "context_json"),
+         sql.financial_context(sql.HOT_LINEITEM_LEDGER, TOP_K))
+
 
 def queries() -> dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in _REGISTRY.items()}

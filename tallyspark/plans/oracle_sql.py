@@ -43,6 +43,11 @@ ledger AS (
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
 
 
+HOT_LINEITEM_LEDGER = LINEITEM_LEDGER.replace(
+    "SELECT o.o_custkey AS account_id,",
+    "SELECT CASE WHEN l.l_orderkey % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE o.o_custkey END AS account_id,")
+
+
 def money(expr: str) -> str:
     """Exact decimal sum rounded to cents, as double (0 when empty)."""
     return f"CAST(round(coalesce(sum(CAST({expr} AS DECIMAL(18,4))), 0), 2) AS DOUBLE)"

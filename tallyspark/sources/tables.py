@@ -46,9 +46,12 @@ def events_ledger(events: DataFrame) -> DataFrame:
         amount, F.col("event_type")))
 
 
-def lineitem_ledger(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+def lineitem_ledger(lineitem: DataFrame, orders: DataFrame, hot_every: int | None = None) -> DataFrame:
     """Line items booked to the ordering customer; returned lines are credits.
 
+    ``hot_every=k`` books every k-th order (all its lines) to one hot account
+    (-1) instead, a skew test: with k=3 one key holds a third of all rows.
+
     ``txn_id`` is the four-column line key as text (order and line number
     alone repeat). The join is an equi-join on the order key: the planner
     broadcasts orders only when its measured size is under the threshold,
@@ -62,8 +65,11 @@ def lineitem_ledger(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     amount = F.when(F.col("l_returnflag") == "R", price).otherwise(-price)
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in
                              ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
+    account = F.col("o_custkey")
+    if hot_every:
+        account = F.when(F.col("l_orderkey") % hot_every == 0, F.lit(-1).cast("bigint")).otherwise(account)
     return li.join(od, "l_orderkey").select(*_ledger(
-        F.col("o_custkey"), key, F.col("l_shipdate"),
+        account, key, F.col("l_shipdate"),
         F.concat(F.lit("Line "), key), amount,
         F.concat(F.lit("Flag "), F.col("l_returnflag"))))
 

@@ -46,3 +46,17 @@ def test_scan_prunes_and_pushes(spark):
     schema = [ln for ln in df._jdf.queryExecution().executedPlan().toString().split("\n")
               if "ReadSchema" in ln]
     assert schema and all("o_orderkey" not in s for s in schema)
+
+
+@pytest.mark.parametrize("name", ["top_transactions", "hot_account_top_transactions"])
+def test_top_k_limits_before_the_shuffle(spark, name):
+    df = entry.queries()[name](spark, SF_SMALL)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # Partial limit under the exchange, final limit after it.
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_hot_account_aggregates_partially(spark):
+    plan = _plan(entry.queries()["hot_account_kpi_summary"](spark, SF_SMALL))
+    assert "partial_sum" in plan
