@@ -46,11 +46,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment (a shared file system path)
-    and is only read here. Only when it is unset (local tests) a private
-    folder is created.
+    and is only read here; if it is unset there, this raises instead of
+    falling back to a machine-local folder. Only in local mode (tests) a
+    private folder is created when it is unset.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: configure a shared folder "
+                             "(HDFS/S3/...) that every executor can reach")
         path = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
