@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallyspark.operators import aggregates as agg
 from tallyspark.operators import context, filters, forecast, goals
