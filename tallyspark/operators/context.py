@@ -250,17 +250,18 @@ def dialog_assembly(conversations: DataFrame, ledger: DataFrame, advisor: str =
     opening_user = CHAT_OPENING_USER.replace("{advisor}", advisor)
     opening = (convs.join(ctx, "_acct", "left")
                .select("conv_id", F.coalesce(F.col("context"), F.lit("")).alias("context")))
-    first = opening.select("conv_id", F.lit(-2).cast("bigint").alias("position"),
-                           F.lit("user").alias("role"),
-                           _fill(opening_user, {"context": F.col("context")}).alias("text"))
-    second = opening.select("conv_id", F.lit(-1).cast("bigint").alias("position"),
-                            F.lit("model").alias("role"),
-                            F.lit(CHAT_OPENING_MODEL.replace("{advisor}", advisor)).alias("text"))
+    # Both opening turns from one row per conversation (one branch, one scan).
+    turns = F.array(
+        F.struct(F.lit(-2).cast("bigint").alias("position"), F.lit("user").alias("role"),
+                 _fill(opening_user, {"context": F.col("context")}).alias("text")),
+        F.struct(F.lit(-1).cast("bigint").alias("position"), F.lit("model").alias("role"),
+                 F.lit(CHAT_OPENING_MODEL.replace("{advisor}", advisor)).alias("text")))
+    openings = opening.select("conv_id", F.inline(turns))
     hist = conversations.select(
         "conv_id", F.col("turn").cast("bigint").alias("position"),
         F.when(F.col("role") == "user", F.lit("user")).otherwise(F.lit("model")).alias("role"),
         F.col("text"))
-    return first.unionByName(second).unionByName(hist)
+    return openings.unionByName(hist)
 
 
 def text_blocks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
