@@ -202,3 +202,16 @@ def test_write_report(spark):
     assert os.path.isdir(out["review_blocks"])
     cats = spark.read.option("header", True).csv(out["categories"]).collect()
     assert [(r["Category"], r["amount_text"], r["share_text"]) for r in cats] == [("Rent", "$40.00", "100.0%")]
+
+
+def test_results_of_disjoint_ledgers_union(spark):
+    a = ledger(spark, [(1, i, f"2026-0{1 + i % 5}-0{1 + i % 8}", f"a{i}", float(i * 7 % 90 - 40), "x")
+                       for i in range(30)])
+    b = ledger(spark, [(2, i, f"2026-0{2 + i % 4}-1{i % 9}", f"b{i}", float(i * 11 % 70 - 30), "y")
+                       for i in range(25)])
+    both = a.unionByName(b)
+    for op in (agg.kpi_summary, agg.monthly_summary, agg.category_share,
+               lambda df: forecast.forecast(df, 4), lambda df: agg.top_transactions(df, 3)):
+        whole = sorted(tuple(r) for r in op(both).collect())
+        parts = sorted(tuple(r) for r in op(a).collect()) + sorted(tuple(r) for r in op(b).collect())
+        assert whole == sorted(parts)
