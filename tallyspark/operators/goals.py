@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.money import money_text
 from tallyspark.operators.aggregates import default_contribution
 from tallyspark.schema import ACCOUNT
 
@@ -61,7 +62,8 @@ def savings_goal(goals: DataFrame, ledger: DataFrame | None = None,
     return g.select(
         ACCOUNT, "goal_name", "target_amount", "current_savings",
         F.col("_monthly").alias("monthly_contribution"),
-        remaining.alias("remaining"), achieved.alias("achieved"),
+        remaining.alias("remaining"), money_text(remaining).alias("remaining_text"),
+        achieved.alias("achieved"),
         months.alias("months_required"),
         F.regexp_replace(F.format_number(months, 1), ",", "").alias("months_required_text"),
         target.alias("target_date"),

@@ -291,7 +291,7 @@ v AS (SELECT account_id, goal_name, target_amount, current_savings, eff AS month
       FROM r WHERE reject_reason IS NULL),
 w AS (SELECT *, CAST(DATE '{as_of}' + to_months(CAST(ceil(months_required) AS INTEGER)) AS DATE) AS target_date
       FROM v)
-SELECT *, format('{{:.1f}}', months_required) AS months_required_text,
+SELECT *, {money_txt('remaining')} AS remaining_text, format('{{:.1f}}', months_required) AS months_required_text,
        strftime(target_date, '%B %Y') AS target_month FROM w"""
 
 

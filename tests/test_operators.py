@@ -99,6 +99,7 @@ def test_goal_timeline(spark):
         "monthly_contribution double")
     out = {r["account_id"]: r for r in goals.savings_goal(g, None, "2026-07-01").collect()}
     assert out[1]["months_required"] == 16.0 and out[1]["months_required_text"] == "16.0"
+    assert out[1]["remaining_text"] == "$8,000.00"
     assert out[1]["target_date"] == dt.date(2027, 11, 1) and out[1]["target_month"] == "November 2027"
     assert out[2]["achieved"] is True and out[2]["target_date"] is None
     assert 3 not in out
