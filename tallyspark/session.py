@@ -24,6 +24,24 @@ SESSION_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Suggested submit-time settings for a ~100 TB ledger on a large cluster (not
+# applied by the library; see README "Cluster settings"). Scans split at
+# 256 MB; the few shuffles of raw rows (lineitem join, global sort, a large
+# date-election join) start wide and AQE coalesces them to ~256 MB; per-account
+# aggregates shuffle only partially aggregated rows.
+CLUSTER_SETTINGS = {
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "100000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.autoBroadcastJoinThreshold": "10m",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.ui.enabled": "false",
+}
+
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "tallyspark", extra: dict | None = None) -> SparkSession:
