@@ -48,11 +48,6 @@ HOT_LINEITEM_LEDGER = LINEITEM_LEDGER.replace(
     "SELECT CASE WHEN l.l_orderkey % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE o.o_custkey END AS account_id,")
 
 
-def money(expr: str) -> str:
-    """Exact decimal sum rounded to cents, as double (0 when empty)."""
-    return f"CAST(round(coalesce(sum(CAST({expr} AS DECIMAL(18,4))), 0), 2) AS DOUBLE)"
-
-
 CREDIT_SUM = "coalesce(sum(CASE WHEN Type = 'Credit' THEN CAST(Amount AS DECIMAL(18,4)) END), 0)"
 DEBIT_SUM = "abs(coalesce(sum(CASE WHEN Type = 'Debit' THEN CAST(Amount AS DECIMAL(18,4)) END), 0))"
 
