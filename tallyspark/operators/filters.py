@@ -28,7 +28,7 @@ def search_transactions(ledger: DataFrame, query: str, mode: str = "regex") -> D
             re.compile(query)
         except re.error as exc:
             raise ValueError(f"invalid search pattern {query!r}: {exc}") from exc
-        java = query
+        java = _python_to_java_regex(query)
     else:
         raise ValueError("mode must be 'regex' or 'literal'")
     ci = "(?iu)" + java
@@ -37,6 +37,13 @@ def search_transactions(ledger: DataFrame, query: str, mode: str = "regex") -> D
     return ledger.where(cond)
 
 
+def _python_to_java_regex(pattern: str) -> str:
+    """Rewrite the Python-only named-group forms; the rest of the syntax in
+    common use is shared by Python and Java."""
+    pattern = re.sub(r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", pattern)
+    return re.sub(r"\(\?P=([A-Za-z][A-Za-z0-9]*)\)", r"\\k<\1>", pattern)
+
+
 def projection_split(forecast: DataFrame, projected: bool) -> DataFrame:
     """History (``projected=False``) or projections (``True``) of a forecast."""
     flag = F.col("IsProjected")

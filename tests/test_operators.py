@@ -216,3 +216,10 @@ def test_results_of_disjoint_ledgers_union(spark):
         whole = sorted(tuple(r) for r in op(both).collect())
         parts = sorted(tuple(r) for r in op(a).collect()) + sorted(tuple(r) for r in op(b).collect())
         assert whole == sorted(parts)
+
+
+def test_search_python_named_groups(spark):
+    led = ledger(spark, [(1, 1, "2026-01-01", "abab shop", -1.0, "X"),
+                         (1, 2, "2026-01-01", "abcd", -2.0, "X")])
+    got = [r["txn_id"] for r in filters.search_transactions(led, r"(?P<x>ab)(?P=x)").collect()]
+    assert got == [1]
