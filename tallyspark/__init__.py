@@ -11,6 +11,7 @@ from tallyspark.operators.aggregates import (category_expenses, category_share,
                                              monthly_summary, top_transactions)
 from tallyspark.operators.context import (category_lists, chat_context, dialog_assembly,
                                           financial_context, kpi_display, report_categories,
+                                          report_document,
                                           report_kpis, review_prompt, text_blocks,
                                           top_transaction_lines, transactions_display)
 from tallyspark.operators.filters import projection_split, projection_trend_line, search_transactions
@@ -27,7 +28,7 @@ __all__ = [
     "kpi_summary", "latest_month", "ledger_newest_first", "monthly_cash_flow_long",
     "monthly_series", "monthly_summary", "top_transactions", "category_lists", "chat_context",
     "dialog_assembly", "financial_context", "kpi_display", "report_categories", "report_kpis",
-    "review_prompt", "text_blocks", "top_transaction_lines", "transactions_display",
+    "review_prompt", "report_document", "text_blocks", "top_transaction_lines", "transactions_display",
     "projection_split", "projection_trend_line", "search_transactions", "fit_trend", "forecast",
     "forecast_horizon", "projections", "goal_validation", "savings_goal", "map_headers",
     "standardize_statement", "statement_rejects", "write_report", "read_statements",

@@ -9,7 +9,7 @@ top transactions and one entry per expense category.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import (amount_text, exact_sum, float_commas_text, money_text,
@@ -71,6 +71,16 @@ CHAT_OPENING_MODEL = ("Hello! I am {advisor}, your personal finance advisor. I h
 REPORT_KPI_LABELS = ["Total Credits / Income", "Total Debits / Expenses",
                      "Net Cash Position / Savings", "Calculated Savings Rate"]
 
+# The report document's headings and table headers.
+REPORT_TITLE = "Personal Finance Review"
+REPORT_GENERATED = "Report Generated: "
+REPORT_GENERATED_FORMAT = "MMMM dd, yyyy 'at' hh:mm a"
+REPORT_SECTION_1 = "1. Executive Financial Summary"
+REPORT_KPI_HEADER = ["Financial KPI Metric", "Value Summary"]
+REPORT_SECTION_2 = "2. Expense Breakdown by Category"
+REPORT_CATEGORY_HEADER = ["Expense Category", "Total Amount Spent", "Percentage of Debits"]
+REPORT_SECTION_3 = "3. AI Financial Advisor Strategic Review"
+
 
 def _keys(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
@@ -325,3 +335,52 @@ def report_categories(ledger: DataFrame, by=ACCOUNT) -> DataFrame:
     return c.select(*keys, CATEGORY, "Amount", "share_pct",
                     money_text(F.col("Amount")).alias("amount_text"),
                     percent_text(F.col("share_pct"), 1).alias("share_text"))
+
+
+def report_document(ledger: DataFrame, generated_at: str, review_text: DataFrame | None = None,
+                    title: str = REPORT_TITLE, by=ACCOUNT) -> DataFrame:
+    """The review report of each account as ordered content rows.
+
+    Columns ``(account_id, section, seq, kind, cell1, cell2, cell3)``, ordered
+    by (section, seq): title and generated-at line, section 1 with the KPI
+    table, section 2 with the category table (largest first), a page break,
+    section 3 with the review text blocks when ``review_text``
+    (``account_id, text``) is given. ``generated_at`` is a timestamp text
+    (an explicit parameter, not the clock). A renderer only lays these out.
+    """
+    keys = _keys(by)
+    kpi = kpi_summary(ledger, keys)
+    stamp = F.concat(F.lit(REPORT_GENERATED),
+                     F.date_format(F.lit(generated_at).cast("timestamp_ntz"), REPORT_GENERATED_FORMAT))
+
+    def row(section, seq, kind, c1, c2=None, c3=None):
+        return F.struct(F.lit(section).alias("section"), F.lit(seq).cast("bigint").alias("seq"),
+                        F.lit(kind).alias("kind"), c1.cast("string").alias("cell1"),
+                        (c2 if c2 is not None else F.lit(None)).cast("string").alias("cell2"),
+                        (c3 if c3 is not None else F.lit(None)).cast("string").alias("cell3"))
+
+    texts = [money_text(F.col("total_income")), money_text(F.col("total_expenses")),
+             money_text(F.col("net_savings")), percent_text(F.col("savings_rate"), 1)]
+    fixed = [row(0, 0, "title", F.lit(title)), row(0, 1, "subtitle", stamp),
+             row(1, 0, "heading", F.lit(REPORT_SECTION_1)),
+             row(1, 1, "table_header", F.lit(REPORT_KPI_HEADER[0]), F.lit(REPORT_KPI_HEADER[1]))]
+    fixed += [row(1, 2 + i, "table_row", F.lit(lbl), t) for i, (lbl, t) in enumerate(zip(REPORT_KPI_LABELS, texts))]
+    fixed += [row(2, 0, "heading", F.lit(REPORT_SECTION_2)),
+              row(2, 1, "table_header", *[F.lit(h) for h in REPORT_CATEGORY_HEADER]),
+              row(3, 0, "page_break", F.lit(None)),
+              row(4, 0, "heading", F.lit(REPORT_SECTION_3))]
+    head = kpi.select(*keys, F.inline(F.array(*fixed)))
+    cats = report_categories(ledger, keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("Amount").desc(), F.col(CATEGORY)))
+    cat_rows = cats.select(*keys, F.lit(2).alias("section"), (rank + 1).cast("bigint").alias("seq"),
+                           F.lit("table_row").alias("kind"), F.col(CATEGORY).alias("cell1"),
+                           F.col("amount_text").alias("cell2"), F.col("share_text").alias("cell3"))
+    out = head.unionByName(cat_rows)
+    if review_text is not None:
+        blocks = text_blocks(review_text.select(F.col(ACCOUNT).alias("_doc"), "text"), "text", "_doc")
+        out = out.unionByName(blocks.select(
+            F.col("_doc").alias(keys[0]), F.lit(4).alias("section"),
+            (F.col("line_no") + 1).cast("bigint").alias("seq"), F.col("kind"),
+            F.col("markup").alias("cell1"), F.lit(None).cast("string").alias("cell2"),
+            F.lit(None).cast("string").alias("cell3")))
+    return out

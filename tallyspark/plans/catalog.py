@@ -23,6 +23,7 @@ SEARCH_PATTERN = "high|99"
 TOP_K = 5
 HORIZON = 3
 AS_OF = "2026-07-01"
+GENERATED_AT = "2026-07-01 09:00:00"
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -173,6 +174,12 @@ register("report_kpis", lambda s, d: context.report_kpis(_orders(s, d)),
          sql.report_kpis(sql.ORDERS_LEDGER, context.REPORT_KPI_LABELS))
 register("report_categories", lambda s, d: context.report_categories(_orders(s, d)),
          sql.report_categories(sql.ORDERS_LEDGER))
+register("report_document", lambda s, d: context.report_document(_orders(s, d), GENERATED_AT),
+         sql.report_document(sql.ORDERS_LEDGER, GENERATED_AT, context.REPORT_TITLE,
+                             context.REPORT_KPI_LABELS, context.REPORT_KPI_HEADER,
+                             context.REPORT_CATEGORY_HEADER,
+                             [context.REPORT_SECTION_1, context.REPORT_SECTION_2,
+                              context.REPORT_SECTION_3]))
 
 # --- skew: one account with a third of all lineitem rows --------------------
 register("hot_account_kpi_summary", lambda s, d: agg.kpi_summary(_hot_lineitem(s, d)),

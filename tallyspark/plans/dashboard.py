@@ -40,6 +40,7 @@ def dashboard_outputs(ledger: DataFrame, months: int = 3, goals_df: DataFrame |
         "review_prompt": context.review_prompt(ledger, advisor),
         "report_kpis": context.report_kpis(ledger),
         "report_categories": context.report_categories(ledger),
+        "report_document": context.report_document(ledger, f"{as_of} 00:00:00"),
         "default_contribution": agg.default_contribution(ledger),
     }
     if goals_df is not None:

@@ -579,3 +579,35 @@ def report_categories(ledger: str) -> str:
         f"""SELECT account_id, Category, Amount, share_pct, {money_txt('Amount')} AS amount_text,
        {pct_txt('share_pct')} AS share_text
 FROM (SELECT *, {pct('Amount', 'total_expenses')} AS share_pct FROM t)""")
+
+
+def report_document(ledger: str, generated_at: str, title: str, kpi_labels: list[str],
+                    kpi_header: list[str], cat_header: list[str], sections: list[str]) -> str:
+    def row(section, seq, kind, c1="NULL", c2="NULL", c3="NULL"):
+        return (f"SELECT account_id, CAST({section} AS INTEGER) AS section, CAST({seq} AS BIGINT) AS seq, "
+                f"'{kind}' AS kind, CAST({c1} AS VARCHAR) AS cell1, CAST({c2} AS VARCHAR) AS cell2, "
+                f"CAST({c3} AS VARCHAR) AS cell3 FROM k")
+    stamp = (f"'Report Generated: ' || strftime(TIMESTAMP '{generated_at}', '%B %d, %Y at %I:%M %p')")
+    texts = [money_txt("ti"), money_txt("te"), money_txt("ns"), pct_txt(pct("ns", "ti"))]
+    rows = [row(0, 0, "title", _lit(title)), row(0, 1, "subtitle", stamp),
+            row(1, 0, "heading", _lit(sections[0])),
+            row(1, 1, "table_header", _lit(kpi_header[0]), _lit(kpi_header[1]))]
+    rows += [row(1, 2 + i, "table_row", _lit(lbl), t) for i, (lbl, t) in enumerate(zip(kpi_labels, texts))]
+    rows += [row(2, 0, "heading", _lit(sections[1])),
+             row(2, 1, "table_header", *[_lit(h) for h in cat_header]),
+             row(3, 0, "page_break"), row(4, 0, "heading", _lit(sections[2]))]
+    head = "\nUNION ALL\n".join(rows)
+    return f"""WITH {ledger},
+s AS (SELECT account_id, {CREDIT_SUM} AS inc, {DEBIT_SUM} AS exp FROM ledger GROUP BY account_id),
+k AS (SELECT account_id, {cents('inc')} AS ti, {cents('exp')} AS te, {cents('inc - exp')} AS ns FROM s),
+c AS (SELECT account_id, Category, abs(sum(CAST(Amount AS DECIMAL(18,4)))) AS amt
+      FROM ledger WHERE Type = 'Debit' GROUP BY ALL),
+t AS (SELECT account_id, Category, {cents('amt')} AS Amount,
+             {cents('sum(amt) OVER (PARTITION BY account_id)')} AS total FROM c),
+cr AS (SELECT account_id, CAST(2 AS INTEGER) AS section,
+              CAST(row_number() OVER (PARTITION BY account_id ORDER BY Amount DESC, Category) + 1 AS BIGINT) AS seq,
+              'table_row' AS kind, Category AS cell1, {money_txt('Amount')} AS cell2,
+              {pct_txt(pct('Amount', 'total'))} AS cell3 FROM t)
+{head}
+UNION ALL
+SELECT * FROM cr"""

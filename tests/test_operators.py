@@ -223,3 +223,19 @@ def test_search_python_named_groups(spark):
                          (1, 2, "2026-01-01", "abcd", -2.0, "X")])
     got = [r["txn_id"] for r in filters.search_transactions(led, r"(?P<x>ab)(?P=x)").collect()]
     assert got == [1]
+
+
+def test_report_document(spark):
+    led = ledger(spark, [(1, 1, "2026-01-01", "Pay", 100.0, "Income"),
+                         (1, 2, "2026-01-02", "Rent", -40.0, "Rent"),
+                         (1, 3, "2026-01-03", "Food", -10.0, "Food")])
+    rv = spark.createDataFrame([(1, "# Plan\n- save **more**")], "account_id bigint, text string")
+    rows = [tuple(r)[1:] for r in
+            context.report_document(led, "2026-07-01 09:05:00", rv).orderBy("section", "seq").collect()]
+    assert rows[1] == (0, 1, "subtitle", "Report Generated: July 01, 2026 at 09:05 AM", None, None)
+    assert rows[7] == (1, 5, "table_row", "Calculated Savings Rate", "50.0%", None)
+    assert rows[10:12] == [(2, 2, "table_row", "Rent", "$40.00", "80.0%"),
+                           (2, 3, "table_row", "Food", "$10.00", "20.0%")]
+    assert rows[12][2] == "page_break"
+    assert rows[-2:] == [(4, 1, "heading", "<b>Plan</b>", None, None),
+                         (4, 2, "bullet", "• save <b>more</b>", None, None)]
