@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Candidate formats for statement dates, tried in this order;
 # the first that parses every non-null value of a file is used for the file.
 # "iso" means Spark's own cast (yyyy-MM-dd with an optional time part).
-DATE_FORMATS = ["iso", "M/d/yyyy", "d/M/yyyy", "MMM d, yyyy", "yyyyMMdd"]
+DATE_FORMATS = ["iso", "M/d/yyyy", "d/M/yyyy", "MMM d, yyyy", "yyyyMMdd",
+                "yyyy/M/d", "d.M.yyyy", "d-MMM-yyyy", "MMMM d, yyyy"]
 
 # A loose shape every text parseable by the pattern has. Texts without it are
 # not handed to the parser at all: a failed parse costs an exception inside
@@ -18,6 +19,10 @@ FORMAT_SHAPES = {
     "d/M/yyyy": r"^(0?[1-9]|[12]\d|3[01])/(0?[1-9]|1[0-2])/\d+$",
     "MMM d, yyyy": r"^\p{L}+ \d{1,2}, \d+$",
     "yyyyMMdd": r"^\d{8,}$",
+    "yyyy/M/d": r"^\d+/(0?[1-9]|1[0-2])/(0?[1-9]|[12]\d|3[01])$",
+    "d.M.yyyy": r"^(0?[1-9]|[12]\d|3[01])\.(0?[1-9]|1[0-2])\.\d+$",
+    "d-MMM-yyyy": r"^\d{1,2}-\p{L}+-\d+$",
+    "MMMM d, yyyy": r"^\p{L}+ \d{1,2}, \d+$",
 }
 
 

@@ -315,7 +315,11 @@ FORMATS_SQL = [("iso", "try_cast(trim(d) AS TIMESTAMP)"),
                ("M/d/yyyy", "try_strptime(trim(d), '%m/%d/%Y')"),
                ("d/M/yyyy", "try_strptime(trim(d), '%d/%m/%Y')"),
                ("MMM d, yyyy", "try_strptime(trim(d), '%b %d, %Y')"),
-               ("yyyyMMdd", "try_strptime(trim(d), '%Y%m%d')")]
+               ("yyyyMMdd", "try_strptime(trim(d), '%Y%m%d')"),
+               ("yyyy/M/d", "try_strptime(trim(d), '%Y/%m/%d')"),
+               ("d.M.yyyy", "try_strptime(trim(d), '%d.%m.%Y')"),
+               ("d-MMM-yyyy", "try_strptime(trim(d), '%d-%b-%Y')"),
+               ("MMMM d, yyyy", "try_strptime(trim(d), '%B %d, %Y')")]
 
 NUMERIC = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 

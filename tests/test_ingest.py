@@ -163,3 +163,14 @@ def test_dashboard_job_end_to_end(spark):
     cats = {(os.path.basename(r["account_id"]), r["Category"])
             for r in spark.read.parquet(paths["category_share"]).collect()}
     assert ("alice.csv", "Rent & Housing") in cats and ("bob.csv", "Travel") in cats
+
+
+def test_more_date_layouts(spark):
+    raw = (_dates(spark, ["2026/01/05", "2026/12/31"], "e.csv")
+           .unionByName(_dates(spark, ["05.01.2026", "31.12.2026"], "f.csv"))
+           .unionByName(_dates(spark, ["05-Jan-2026", "31-Dec-2026"], "g.csv"))
+           .unionByName(_dates(spark, ["January 5, 2026", "December 31, 2026"], "h.csv")))
+    got = sorted((r["source_file"], r["Date"]) for r in standardize_statement(raw).collect())
+    want = sorted((f, d) for f in ("e.csv", "f.csv", "g.csv", "h.csv")
+                  for d in (dt.datetime(2026, 1, 5), dt.datetime(2026, 12, 31)))
+    assert got == want
