@@ -20,6 +20,7 @@ from tallyspark.sources import tables
 
 # Fixed parameters of the registered queries.
 SEARCH_PATTERN = "high|99"
+SEARCH_TEXT = "order 12"
 TOP_K = 5
 HORIZON = 3
 AS_OF = "2026-07-01"
@@ -67,6 +68,8 @@ register("top_transactions", lambda s, d: agg.top_transactions(_orders(s, d), TO
          sql.top_transactions(sql.ORDERS_LEDGER, TOP_K))
 register("debits_only", lambda s, d: agg.debits_only(_orders(s, d)),
          sql.debits_only(sql.ORDERS_LEDGER))
+register("credits_only", lambda s, d: agg.credits_only(_orders(s, d)),
+         sql.credits_only(sql.ORDERS_LEDGER))
 register("ledger_newest_first", lambda s, d: agg.ledger_newest_first(_orders(s, d)),
          sql.ledger_rows(sql.ORDERS_LEDGER))
 register("monthly_series", lambda s, d: agg.monthly_series(_orders(s, d)),
@@ -80,6 +83,9 @@ register("monthly_cash_flow_long", lambda s, d: agg.monthly_cash_flow_long(_orde
 register("search_transactions",
          lambda s, d: filters.search_transactions(_orders(s, d), SEARCH_PATTERN),
          sql.search_transactions(sql.ORDERS_LEDGER, SEARCH_PATTERN))
+register("search_literal",
+         lambda s, d: filters.search_transactions(_orders(s, d), SEARCH_TEXT, mode="literal"),
+         sql.search_literal(sql.ORDERS_LEDGER, SEARCH_TEXT))
 
 # --- the same operators over the other ledgers ---------------------------
 register("lineitem_monthly_summary", lambda s, d: agg.monthly_summary(_lineitem(s, d)),

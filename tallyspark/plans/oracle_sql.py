@@ -615,3 +615,15 @@ cr AS (SELECT account_id, CAST(2 AS INTEGER) AS section,
 {head}
 UNION ALL
 SELECT * FROM cr"""
+
+
+def credits_only(ledger: str) -> str:
+    return f"WITH {ledger}\nSELECT * FROM ledger WHERE Type = 'Credit'"
+
+
+def search_literal(ledger: str, text: str) -> str:
+    q = text.replace("'", "''")
+    return f"""WITH {ledger}
+SELECT * FROM ledger
+WHERE contains(lower(Description), lower('{q}')) OR contains(lower(Category), lower('{q}'))
+   OR contains(CAST(Amount AS VARCHAR), '{q}')"""
