@@ -95,3 +95,64 @@ def _py_category(text):
                 min_size=1, max_size=200))
 def test_categorize_matches_brute_force(spark, xs):
     assert _eval(spark, xs, "string", categorize) == [_py_category(s) for s in xs]
+
+
+def _brute_force_projection(months, h):
+    """Exact least squares in Fractions on the ordinal day of the month start."""
+    import datetime as dt
+    from fractions import Fraction
+
+    def add_months(d, k):
+        y, m = divmod(d.month - 1 + k, 12)
+        return dt.date(d.year + y, m + 1, 1)
+
+    xs = [Fraction(d.toordinal()) for d, _, _ in months]
+    out = []
+    last = max(d for d, _, _ in months)
+    for i in range(1, h + 1):
+        fd = add_months(last, i)
+        row = []
+        for series in (1, 2):
+            ys = [Fraction(m[series]) for m in months]
+            if len(months) >= 2:
+                mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
+                slope = sum((x - mx) * (y - my) for x, y in zip(xs, ys)) / sum((x - mx) ** 2 for x in xs)
+                pred = max(Fraction(0), my + slope * (Fraction(fd.toordinal()) - mx))
+            else:
+                last_row = max(months)
+                pred = Fraction(last_row[series]) if series == 1 else \
+                    Fraction(last_row[series]) * (1 - Fraction(15, 1000) * i)
+            cents = pred * 100
+            q = int(cents.numerator * 2 + cents.denominator) // (2 * cents.denominator) if cents >= 0 \
+                else -(int(-cents.numerator * 2 + cents.denominator) // (2 * cents.denominator))
+            row.append(q / 100.0)
+        out.append((fd, row[0], row[1]))
+    return out
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 5), st.integers(0, 30), st.integers(0, 200000),
+                          st.integers(0, 200000)), min_size=1, max_size=40))
+def test_forecast_matches_exact_brute_force(spark, rows):
+    import datetime as dt
+    from fractions import Fraction
+
+    from tallyspark.operators.forecast import projections
+    data, months = [], {}
+    for i, (acct, mi, inc, exp) in enumerate(rows):
+        d = dt.date(2024 + mi // 12, mi % 12 + 1, 1)
+        data.append((acct, 2 * i, dt.datetime(d.year, d.month, 3), "in", inc / 100, "I", "Credit"))
+        data.append((acct, 2 * i + 1, dt.datetime(d.year, d.month, 9), "out", -exp / 100, "E",
+                     "Debit" if exp else "Credit"))
+        m = months.setdefault(acct, {}).setdefault(d, [0, 0])
+        m[0] += inc
+        m[1] += exp if exp else 0
+    led = spark.createDataFrame(data, "account_id bigint, txn_id bigint, Date timestamp_ntz, "
+                                      "Description string, Amount double, Category string, Type string")
+    got = sorted((r["account_id"], r["MonthDate"], r["Income"], r["Expenses"])
+                 for r in projections(led, 4).collect())
+    want = []
+    for acct, per in months.items():
+        ms = [(d, Fraction(inc, 100), Fraction(exp, 100)) for d, (inc, exp) in per.items()]
+        want += [(acct, fd, i, e) for fd, i, e in _brute_force_projection(ms, 4)]
+    assert got == sorted(want)
