@@ -239,3 +239,15 @@ def test_report_document(spark):
     assert rows[12][2] == "page_break"
     assert rows[-2:] == [(4, 1, "heading", "<b>Plan</b>", None, None),
                          (4, 2, "bullet", "• save <b>more</b>", None, None)]
+
+
+def test_undated_top_line_and_missing_description(spark):
+    led = ledger(spark, [(1, 1, None, "Big refund", 900.0, "Other"),
+                         (1, 2, "2026-02-01", "Small", -5.0, "Other")])
+    lines = [r["line"] for r in context.top_transaction_lines(led, 5).orderBy("rank").collect()]
+    assert lines == [" - Big refund: $900.0", "2026-02-01 - Small: $-5.0"]
+    from tallyspark.operators.normalize import standardize_statement
+    raw = spark.createDataFrame([("s.csv", 0, "2026-01-05", None, "1"), ("s.csv", 1, "2026-01-06", "NA", "2")],
+                                "source_file string, line_no bigint, Date string, Description string, "
+                                "Amount string")
+    assert sorted(r["Description"] for r in standardize_statement(raw).collect()) == ["", ""]
