@@ -44,3 +44,35 @@ def test_stream_ingest_matches_batch(spark):
     want = sorted((r["account_id"], r["Month"], r["Income"], r["Expenses"])
                   for r in agg.monthly_summary(batch).collect())
     assert got == want
+
+
+def test_monthly_stream_drops_rows_older_than_the_watermark(spark):
+    import datetime as dt
+    base = tempfile.mkdtemp(prefix="wm-")
+    src = os.path.join(base, "ledger")
+    schema = ("account_id bigint, txn_id bigint, Date timestamp_ntz, Description string, "
+              "Amount double, Category string, Type string")
+
+    def batch(rows, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, name))
+
+    batch([(1, 1, dt.datetime(2026, 1, 5), "a", 10.0, "c", "Credit"),
+           (1, 2, dt.datetime(2026, 6, 5), "b", 20.0, "c", "Credit")], "b1")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+    q = (monthly_summary_stream(stream, "62 days").writeStream.outputMode("update")
+         .format("memory").queryName("wm_out")
+         .option("checkpointLocation", os.path.join(base, "ckpt")).start())
+    try:
+        q.processAllAvailable()
+        # The watermark is now June minus 62 days: a January row is too late,
+        # a May row is not.
+        batch([(1, 3, dt.datetime(2026, 1, 20), "late", 99.0, "c", "Credit"),
+               (1, 4, dt.datetime(2026, 5, 20), "in time", 7.0, "c", "Credit")], "b2")
+        q.processAllAvailable()
+        latest = {}
+        for r in spark.sql("SELECT Month, Income FROM wm_out").collect():
+            latest[r["Month"]] = max(latest.get(r["Month"], 0.0), r["Income"])
+    finally:
+        q.stop()
+    assert latest["2026-01"] == 10.0
+    assert latest["2026-05"] == 7.0 and latest["2026-06"] == 20.0
