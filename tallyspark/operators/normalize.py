@@ -202,5 +202,6 @@ def cleaned_amounts(raw: DataFrame, columns: dict | None = None) -> DataFrame:
     """Amount parsing detail: raw text, parsed Amount and its Type."""
     roles = standardize_roles(raw, columns)
     amount = clean_amount(missing_to_null(F.col("raw_amount")))
-    return roles.select(F.col("line_no").alias(TXN), "raw_amount", amount.alias(AMOUNT),
+    txn = F.col("line_no") if "line_no" in roles.columns else F.monotonically_increasing_id()
+    return roles.select(txn.alias(TXN), "raw_amount", amount.alias(AMOUNT),
                         classify_type(amount).alias(TYPE))
