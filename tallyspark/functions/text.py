@@ -36,5 +36,20 @@ def bold_to_tags(c) -> Column:
 
 
 def json_string(c) -> Column:
-    """A string as a JSON string literal (quotes and escapes included)."""
-    return F.regexp_extract(F.to_json(F.struct(_col(c).alias("v"))), r'^\{"v":(.*)\}$', 1)
+    """A string as ``json.dumps`` writes it (quotes, escapes, non-ASCII as ``\\uXXXX``).
+
+    Spark's JSON writer escapes quotes, backslashes and control characters as
+    Python does; DEL and non-ASCII code points are then escaped one by one
+    (above U+FFFF as a surrogate pair), as Python's ``ensure_ascii``.
+    """
+    j = F.regexp_extract(F.to_json(F.struct(_col(c).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    chars = F.regexp_extract_all(j, F.lit(r"(?s)(.)"), 1)
+
+    def esc(ch):
+        cp = F.ascii(ch)
+        hi = F.lit(0xD800) + F.shiftright(cp - F.lit(0x10000), 10)
+        lo = F.lit(0xDC00) + (cp - F.lit(0x10000)).bitwiseAND(F.lit(0x3FF))
+        return (F.when(cp < 127, ch)
+                 .when(cp < 0x10000, F.format_string("\\u%04x", cp))
+                 .otherwise(F.format_string("\\u%04x\\u%04x", hi, lo)))
+    return F.when(j.rlike(r"^[\x00-\x7E]*$"), j).otherwise(F.array_join(F.transform(chars, esc), ""))

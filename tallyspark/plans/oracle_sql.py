@@ -409,7 +409,13 @@ def commas_txt(x: str) -> str:
 
 
 def jstr(x: str) -> str:
-    return f"CAST(to_json({x}) AS VARCHAR)"
+    """``json.dumps`` of a string: DuckDB's JSON text, then DEL and non-ASCII as \\uXXXX."""
+    j = f"CAST(to_json({x}) AS VARCHAR)"
+    return (f"(CASE WHEN regexp_matches({j}, '^[\\x00-\\x7E]*$') THEN {j} ELSE array_to_string(list_transform("
+            f"regexp_extract_all({j}, '(?s)(.)', 1), lambda c: CASE WHEN unicode(c) < 127 THEN c "
+            f"WHEN unicode(c) < 65536 THEN printf('\\u%04x', unicode(c)) "
+            f"ELSE printf('\\u%04x\\u%04x', 55296 + ((unicode(c) - 65536) >> 10), "
+            f"56320 + ((unicode(c) - 65536) & 1023)) END), '') END)")
 
 
 def pyrepr(x: str) -> str:

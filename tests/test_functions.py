@@ -156,3 +156,12 @@ def test_forecast_matches_exact_brute_force(spark, rows):
         ms = [(d, Fraction(inc, 100), Fraction(exp, 100)) for d, (inc, exp) in per.items()]
         want += [(acct, fd, i, e) for fd, i, e in _brute_force_projection(ms, 4)]
     assert got == sorted(want)
+
+
+@SETTINGS
+@given(st.lists(st.text(max_size=12), min_size=1, max_size=200))
+def test_json_string_is_json_dumps(spark, xs):
+    import json
+
+    from tallyspark.functions.text import json_string
+    assert _eval(spark, xs, "string", json_string) == [json.dumps(x) for x in xs]
