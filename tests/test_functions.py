@@ -165,3 +165,13 @@ def test_json_string_is_json_dumps(spark, xs):
 
     from tallyspark.functions.text import json_string
     assert _eval(spark, xs, "string", json_string) == [json.dumps(x) for x in xs]
+
+
+tricky = st.sampled_from(["İ", "K", "Σ", "ẞ", "Ａ", "ﬁ", "Ω", "Å", "ı", "ß", "Ǆ"])
+
+
+@SETTINGS
+@given(st.lists(st.lists(st.one_of(words, st.text(max_size=4), tricky), max_size=5).map("".join),
+                min_size=1, max_size=200))
+def test_categorize_on_unicode_text_matches_python_lower(spark, xs):
+    assert _eval(spark, xs, "string", categorize) == [_py_category(s) for s in xs]
