@@ -73,13 +73,30 @@ def classify_type(amount) -> Column:
 def amount_text(c) -> Column:
     """Python's ``str(float)`` for a double (Spark prints 1.0E7, Python 10000000.0).
 
-    Exact for 1e-4 <= |x| < 1e16 and for 0; outside that range Python's own
-    exponent form (``1e-05``) is not reproduced.
+    Plain digits for 1e-4 <= |x| < 1e16 (Spark's own text, or an exact decimal
+    for the ranges where Java switches to exponent form); Python's exponent
+    form (``1e-05``, ``1.5e+16``) outside it; ``inf``/``nan`` as Python. Digits
+    are Java's shortest-form digits, which on JDK 17 are rarely one longer
+    than Python's (e.g. subnormals).
     """
     x = _col(c)
+    java = x.cast("string")
     plain = F.regexp_replace(x.cast("decimal(38,10)").cast("string"), r"(\.\d+?)0*$", "$1")
-    return (F.when((F.abs(x) >= 1e7) | ((x != 0) & (F.abs(x) < 1e-3)), plain)
-             .otherwise(x.cast("string")))
+    sci_re = r"^(-?\d+)(?:\.(\d+))?E(-?)(\d+)$"
+    frac = F.regexp_extract(java, sci_re, 2)
+    mant = F.when(frac == "0", F.regexp_extract(java, sci_re, 1)).otherwise(
+        F.concat(F.regexp_extract(java, sci_re, 1), F.lit("."), frac))
+    digits = F.regexp_extract(java, sci_re, 4)
+    exp = F.concat(F.when(F.regexp_extract(java, sci_re, 3) == "-", F.lit("-")).otherwise(F.lit("+")),
+                   F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits))
+    sci = F.concat(mant, F.lit("e"), exp)
+    ax = F.abs(x)
+    return (F.when(F.isnan(x), F.lit("nan"))
+             .when(x == float("inf"), F.lit("inf"))
+             .when(x == float("-inf"), F.lit("-inf"))
+             .when((ax >= 1e16) | ((x != 0) & (ax < 1e-4)), sci)
+             .when((ax >= 1e7) | ((x != 0) & (ax < 1e-3)), plain)
+             .otherwise(java))
 
 
 def money_text(c) -> Column:

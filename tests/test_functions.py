@@ -175,3 +175,12 @@ tricky = st.sampled_from(["İ", "K", "Σ", "ẞ", "Ａ", "ﬁ", "Ω", "Å", "ı"
                 min_size=1, max_size=200))
 def test_categorize_on_unicode_text_matches_python_lower(spark, xs):
     assert _eval(spark, xs, "string", categorize) == [_py_category(s) for s in xs]
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.floats(min_value=1e-300, max_value=1e300),
+                          st.floats(min_value=-1e300, max_value=-1e-300),
+                          st.sampled_from([0.0, -0.0, 1e16, 1.5e16, 1e-05, -2.5e-07, 1e22])),
+                min_size=1, max_size=200))
+def test_amount_text_exponent_forms(spark, xs):
+    assert _eval(spark, xs, "double", amount_text) == [str(x) for x in xs]
