@@ -36,20 +36,30 @@ def bold_to_tags(c) -> Column:
 
 
 def json_string(c) -> Column:
-    """A string as ``json.dumps`` writes it (quotes, escapes, non-ASCII as ``\\uXXXX``).
+    r"""A string as ``json.dumps`` writes it: quotes, Python's escape table,
+    and every character outside printable ASCII as a lower-case ``\uXXXX``
+    (above U+FFFF as a surrogate pair). Null gives ``null``.
 
-    Spark's JSON writer escapes quotes, backslashes and control characters as
-    Python does; DEL and non-ASCII code points are then escaped one by one
-    (above U+FFFF as a surrogate pair), as Python's ``ensure_ascii``.
+    Printable-ASCII strings (the common case) take two ``replace`` calls;
+    others are escaped code point by code point.
     """
-    j = F.regexp_extract(F.to_json(F.struct(_col(c).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
-    chars = F.regexp_extract_all(j, F.lit(r"(?s)(.)"), 1)
+    x = _col(c)
+    simple = F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'),
+                                            F.lit('\\"')), F.lit('"'))
+    chars = F.regexp_extract_all(x, F.lit(r"(?s)(.)"), 1)
 
     def esc(ch):
         cp = F.ascii(ch)
         hi = F.lit(0xD800) + F.shiftright(cp - F.lit(0x10000), 10)
         lo = F.lit(0xDC00) + (cp - F.lit(0x10000)).bitwiseAND(F.lit(0x3FF))
-        return (F.when(cp < 127, ch)
+        return (F.when(ch == "\\", F.lit("\\\\")).when(ch == '"', F.lit('\\"'))
+                 .when(ch == "\n", F.lit("\\n")).when(ch == "\r", F.lit("\\r"))
+                 .when(ch == "\t", F.lit("\\t")).when(ch == "\b", F.lit("\\b"))
+                 .when(ch == "\f", F.lit("\\f"))
+                 .when((cp >= 32) & (cp < 127), ch)
                  .when(cp < 0x10000, F.format_string("\\u%04x", cp))
                  .otherwise(F.format_string("\\u%04x\\u%04x", hi, lo)))
-    return F.when(j.rlike(r"^[\x00-\x7E]*$"), j).otherwise(F.array_join(F.transform(chars, esc), ""))
+    full = F.concat(F.lit('"'), F.array_join(F.transform(chars, esc), ""), F.lit('"'))
+    return (F.when(x.isNull(), F.lit("null"))
+             .when(x.rlike(r"^[\x20-\x7E]*$"), simple)
+             .otherwise(full))

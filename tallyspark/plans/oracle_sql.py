@@ -409,13 +409,18 @@ def commas_txt(x: str) -> str:
 
 
 def jstr(x: str) -> str:
-    """``json.dumps`` of a string: DuckDB's JSON text, then DEL and non-ASCII as \\uXXXX."""
-    j = f"CAST(to_json({x}) AS VARCHAR)"
-    return (f"(CASE WHEN regexp_matches({j}, '^[\\x00-\\x7E]*$') THEN {j} ELSE array_to_string(list_transform("
-            f"regexp_extract_all({j}, '(?s)(.)', 1), lambda c: CASE WHEN unicode(c) < 127 THEN c "
-            f"WHEN unicode(c) < 65536 THEN printf('\\u%04x', unicode(c)) "
-            f"ELSE printf('\\u%04x\\u%04x', 55296 + ((unicode(c) - 65536) >> 10), "
-            f"56320 + ((unicode(c) - 65536) & 1023)) END), '') END)")
+    """``json.dumps`` of a string, built from its code points (Python's escape table)."""
+    one = (r"""CASE WHEN c = '\' THEN '\\' WHEN c = '"' THEN '\"' WHEN c = chr(10) THEN '\n' """
+           r"""WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t' WHEN c = chr(8) THEN '\b' """
+           r"""WHEN c = chr(12) THEN '\f' WHEN unicode(c) >= 32 AND unicode(c) < 127 THEN c """
+           r"""WHEN unicode(c) < 65536 THEN printf('\u%04x', unicode(c)) """
+           r"""ELSE printf('\u%04x\u%04x', 55296 + ((unicode(c) - 65536) >> 10), """
+           r"""56320 + ((unicode(c) - 65536) & 1023)) END""")
+    return (f"(CASE WHEN {x} IS NULL THEN 'null' "
+            f"WHEN regexp_matches({x}, '^[\\x20-\\x7E]*$') "
+            f"THEN '\"' || replace(replace({x}, '\\', '\\\\'), '\"', '\\\"') || '\"' "
+            f"ELSE '\"' || array_to_string(list_transform(regexp_extract_all({x}, '(?s)(.)', 1), "
+            f"lambda c: {one}), '') || '\"' END)")
 
 
 def pyrepr(x: str) -> str:
