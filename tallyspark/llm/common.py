@@ -51,12 +51,15 @@ def number_within(df: DataFrame, group: str, order: list[str], out: str, rows_pe
 
     Each group is dealt over as many salts as its row count asks for; rows are
     numbered inside a (group, salt) and shifted by the counts of the salts
-    before. Only the counts are ever brought together per group.
+    before. Only the counts are ever brought together per group; broadcast are
+    one row per group and one per (group, salt), that is rows / rows_per_task
+    and the number of groups. Meant for few, large groups; ``df`` should be a
+    written table, as it is read three times.
     """
-    salted = df.withColumn("__salt_of", F.abs(F.xxhash64(*order)))
+    salted = df.withColumn("__salt_of", F.xxhash64(*order))
     sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
     sizes = sizes.withColumn("__salts", F.ceil(F.col("__n") / rows_per_task).cast("int"))
-    salted = salted.join(sizes.select("__g", "__salts"), salted[group].eqNullSafe(F.col("__g"))).withColumn(
+    salted = salted.join(F.broadcast(sizes.select("__g", "__salts")), salted[group].eqNullSafe(F.col("__g"))).withColumn(
         "__salt", F.pmod("__salt_of", F.col("__salts"))
     ).drop("__g", "__salts", "__salt_of")
     counts = salted.groupBy(F.col(group).alias("__g"), F.col("__salt").alias("__s")).agg(F.count(F.lit(1)).alias("__c"))
@@ -65,7 +68,7 @@ def number_within(df: DataFrame, group: str, order: list[str], out: str, rows_pe
     within = Window.partitionBy(group, "__salt").orderBy(*order)
     ranked = salted.withColumn("__at", F.row_number().over(within) - 1)
     return (
-        ranked.join(shifts, ranked[group].eqNullSafe(F.col("__g")) & (F.col("__salt") == F.col("__s")))
+        ranked.join(F.broadcast(shifts), ranked[group].eqNullSafe(F.col("__g")) & (F.col("__salt") == F.col("__s")))
         .withColumn(out, (F.col("__at") + F.col("__shift")).cast("long"))
         .drop("__g", "__s", "__shift", "__salt", "__at")
     )

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import langid, secrets, simhash
+from tallyspark.llm import decontam, kdshard, langid, packing, secrets, simhash
 from tallyspark.llm.common import crc_mod, table
 
 
@@ -26,12 +26,27 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "language.lang_pred", "language.score", "language.margin", "language.rejected")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op9_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kdshard.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_language_id, op10_simhash)
+    f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_decontamination, op7_best_fit_packing, op9_kd_tree_sharding, op10_simhash)
 }
 ORACLES: dict[str, str] = {}
