@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontam, kdshard, langid, packing, secrets, simhash
+from tallyspark.llm import decontam, hmm, kdshard, langid, packing, secrets, simhash
 from tallyspark.llm.common import crc_mod, table
 
 
@@ -32,6 +32,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
 
 
+def op6_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = hmm.train(docs, hmm.training_rows())
+    scored = hmm.score(docs, model, counts)
+    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -47,6 +54,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_decontamination, op7_best_fit_packing, op9_kd_tree_sharding, op10_simhash)
+    f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_decontamination, op6_hmm_scoring, op7_best_fit_packing, op9_kd_tree_sharding, op10_simhash)
 }
 ORACLES: dict[str, str] = {}
