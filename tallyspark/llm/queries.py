@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontam, hmm, kdshard, langid, packing, secrets, simhash
+from tallyspark.llm import decontam, hmm, kdshard, langid, minhash, packing, secrets, simhash
 from tallyspark.llm.common import crc_mod, table
 
 
@@ -43,6 +43,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kdshard.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -54,6 +58,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_decontamination, op6_hmm_scoring, op7_best_fit_packing, op9_kd_tree_sharding, op10_simhash)
+    f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_decontamination, op6_hmm_scoring, op7_best_fit_packing, op8_fingerprints, op9_kd_tree_sharding, op10_simhash)
 }
 ORACLES: dict[str, str] = {}
