@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontam, hmm, kdshard, langid, minhash, packing, secrets, simhash
+from tallyspark.llm import decontam, hmm, kdshard, langid, minhash, packing, secrets, simhash, urls
 from tallyspark.llm.common import crc_mod, table
 
 
@@ -32,6 +32,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.train_filter(urls.labelled_table(spark))
+    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), model)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op6_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, counts = hmm.train(docs, hmm.training_rows())
@@ -58,6 +64,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_decontamination, op6_hmm_scoring, op7_best_fit_packing, op8_fingerprints, op9_kd_tree_sharding, op10_simhash)
+    f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_decontamination, op5_url_filter, op6_hmm_scoring, op7_best_fit_packing, op8_fingerprints, op9_kd_tree_sharding, op10_simhash)
 }
 ORACLES: dict[str, str] = {}
