@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import crc_mod, text_struct
 from tallyspark.session import materialize
 
-STATES, ROUNDS, SYMBOLS, CLASSES, COUNTED, LONG_WORD = 8, 4, 50_000, 256, 400_000, 64
+STATES, ROUNDS, SYMBOLS, CLASSES, COUNTED, LONG_WORD = 8, 4, 50_000, 256, 200_000, 64
 SEGMENT, CHUNK = 128, 200_000
 #: Words that a counting task holds before it passes them on.
 HELD_WORDS = 400_000
@@ -88,9 +88,9 @@ def count_words(texts: DataFrame, text: str, classes: int) -> DataFrame:
 class Model:
     """Parameters and bounded tables; symbols are words by rank, then classes, then the end."""
 
-    def __init__(self, ranked: list[tuple[str, int, int]], ends: int, tokens: int, types: int, by_class: dict[int, tuple[int, int]], states: int, symbols: int, classes: int) -> None:
-        self.rank = {w.encode(): i for i, (w, _, _) in enumerate(ranked)}
-        c = np.array([n for _, _, n in ranked] or [0], dtype=np.float64)[: len(ranked)]
+    def __init__(self, words: list[bytes], cls: np.ndarray, counts: np.ndarray, ends: int, tokens: int, types: int, by_class: dict[int, tuple[int, int]], states: int, symbols: int, classes: int) -> None:
+        self.rank = {w: i for i, w in enumerate(words)}
+        c, cls = counts.astype(np.float64), cls.astype(np.int64)
         self.words = n_words = min(symbols, int((c >= SYMBOL_COUNT).sum()))
         self.classes, self.states = classes, states
         self.size = n_words + classes + 1
@@ -98,11 +98,10 @@ class Model:
         self.ends = ends
         # Classes hold what is left without the words that are symbols.
         inside = np.array([by_class.get(k, (0, 0)) for k in range(classes)], dtype=np.float64).reshape(classes, 2)
-        cls = np.array([k for _, k, _ in ranked], dtype=np.int64)
         np.subtract.at(inside, cls[:n_words], np.stack([c[:n_words], np.ones(n_words)], axis=1))
         self.class_room = np.log10(inside.sum(axis=1) + 1)  # log10 of (tokens + types + 1) of a class
         # By rank, and last for a word that isn't ranked: symbol, share in its class, base numerator.
-        self.symbol = np.append(np.where(np.arange(len(ranked)) < n_words, np.arange(len(ranked)), n_words + cls), -1).astype(np.int32)
+        self.symbol = np.append(np.where(np.arange(len(c)) < n_words, np.arange(len(c)), n_words + cls), -1).astype(np.int32)
         share = np.log10(c + 1) - self.class_room[cls]
         share[:n_words] = 0
         self.share = np.append(share, 0.0)
@@ -187,9 +186,9 @@ def train(docs: DataFrame, training: Column, *, text: str = "text", states: int
     counts = materialize(count_words(learn, "t", classes), "lm-counts")
     ends = learn.count()
     by_class = {r["cls"]: (int(r["n"]), r["v"]) for r in counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    ranked = [(r["word"], r["cls"], r["c"]) for r in counts.where(F.octet_length("word") <= LONG_WORD).orderBy(F.desc("c"), "word").limit(counted).collect()]
+    ranked = counts.where(F.octet_length("word") <= LONG_WORD).orderBy(F.desc("c"), "word").limit(counted).select(F.encode("word", "UTF-8").alias("word"), "cls", "c").toArrow()
     tokens, types = sum(n for n, _ in by_class.values()) + ends, sum(v for _, v in by_class.values()) + (ends > 0)
-    model = Model(ranked, ends, tokens, types, by_class, states, symbols, classes)
+    model = Model(ranked["word"].to_pylist(), ranked["cls"].to_numpy(), ranked["c"].to_numpy(), ends, tokens, types, by_class, states, symbols, classes)
     if not ends:
         return model, counts.select("word", "c")
     shared = spark.sparkContext.broadcast(model)
@@ -201,13 +200,13 @@ def train(docs: DataFrame, training: Column, *, text: str = "text", states: int
     coded = materialize(learn.select(text_struct(make, "ids binary")(F.col("t"))["ids"].alias("ids")), "lm-symbols")
     for _ in range(rounds):
         given = spark.sparkContext.broadcast((model.step, model.emit, model.begin))
-        model.step, model.emit, model.begin = update(model, expected(coded, given, model.size, states))
+        model.step, model.emit, model.begin = update(model, *expected(coded, given, model.size, states))
         given.unpersist()
     return model, counts.select("word", "c")
 
 
-def expected(coded: DataFrame, given, size: int, states: int) -> list:
-    """Expected counts of one round: rows (symbol or a row below the symbols, one value per state)."""
+def expected(coded: DataFrame, given, size: int, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected counts of one round: symbols (or negative numbers for transitions and beginnings), and a value per state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, emit, begin = given.value
@@ -234,20 +233,18 @@ def expected(coded: DataFrame, given, size: int, states: int) -> list:
 
     columns = [f"s{j}" for j in range(states)]
     made = coded.mapInArrow(run, "at long, " + ", ".join(f"{c} double" for c in columns))
-    return made.groupBy("at").agg(*[F.sum(c).alias(c) for c in columns]).collect()  # size + states + 2 rows at most
+    rows = made.groupBy("at").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()  # size + states + 2 rows at most
+    return rows["at"].to_numpy(), np.stack([rows[c].to_numpy() for c in columns], axis=1)
 
 
-def update(model: Model, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def update(model: Model, at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """New transitions, emissions and beginnings from summed expected counts."""
     k = model.states
     emit, step, begin = np.zeros((k, model.size)), np.zeros((k, k)), np.zeros((2, k))
-    for r in rows:
-        at, values = r[0], np.array(r[1:])
-        if at >= 0:
-            emit[:, at] = values
-        elif at >= -k:
-            step[-1 - at] = values
-        else:
-            begin[-1 - k - at] = values
+    shown, moved, begun = at >= 0, (at < 0) & (at >= -k), at < -k
+    emit[:, at[shown]] = values[shown].T
+    step[-1 - at[moved]] = values[moved]
+    begin[-1 - k - at[begun]] = values[begun]
     emit += PRIOR * model.unigram
     step += STEP_PRIOR
     begin += STEP_PRIOR

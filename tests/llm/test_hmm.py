@@ -52,7 +52,7 @@ def test_expected_counts_and_forward_match_all_paths():
         want["emit"] += e
     for k in want:
         np.testing.assert_allclose(sums[k], want[k], rtol=2e-5)
-    model = hmm.Model([], 0, 0, 0, {}, 3, 0, 4)
+    model = hmm.Model([], np.zeros(0), np.zeros(0), 0, 0, 0, {}, 3, 0, 4)
     model.step, model.emit, model.begin = step, emit, begin
     np.testing.assert_allclose(hmm.forward(seqs, model), [math.log(by_paths(s, step, emit, begin[0])[0]) for s in seqs])
 
