@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontam, hmm, kdshard, langid, minhash, packing, secrets, simhash, urls
+from tallyspark.llm import decontam, hmm, kdshard, langid, licenses, minhash, packing, secrets, simhash, urls
 from tallyspark.llm.common import crc_mod, table
 
 
@@ -26,6 +26,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "language.lang_pred", "language.score", "language.margin", "language.rejected")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan_licenses(docs.select("doc_id", licenses.document_path().alias("path"), "text"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -64,6 +69,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_decontamination, op5_url_filter, op6_hmm_scoring, op7_best_fit_packing, op8_fingerprints, op9_kd_tree_sharding, op10_simhash)
+    f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_license_scan, op4_decontamination, op5_url_filter, op6_hmm_scoring, op7_best_fit_packing, op8_fingerprints, op9_kd_tree_sharding, op10_simhash)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle_sql()}

@@ -214,13 +214,28 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """One row per input row: ``key``, ``fp`` (signed long), ``root`` (smallest fingerprint reached), ``component_id``."""
-    prints = materialize(add_fingerprints(docs.select(F.col(key), F.col(text).alias("__text")), "__text", "fp", words=words).drop("__text"), "simhash-prints")
+    """One row per input row: ``key``, ``text_hash``, ``fp`` (signed long), ``root`` (smallest fingerprint reached), ``component_id``."""
+    prints = materialize(add_fingerprints(docs.select(F.col(key), text_hash(text).alias("text_hash"), F.col(text).alias("__text")), "__text", "fp", words=words).drop("__text"), "simhash-prints")
     distinct = prints.groupBy("fp").agg(F.min(key).alias("least"))
     roots = components(near_links(distinct.select("fp"), max_bits, hot_bucket))
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = materialize(classes, "simhash-classes")
     ids = classes.groupBy(F.col("root").alias("__root")).agg(F.min("least").alias("component_id"))
     classes = classes.join(ids, classes["root"] == ids["__root"]).select(F.col("fp").alias("__fp"), "root", "component_id")
-    return prints.join(classes, prints["fp"] == classes["__fp"]).select(key, "fp", "root", "component_id")
+    return prints.join(classes, prints["fp"] == classes["__fp"]).select(key, "text_hash", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each component: the smallest key (null last), then the smallest hash of the text; all columns as they are."""
+    found = simhash_components(docs, key, text, **options)
+    first = F.min(F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("k"), "text_hash"))
+    kept = found.groupBy("root").agg(first.alias("r")).select(F.coalesce("r.k", F.lit(-1)).alias("__k"), F.col("r.no_key").alias("__no"), F.col("r.text_hash").alias("__h"))
+    mark = ["__k", "__no", "__h"]
+    marked = docs.withColumns({"__k": F.coalesce(key, F.lit(-1)), "__no": F.col(key).isNull(), "__h": text_hash(text)})
+    # Rows with equal key and text are copies of each other: one stays.
+    return marked.join(kept, mark, "left_semi").dropDuplicates(mark).drop(*mark)
