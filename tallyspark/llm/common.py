@@ -17,12 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_struct(fn: Callable[[], Callable[[list], dict]], schema: str) -> Callable[..., Column]:
+def text_struct(fn: Callable[[], Callable[[list], dict]], schema: str, as_list: bool = True) -> Callable[..., Column]:
     """A struct column computed from text columns, Arrow batch by Arrow batch.
 
     ``fn()`` is called once per task and returns a function from the batch's
-    Python lists (one per argument) to a dict of equally long lists, one for
-    each field of ``schema``. Marked non-deterministic so that the optimiser
+    values (a Python list, or the Arrow array) to a dict of equally long lists or
+    arrays, one for each field of ``schema``. Marked non-deterministic so that the optimiser
     never evaluates it a second time for a filter pushed below it.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -34,7 +34,7 @@ def text_struct(fn: Callable[[], Callable[[list], dict]], schema: str) -> Callab
     def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         made = fn()
         for batch in batches:
-            out = made(batch.to_pylist())
+            out = made(batch.to_pylist() if as_list else batch)
             yield pa.StructArray.from_arrays([pa.array(out[f.name], f.type) for f in arrow], fields=list(arrow))
 
     one.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

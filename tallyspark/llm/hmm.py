@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,6 @@ from tallyspark.session import materialize
 
 STATES, ROUNDS, SYMBOLS, CLASSES, COUNTED, LONG_WORD = 8, 4, 50_000, 256, 200_000, 64
 SEGMENT, CHUNK = 128, 200_000
-#: Words that a counting task holds before it passes them on.
-HELD_WORDS = 400_000
 #: Pseudo-counts: of the whole vocabulary in a state, spread like the word counts; of a transition.
 PRIOR, STEP_PRIOR = 200.0, 1.0
 #: Words seen less often are left to the classes, whose weight then also fits words not seen at all.
@@ -50,8 +49,22 @@ SYMBOL_COUNT = 5
 STAY = 0.99
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split() if text else []
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, and where each text's words begin and end."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(texts), ""))
+    flat, ends = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    filled = pc.greater(pc.binary_length(flat), 0)  # white space at an end of a text leaves an empty word
+    before = np.concatenate(([0], np.cumsum(filled.to_numpy(zero_copy_only=False))))
+    return flat.filter(filled), before[ends]
+
+
+def sums_between(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of each text's values; 0 for a text without words."""
+    out = np.zeros(len(ends) - 1, dtype=np.result_type(values, np.int64))
+    some = ends[1:] > ends[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, ends[:-1][some], dtype=out.dtype)
+    return out
 
 
 def class_of(word: bytes, classes: int) -> int:
@@ -67,29 +80,38 @@ def count_words(texts: DataFrame, text: str, classes: int) -> DataFrame:
     """(word, cls, c) over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            words = list(held)
-            cls = [class_of(w, classes) for w in words]
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array(cls, pa.int32()), pa.array(list(held.values()), pa.int64())], names=["word", "cls", "n"])
-
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(words_of(t))
-                if len(held) >= HELD_WORDS:
-                    yield out()
-                    held.clear()
-        yield out()
+            words, n = split_words(b.column(0))[0].value_counts().flatten()
+            cls = [class_of(w, classes) for w in words.cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([words, pa.array(cls, pa.int32()), n], names=["word", "cls", "n"])
 
     return texts.select(text).mapInArrow(count, "word string, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, at most ``most``, by falling count: all words above a bound on the count.
+
+    The bound comes from how many words there are of each size of count, so
+    that no task has to merge every other task's best words.
+    """
+    short = counts.where(F.octet_length("word") <= LONG_WORD)
+    grade = F.floor(F.log2(F.col("c")) * 64)
+    sizes = short.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("n")).collect()  # 64 for each doubling of the count
+    room, bound = most, None
+    for r in sorted(sizes, key=lambda r: -r["grade"]):
+        room -= r["n"]
+        if room < 0:
+            break
+        bound = r["grade"]
+    kept = short.where(grade >= bound) if bound is not None else short.where("false")
+    return kept.orderBy(F.desc("c"), "word")
+
+
 class Model:
     """Parameters and bounded tables; symbols are words by rank, then classes, then the end."""
 
-    def __init__(self, words: list[bytes], cls: np.ndarray, counts: np.ndarray, ends: int, tokens: int, types: int, by_class: dict[int, tuple[int, int]], states: int, symbols: int, classes: int) -> None:
-        self.rank = {w: i for i, w in enumerate(words)}
+    def __init__(self, ranked: pa.Array, cls: np.ndarray, counts: np.ndarray, ends: int, tokens: int, types: int, by_class: dict[int, tuple[int, int]], states: int, symbols: int, classes: int) -> None:
+        self.ranked = ranked
         c, cls = counts.astype(np.float64), cls.astype(np.int64)
         self.words = n_words = min(symbols, int((c >= SYMBOL_COUNT).sum()))
         self.classes, self.states = classes, states
@@ -116,15 +138,19 @@ class Model:
         np.fill_diagonal(self.step, STAY if states > 1 else 1.0)
         self.begin = np.full((2, states), 1 / states)  # of a text; of a later segment
 
-    def symbols_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks (len(rank) if not ranked) and symbols, the end token last in the symbols."""
-        none = len(self.rank)
-        get = self.rank.get
-        ranks = np.array([get(w, none) for w in words], dtype=np.int64)
-        symbols = np.append(self.symbol[ranks], self.size - 1).astype(np.int32)
-        missing = np.flatnonzero(ranks == none).tolist()
-        symbols[missing] = [self.words + zlib.crc32(words[i][-3:]) % self.classes for i in missing]
-        return ranks, symbols
+    def symbols_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Rank of each word (the number of ranked words if it has none), its symbol, and the words without a rank."""
+        none = len(self.ranked)
+        ranks = pc.fill_null(pc.index_in(words, value_set=self.ranked), none).to_numpy()
+        symbols = self.symbol[ranks]
+        missing = np.flatnonzero(ranks == none)
+        unranked = words.take(pa.array(missing)).cast(pa.binary()).to_pylist()
+        symbols[missing] = [self.words + class_of(w, self.classes) for w in unranked]
+        return ranks, symbols, unranked
+
+    def sequences_of(self, symbols: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """The symbols of each text, the end token last."""
+        return [np.append(symbols[a:b], np.int32(self.size - 1)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def expected_counts(segments: list[np.ndarray], first: list[bool], step: np.ndarray, emit: np.ndarray, begin: np.ndarray, sums: dict) -> None:
@@ -186,18 +212,23 @@ def train(docs: DataFrame, training: Column, *, text: str = "text", states: int
     counts = materialize(count_words(learn, "t", classes), "lm-counts")
     ends = learn.count()
     by_class = {r["cls"]: (int(r["n"]), r["v"]) for r in counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    ranked = counts.where(F.octet_length("word") <= LONG_WORD).orderBy(F.desc("c"), "word").limit(counted).select(F.encode("word", "UTF-8").alias("word"), "cls", "c").toArrow()
+    ranked = frequent(counts, counted).select("word", "cls", "c").toArrow()
     tokens, types = sum(n for n, _ in by_class.values()) + ends, sum(v for _, v in by_class.values()) + (ends > 0)
-    model = Model(ranked["word"].to_pylist(), ranked["cls"].to_numpy(), ranked["c"].to_numpy(), ends, tokens, types, by_class, states, symbols, classes)
+    model = Model(ranked["word"].combine_chunks(), ranked["cls"].to_numpy(), ranked["c"].to_numpy(), ends, tokens, types, by_class, states, symbols, classes)
     if not ends:
         return model, counts.select("word", "c")
     shared = spark.sparkContext.broadcast(model)
 
     def make():
         m = shared.value
-        return lambda texts: {"ids": [m.symbols_of(words_of(t))[1].tobytes() for t in texts]}
 
-    coded = materialize(learn.select(text_struct(make, "ids binary")(F.col("t"))["ids"].alias("ids")), "lm-symbols")
+        def batch(texts):
+            words, ends = split_words(texts)
+            return {"ids": [ids.tobytes() for ids in m.sequences_of(m.symbols_of(words)[1], ends)]}
+
+        return batch
+
+    coded = materialize(learn.select(text_struct(make, "ids binary", as_list=False)(F.col("t"))["ids"].alias("ids")), "lm-symbols")
     for _ in range(rounds):
         given = spark.sparkContext.broadcast((model.step, model.emit, model.begin))
         model.step, model.emit, model.begin = update(model, *expected(coded, given, model.size, states))
@@ -279,35 +310,38 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, key: str = "doc_i
 
     def make():
         m = shared.value
-        none = len(m.rank)
 
         def batch(texts):
-            out = {c: [] for c in ("n_tokens", "n_known", "base", "share", "rare")}
-            sequences, held, logs = [], 0, []
-            for t in texts:
-                words = words_of(t)
-                ranks, symbols = m.symbols_of(words)
-                known = ranks < none
-                out["n_tokens"].append(len(words) + 1)
-                out["n_known"].append(int(known.sum()) + (m.ends > 0))
-                out["base"].append(float(m.base[ranks].sum() + np.log10(m.ends + 1) - m.room * (len(words) + 1)))
-                missing = np.flatnonzero(~known).tolist()
-                out["share"].append(float(m.share[ranks].sum()) - float(sum(m.class_room[symbols[i] - m.words] for i in missing)))
-                out["rare"].append([{"word": w.decode(), "n": n} for w, n in Counter(words[i] for i in missing).items()])
-                sequences.append(symbols)
-                held += len(symbols)
-                if held >= 8 * CHUNK:
-                    logs.append(forward(sequences, m))
-                    sequences, held = [], 0
-            if sequences:
-                logs.append(forward(sequences, m))
+            words, ends = split_words(texts)
+            ranks, symbols, unranked = m.symbols_of(words)
+            known = ranks < len(m.ranked)
+            # Words without a rank: no numerator yet, and the room of their class.
+            share = m.share[ranks]
+            share[~known] = -m.class_room[symbols[~known] - m.words]
+            total = lambda x: sums_between(x, ends)
+            length = np.diff(ends) + 1
+            missing = np.concatenate(([0], np.cumsum(~known)))[ends].tolist()
+            logs, held, size = [], [], 0
+            for s in m.sequences_of(symbols, ends):
+                held.append(s)
+                size += len(s)
+                if size >= 8 * CHUNK:
+                    logs.append(forward(held, m))
+                    held, size = [], 0
+            if held:
+                logs.append(forward(held, m))
             made = np.concatenate(logs) / np.log(10) if logs else np.zeros(0)
-            out["share"] = (made + np.array(out["share"])).tolist()
-            return out
+            return {
+                "n_tokens": length,
+                "n_known": total(known) + (m.ends > 0),
+                "base": total(m.base[ranks]) + np.log10(m.ends + 1) - m.room * length,
+                "share": made + total(share),
+                "rare": [[{"word": w.decode(), "n": n} for w, n in Counter(unranked[a:b]).items()] for a, b in zip(missing, missing[1:])],
+            }
 
         return batch
 
-    column = text_struct(make, "n_tokens long, n_known long, base double, share double, rare array<struct<word:string,n:long>>")
+    column = text_struct(make, "n_tokens long, n_known long, base double, share double, rare array<struct<word:string,n:long>>", as_list=False)
     first = docs.select(F.col(key), F.monotonically_increasing_id().alias("__row"), column(F.col(text)).alias("s")).select(key, "__row", "s.*")
     first = materialize(first, "lm-first")
     # Words that aren't ranked: their counts come by a join; unknown ones add nothing to either sum.
