@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyspark.schema import MONEY_DECIMAL
+from tallyspark.schema import MONEY_DECIMAL, ROW_DECIMAL
 
 # Characters removed from amount text before parsing, and the
 # shape a cleaned amount must have to count as a number (sign, digits, an
@@ -23,8 +23,23 @@ def _col(c) -> Column:
 
 
 def exact_sum(c) -> Column:
-    """Sum of money as an exact decimal (order-independent, unlike doubles)."""
-    return F.sum(_col(c).cast(MONEY_DECIMAL))
+    """Sum of money as an exact decimal (order-independent, unlike doubles); null when there is nothing to sum.
+
+    Rows are summed with ten decimal places and never rounded one by one. If a
+    row is 1e18 or more, the group's sum is taken in double precision instead
+    (such doubles have no decimal places left to lose); a sum that even the
+    wide decimal can't hold is null. Nothing raises.
+    """
+    x = _col(c)
+    row = x.try_cast(ROW_DECIMAL)
+    return (F.when(F.count(row) == F.count(x), F.try_sum(row))
+             .otherwise(F.sum(x.cast("double")).try_cast(MONEY_DECIMAL)))
+
+
+def exact_total(c) -> Column:
+    """``exact_sum`` with 0 for an empty group (and null only for a sum out of range)."""
+    x = _col(c)
+    return F.when(F.count(x) == 0, F.lit(0).cast(MONEY_DECIMAL)).otherwise(exact_sum(x))
 
 
 def to_cents(c) -> Column:
@@ -32,11 +47,6 @@ def to_cents(c) -> Column:
     return F.round(_col(c), 2).cast("double")
 
 
-def money_sum(c) -> Column:
-    """``sum`` of a money column, exact, rounded to cents, as double; 0 when empty."""
-    return to_cents(F.coalesce(exact_sum(c), F.lit(0).cast(MONEY_DECIMAL)))
-
-
 def safe_ratio_pct(num, den) -> Column:
     """``num / den * 100`` when ``den > 0`` else 0.0 (ANSI-safe division)."""
     num, den = _col(num), _col(den)
@@ -49,7 +59,7 @@ def round_half_up(c, digits: int) -> Column:
     The double is first taken to an exact decimal with ten places, so both
     Spark and SQL engines that round the binary value agree.
     """
-    return F.round(_col(c).cast("decimal(38,10)"), digits).cast("double")
+    return F.round(_col(c).try_cast("decimal(38,10)"), digits).cast("double")
 
 
 def clean_amount(raw) -> Column:

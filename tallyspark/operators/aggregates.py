@@ -12,12 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.dates import month_label, month_start
-from tallyspark.functions.money import exact_sum, safe_ratio_pct, to_cents
-from tallyspark.schema import ACCOUNT, AMOUNT, CATEGORY, CREDIT, DATE, DEBIT, MONEY_DECIMAL, TXN, TYPE
-
-def _zero():
-    return F.lit(0).cast(MONEY_DECIMAL)
+from tallyspark.functions.dates import month_label, month_start, wall_micros
+from tallyspark.functions.money import exact_sum, exact_total, safe_ratio_pct, to_cents
+from tallyspark.schema import ACCOUNT, AMOUNT, CATEGORY, CREDIT, DATE, DEBIT, TXN, TYPE
 
 
 def _keys(by) -> list[str]:
@@ -27,8 +24,8 @@ def _keys(by) -> list[str]:
 def _credit_debit_sums(ledger: DataFrame, keys: list) -> DataFrame:
     """Exact credit and debit sums per key (``_inc`` >= 0, ``_exp`` = abs(sum debits))."""
     return ledger.groupBy(*keys).agg(
-        F.coalesce(exact_sum(F.when(F.col(TYPE) == CREDIT, F.col(AMOUNT))), _zero()).alias("_inc"),
-        F.abs(F.coalesce(exact_sum(F.when(F.col(TYPE) == DEBIT, F.col(AMOUNT))), _zero())).alias("_exp"))
+        exact_total(F.when(F.col(TYPE) == CREDIT, F.col(AMOUNT))).alias("_inc"),
+        F.abs(exact_total(F.when(F.col(TYPE) == DEBIT, F.col(AMOUNT)))).alias("_exp"))
 
 
 def _money_columns(prefix: str = "") -> list:
@@ -78,9 +75,15 @@ def monthly_summary(ledger: DataFrame, by=ACCOUNT) -> DataFrame:
 
 
 def monthly_series(ledger: DataFrame, by=ACCOUNT) -> DataFrame:
-    """MonthDate (DATE), Income, Expenses, Savings: the forecaster's input."""
+    """MonthDate (DATE), Income, Expenses, Savings and the month's position: the forecaster's input.
+
+    ``position`` counts an account's months from 1, oldest first; the window
+    runs over aggregated rows, one per month with data.
+    """
     keys = _keys(by)
-    return monthly_totals(ledger, keys).select(*keys, "MonthDate", *_money_columns())
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy("MonthDate"))
+    return monthly_totals(ledger, keys).select(*keys, "MonthDate", *_money_columns(),
+                                               position.alias("position"))
 
 
 def debits_only(ledger: DataFrame) -> DataFrame:
@@ -107,7 +110,7 @@ def category_share(ledger: DataFrame, by=ACCOUNT) -> DataFrame:
     keys = _keys(by)
     cats = (debits_only(ledger).groupBy(*keys, CATEGORY)
             .agg(F.abs(exact_sum(AMOUNT)).alias("_amt")))
-    total = to_cents(F.sum("_amt").over(Window.partitionBy(*keys)))
+    total = to_cents(F.try_sum("_amt").over(Window.partitionBy(*keys)))
     amt = to_cents(F.col("_amt"))
     return cats.select(*keys, CATEGORY, amt.alias("Amount"), total.alias("total_expenses"),
                        safe_ratio_pct(amt, total).alias("share_pct"))
@@ -122,8 +125,8 @@ def default_contribution(ledger: DataFrame, by=ACCOUNT) -> DataFrame:
     """
     keys = _keys(by)
     sums = ledger.groupBy(*keys).agg(
-        F.coalesce(exact_sum(F.when(F.col(TYPE) == CREDIT, F.col(AMOUNT))), _zero()).alias("_inc"),
-        F.abs(F.coalesce(exact_sum(F.when(F.col(TYPE) == DEBIT, F.col(AMOUNT))), _zero())).alias("_exp"),
+        exact_total(F.when(F.col(TYPE) == CREDIT, F.col(AMOUNT))).alias("_inc"),
+        F.abs(exact_total(F.when(F.col(TYPE) == DEBIT, F.col(AMOUNT)))).alias("_exp"),
         F.count_distinct(month_start(F.col(DATE))).alias("n_months"))
     net = to_cents(F.col("_inc") - F.col("_exp"))
     contrib = F.when(F.col("n_months") > 0,
@@ -159,8 +162,15 @@ def top_transactions(ledger: DataFrame, k: int = 5, by=ACCOUNT, tie=(TXN,)) -> D
 
 
 def ledger_newest_first(ledger: DataFrame, tie=(TXN,)) -> DataFrame:
-    """Presentation order: newest first, undated last (a global range sort)."""
-    return ledger.orderBy(F.col(ACCOUNT), F.col(DATE).desc_nulls_last(), *[F.col(c) for c in tie])
+    """Presentation order: newest first, undated last (a global range sort).
+
+    For one account's view this is the reference's order. The order itself is
+    carried by ``sort_key``, the negative microseconds since 1970, so that a
+    reader of the written table can restore it with a plain sort (account,
+    sort_key, tie); undated rows have the largest key.
+    """
+    keyed = ledger.withColumn("sort_key", F.coalesce(-wall_micros(F.col(DATE)), F.lit((1 << 63) - 1)))
+    return keyed.orderBy(F.col(ACCOUNT), F.col("sort_key"), *[F.col(c) for c in tie])
 
 
 def monthly_cash_flow_long(ledger: DataFrame, by=ACCOUNT) -> DataFrame:

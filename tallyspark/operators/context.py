@@ -16,7 +16,7 @@ from tallyspark.functions.money import (amount_text, exact_sum, float_commas_tex
                                         percent_text, round_half_up, safe_ratio_pct, to_cents)
 from tallyspark.functions.text import PY_SPACE_CLASS, bold_to_tags, json_string, py_strip
 from tallyspark.operators.aggregates import category_expenses, kpi_summary, top_transactions
-from tallyspark.schema import ACCOUNT, AMOUNT, CATEGORY, CREDIT, DATE, DEBIT, DESC, TYPE
+from tallyspark.schema import ACCOUNT, AMOUNT, CATEGORY, CREDIT, DATE, DEBIT, DESC, MONEY_DECIMAL, TYPE
 
 # The advisor prompt templates. ``{advisor}`` names the
 # assistant; the placeholders in angle brackets are filled per account.
@@ -105,11 +105,25 @@ def _fill(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*[p for p in parts])
 
 
+# Characters that Python's repr writes as an escape: controls, format and
+# private characters, unassigned code points and every separator but the blank.
+UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
+
+
+def _escaped_char(ch: Column) -> Column:
+    code = F.call_function("ascii", ch)
+    digits = F.lower(F.hex(code))
+    return (F.when(ch == "\n", F.lit("\\n")).when(ch == "\r", F.lit("\\r")).when(ch == "\t", F.lit("\\t"))
+             .when(code < 0x100, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0")))
+             .when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(digits, 4, "0")))
+             .otherwise(F.concat(F.lit("\\U"), F.lpad(digits, 8, "0"))))
+
+
 def py_str_repr(c: Column) -> Column:
-    """Python ``repr`` of a string (quotes and the common escapes)."""
+    """Python ``repr`` of a string: its choice of quotes, and escapes for what is not printable."""
     esc = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-    esc = F.replace(F.replace(F.replace(esc, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")),
-                    F.lit("\t"), F.lit("\\t"))
+    chars = F.transform(F.split(esc, ""), lambda ch: F.when(ch.rlike(UNPRINTABLE), _escaped_char(ch)).otherwise(ch))
+    esc = F.when(esc.rlike(UNPRINTABLE), F.array_join(chars, "")).otherwise(esc)
     dq = c.contains("'") & ~c.contains('"')
     return F.when(dq, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
         F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'")))
@@ -182,14 +196,14 @@ def financial_context(ledger: DataFrame, k: int = 5, by=ACCOUNT) -> DataFrame:
     is the record as ``json.dumps`` prints it.
     """
     keys = _keys(by)
-    zero = F.lit(0).cast("decimal(18,4)")
+    zero = F.lit(0).cast(MONEY_DECIMAL)
     per_cat = ledger.groupBy(*keys, CATEGORY).agg(
         exact_sum(F.when(F.col(TYPE) == CREDIT, F.col(AMOUNT))).alias("_inc"),
         exact_sum(F.when(F.col(TYPE) == DEBIT, F.col(AMOUNT))).alias("_deb"))
     item = F.when(F.col("_deb").isNotNull(), _category_item(to_cents(F.abs(F.col("_deb")))))
     acct = per_cat.groupBy(*keys).agg(
-        F.coalesce(F.sum("_inc"), zero).alias("_inc"),
-        F.abs(F.coalesce(F.sum("_deb"), zero)).alias("_exp"),
+        F.coalesce(F.try_sum("_inc"), zero).alias("_inc"),
+        F.abs(F.coalesce(F.try_sum("_deb"), zero)).alias("_exp"),
         F.sort_array(F.collect_list(item)).alias("_items"))
     inc, exp = to_cents(F.col("_inc")), to_cents(F.col("_exp"))
     net = to_cents(F.col("_inc") - F.col("_exp"))
@@ -257,8 +271,10 @@ def dialog_assembly(conversations: DataFrame, ledger: DataFrame, advisor: str =
     turn and is not repeated. No list is built per conversation: history rows
     are a projection, openings one row per conversation.
     """
-    ctx = chat_context(ledger, advisor).withColumnRenamed(ACCOUNT, "_acct")
     convs = conversations.select("conv_id", F.col(conv_account).alias("_acct")).distinct()
+    # Contexts are only built for accounts that have a conversation.
+    asked = ledger.join(convs.select(F.col("_acct").alias(ACCOUNT)).distinct(), ACCOUNT, "left_semi")
+    ctx = chat_context(asked, advisor).withColumnRenamed(ACCOUNT, "_acct")
     opening_user = CHAT_OPENING_USER.replace("{advisor}", advisor)
     opening = (convs.join(ctx, "_acct", "left")
                .select("conv_id", F.coalesce(F.col("context"), F.lit("")).alias("context")))

@@ -31,17 +31,33 @@ def search_transactions(ledger: DataFrame, query: str, mode: str = "regex") -> D
         java = _python_to_java_regex(query)
     else:
         raise ValueError("mode must be 'regex' or 'literal'")
-    ci = "(?iu)" + java
+    ci = "(?iuU)" + java  # Python's classes (\\w, \\d, \\b) are Unicode ones
+    _check_java_regex(ledger, ci)
     cond = (F.col(DESC).rlike(ci) | F.col(CATEGORY).rlike(ci)
-            | amount_text(F.col(AMOUNT)).rlike(java))
+            | amount_text(F.col(AMOUNT)).rlike("(?U)" + java))
     return ledger.where(cond)
 
 
 def _python_to_java_regex(pattern: str) -> str:
     """Rewrite the Python-only named-group forms; the rest of the syntax in
-    common use is shared by Python and Java."""
-    pattern = re.sub(r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", pattern)
-    return re.sub(r"\(\?P=([A-Za-z][A-Za-z0-9]*)\)", r"\\k<\1>", pattern)
+    common use is shared by Python and Java. Java's group names are letters
+    and digits only, so groups get new names in the order they are opened."""
+    names: dict[str, str] = {}
+
+    def opened(m):
+        names[m.group(1)] = f"g{len(names)}"
+        return f"(?<{names[m.group(1)]}>"
+
+    pattern = re.sub(r"\(\?P<(\w+)>", opened, pattern)
+    return re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{names.get(m.group(1), m.group(1))}>", pattern)
+
+
+def _check_java_regex(ledger: DataFrame, java: str) -> None:
+    """Compile the translated pattern on the driver, so a bad one fails before any job."""
+    try:
+        ledger.sparkSession._jvm.java.util.regex.Pattern.compile(java)
+    except Exception as exc:
+        raise ValueError(f"invalid search pattern {java!r}") from exc
 
 
 def projection_split(forecast: DataFrame, projected: bool) -> DataFrame:

@@ -158,17 +158,6 @@ def projections(ledger: DataFrame, months: int = 3, by=ACCOUNT) -> DataFrame:
     return _rows(ledger, months, False, _keys(by))
 
 
-def history(ledger: DataFrame, by=ACCOUNT) -> DataFrame:
-    """Historical rows: MonthDate, Income, Expenses, Savings, IsProjected=false."""
-    keys = _keys(by)
-    return monthly_cents(ledger, keys).select(
-        *keys, "MonthDate",
-        (F.col("inc_c").cast("double") / F.lit(100.0)).alias("Income"),
-        (F.col("exp_c").cast("double") / F.lit(100.0)).alias("Expenses"),
-        ((F.col("inc_c") - F.col("exp_c")).cast("double") / F.lit(100.0)).alias("Savings"),
-        F.lit(False).alias("IsProjected"))
-
-
 def forecast(ledger: DataFrame, months: int = 3, by=ACCOUNT) -> DataFrame:
     """History followed by ``months`` projections per account, flagged ``IsProjected``.
 

@@ -50,15 +50,21 @@ def goal_validation(goals: DataFrame, ledger: DataFrame | None = None) -> DataFr
             .withColumnRenamed("_monthly", "effective_monthly_contribution"))
 
 
-def savings_goal(goals: DataFrame, ledger: DataFrame | None = None,
-                 as_of: dt.date | str = "2026-07-01") -> DataFrame:
-    """Timeline per valid goal: remaining, achieved flag, months required, target month."""
+def savings_goal(goals: DataFrame, ledger: DataFrame | None, as_of: dt.date | str) -> DataFrame:
+    """Timeline per valid goal: remaining, achieved flag, months required, target month.
+
+    ``as_of`` has no default: a forgotten date would silently shift every goal.
+    A goal beyond the last date that can be written (9999-12-31) has its months
+    and no target date.
+    """
     g = _with_contribution(goals, ledger).where(_reason().isNull())
     remaining = F.col("target_amount") - F.col("current_savings")
     achieved = remaining <= 0
     months = F.when(~achieved, remaining / F.col("_monthly"))
     as_of_col = F.lit(str(as_of)).cast("date")
-    target = F.add_months(as_of_col, F.ceil(months).cast("int"))
+    whole = F.ceil(months)
+    fits = whole <= F.months_between(F.lit("9999-12-01").cast("date"), as_of_col)
+    target = F.when(fits, F.add_months(as_of_col, F.when(fits, whole).cast("int")))
     return g.select(
         ACCOUNT, "goal_name", "target_amount", "current_savings",
         F.col("_monthly").alias("monthly_contribution"),

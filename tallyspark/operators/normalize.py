@@ -33,11 +33,7 @@ CATEGORY_KEYWORDS = ["cat", "tag"]
 MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                   "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
-# Amounts must fit DECIMAL(18,4) for exact sums.
-MAX_ABS_AMOUNT = 1e14
-
 REJECT_DATE = "no single date format fits the file"
-REJECT_AMOUNT = "amount out of range"
 
 META_COLUMNS = ("source_file", "line_no", ACCOUNT)
 
@@ -120,11 +116,15 @@ def normalize_roles(roles: DataFrame, rules=None, formats=None, date_format: str
                     ) -> DataFrame:
     """Role columns -> ledger columns plus ``source_file`` and ``reject_reason``."""
     formats = DATE_FORMATS if formats is None else formats
+    if "source_file" not in roles.columns:  # a plain frame is one file
+        roles = roles.withColumn("source_file", F.lit("statement"))
+    own_reason = F.col("row_reason") if "row_reason" in roles.columns else F.lit(None).cast("string")
     if date_format is not None:
         formats = [date_format]
         elected = roles.withColumn("fmt_idx", F.lit(0))
     else:
-        elected = roles.join(elect_date_formats(roles, formats), "source_file", "left")
+        voters = roles.where(own_reason.isNull())
+        elected = roles.join(elect_date_formats(voters, formats), "source_file", "left")
     d = missing_to_null(F.col("raw_date"))
     date = None
     for i, f in enumerate(formats):
@@ -135,8 +135,7 @@ def normalize_roles(roles: DataFrame, rules=None, formats=None, date_format: str
     category = F.when(F.col("has_category"),
                       F.coalesce(missing_to_null(F.col("raw_cat")), F.lit("Uncategorized"))
                       ).otherwise(categorize(desc, rules))
-    reason = (F.when(F.col("fmt_idx").isNull(), F.lit(REJECT_DATE))
-               .when(F.abs(amount) >= MAX_ABS_AMOUNT, F.lit(REJECT_AMOUNT)))
+    reason = F.coalesce(own_reason, F.when(F.col("fmt_idx").isNull(), F.lit(REJECT_DATE)))
     account = F.col(ACCOUNT) if ACCOUNT in roles.columns else F.col("source_file")
     txn = F.col("line_no") if "line_no" in roles.columns else F.monotonically_increasing_id()
     return elected.select(

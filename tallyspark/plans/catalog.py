@@ -6,17 +6,20 @@ returns a DataFrame; no row caps, id subsets or sampling.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspark.functions.categorize import DEFAULT_RULES, categorize
 from tallyspark.functions.money import classify_type
 from tallyspark.operators import aggregates as agg
 from tallyspark.operators import context, filters, forecast, goals, normalize
 from tallyspark.plans import oracle_sql as sql
-from tallyspark.session import spread_for_cpu
-from tallyspark.sources import tables
+from tallyspark.session import ensure_checkpoint_dir, materialize
+from tallyspark.sources import statements, tables
 
 # Fixed parameters of the registered queries.
 SEARCH_PATTERN = "high|99"
@@ -71,7 +74,7 @@ register("debits_only", lambda s, d: agg.debits_only(_orders(s, d)),
 register("credits_only", lambda s, d: agg.credits_only(_orders(s, d)),
          sql.credits_only(sql.ORDERS_LEDGER))
 register("ledger_newest_first", lambda s, d: agg.ledger_newest_first(_orders(s, d)),
-         sql.ledger_rows(sql.ORDERS_LEDGER))
+         sql.ledger_newest_first(sql.ORDERS_LEDGER))
 register("monthly_series", lambda s, d: agg.monthly_series(_orders(s, d)),
          sql.monthly_series(sql.ORDERS_LEDGER))
 register("default_contribution", lambda s, d: agg.default_contribution(_orders(s, d)),
@@ -145,10 +148,46 @@ register("classify_type",
          lambda s, d: _orders(s, d).select("txn_id", "Amount", classify_type("Amount").alias("Type")),
          sql.classify_type(sql.ORDERS_LEDGER))
 register("categorize_keywords",
-         lambda s, d: spread_for_cpu(tables.read_table(s, d, "documents")).select(
+         lambda s, d: tables.read_table(s, d, "documents").select(
              "doc_id", categorize("text").alias("Category")),
          sql.categorize_keywords(DEFAULT_RULES))
 
+# --- CSV text: statements written from orders, then read back --------------
+def _statement_files(spark: SparkSession, sf_dir: str) -> str:
+    folder = os.path.join(ensure_checkpoint_dir(spark), "tables", f"statement-files-{uuid.uuid4().hex[:12]}")
+    return tables.write_statement_lines(tables.read_table(spark, sf_dir, "orders"), folder)
+
+
+def _statement_no():
+    return F.regexp_extract("source_file", r"statement=(\d+)", 1).cast("bigint").alias("account_id")
+
+
+TEXT_FILES = (".txt",)
+
+
+def _read_statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = statements.read_statements(spark, _statement_files(spark, sf_dir), suffixes=TEXT_FILES)
+    return ledger.select(_statement_no(), "txn_id", "Date", "Description", "Amount", "Category", "Type")
+
+
+def _rejected_statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rejects = statements.read_statements(spark, _statement_files(spark, sf_dir), suffixes=TEXT_FILES,
+                                            with_rejects=True)
+    return rejects.select(_statement_no(), "txn_id", "reject_reason")
+
+
+def _statement_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _statement_files(spark, sf_dir)
+    records = materialize(statements.statement_records(spark, [folder], suffixes=TEXT_FILES), "statement-records")
+    found = statements.statement_layouts(spark, [folder], records, suffixes=TEXT_FILES)
+    return found.select(_statement_no(), F.array_join("header", "|").alias("header"), "date_at",
+                        "description_at", "amount_at", "category_at")
+
+
+register("read_statement_lines", _read_statement_lines, sql.read_statement_lines(DEFAULT_RULES))
+register("rejected_files", _rejected_statement_lines, sql.rejected_statement_lines(DEFAULT_RULES))
+register("statement_layouts", _statement_layouts, sql.statement_layouts())
+
 # --- context, prompts, display and report tables ----------------------------
 register("top_transaction_lines", lambda s, d: context.top_transaction_lines(_orders(s, d), TOP_K),
          sql.top_transaction_lines(sql.ORDERS_LEDGER, TOP_K))
@@ -171,7 +210,7 @@ register("dialog_assembly",
                              context.CHAT_OPENING_USER.replace("{advisor}", context.DEFAULT_ADVISOR),
                              context.CHAT_OPENING_MODEL.replace("{advisor}", context.DEFAULT_ADVISOR)))
 register("text_blocks",
-         lambda s, d: context.text_blocks(spread_for_cpu(tables.read_table(s, d, "documents"))),
+         lambda s, d: context.text_blocks(tables.read_table(s, d, "documents")),
          sql.text_blocks())
 register("kpi_display", lambda s, d: context.kpi_display(_orders(s, d)), sql.kpi_display(sql.ORDERS_LEDGER))
 register("transactions_display", lambda s, d: context.transactions_display(_orders(s, d)),

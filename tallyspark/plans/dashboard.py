@@ -6,7 +6,7 @@ reading the staged parquet ledger, so ingest runs once, and a failure in one
 output re-runs only that output's stages.
 
     python -m tallyspark.plans.dashboard --statements <csv folder> --out <folder> \
-        [--goals <parquet>] [--months 3] [--as-of 2026-07-01] [--format parquet]
+        --as-of 2026-07-01 [--goals <parquet>] [--months 3] [--format parquet]
 """
 
 from __future__ import annotations
@@ -18,14 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.operators import aggregates as agg
 from tallyspark.operators import context, forecast, goals
-from tallyspark.session import materialize
+from tallyspark.session import drop_staged, materialize
 from tallyspark.sources.sinks import write_table
 from tallyspark.sources.statements import read_statements
 
 
-def dashboard_outputs(ledger: DataFrame, months: int = 3, goals_df: DataFrame | None = None,
-                      as_of: str = "2026-07-01", advisor: str = context.DEFAULT_ADVISOR
-                      ) -> dict[str, DataFrame]:
+def dashboard_outputs(ledger: DataFrame, as_of: str, months: int = 3, goals_df: DataFrame | None = None,
+                      advisor: str = context.DEFAULT_ADVISOR) -> dict[str, DataFrame]:
     """Every per-account output of the dashboard, as DataFrames (no actions)."""
     out = {
         "kpis": agg.kpi_summary(ledger),
@@ -49,16 +48,20 @@ def dashboard_outputs(ledger: DataFrame, months: int = 3, goals_df: DataFrame |
     return out
 
 
-def run_dashboard(spark: SparkSession, statements: str, out_dir: str, months: int = 3,
-                  goals_path: str | None = None, as_of: str = "2026-07-01",
-                  fmt: str = "parquet") -> dict[str, str]:
-    """Ingest statements, stage the ledger, write all outputs; returns paths."""
+def run_dashboard(spark: SparkSession, statements: str, out_dir: str, as_of: str, months: int = 3,
+                  goals_path: str | None = None, fmt: str = "parquet") -> dict[str, str]:
+    """Ingest statements, stage the ledger, write all outputs; returns paths.
+
+    ``as_of`` dates the goals and the report and has no default. The staged
+    ledger is deleted at the end.
+    """
     ledger, rejects = read_statements(spark, statements, with_rejects=True)
     staged = materialize(ledger, "dashboard-ledger")
     goals_df = spark.read.parquet(goals_path) if goals_path else None
     paths = {"rejects": write_table(rejects, os.path.join(out_dir, "rejects"), fmt)}
-    for name, df in dashboard_outputs(staged, months, goals_df, as_of).items():
+    for name, df in dashboard_outputs(staged, as_of, months, goals_df).items():
         paths[name] = write_table(df, os.path.join(out_dir, name), fmt)
+    drop_staged(staged)
     return paths
 
 
@@ -68,14 +71,14 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--goals")
     ap.add_argument("--months", type=int, default=3)
-    ap.add_argument("--as-of", default="2026-07-01")
+    ap.add_argument("--as-of", required=True)
     ap.add_argument("--format", default="parquet")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     from tallyspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    for name, path in run_dashboard(spark, args.statements, args.out, args.months, args.goals,
-                                    args.as_of, args.format).items():
+    for name, path in run_dashboard(spark, args.statements, args.out, args.as_of, args.months,
+                                    args.goals, args.format).items():
         print(f"{name}\t{path}")
 
 

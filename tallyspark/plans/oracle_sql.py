@@ -48,8 +48,8 @@ HOT_LINEITEM_LEDGER = LINEITEM_LEDGER.replace(
     "SELECT CASE WHEN l.l_orderkey % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE o.o_custkey END AS account_id,")
 
 
-CREDIT_SUM = "coalesce(sum(CASE WHEN Type = 'Credit' THEN CAST(Amount AS DECIMAL(18,4)) END), 0)"
-DEBIT_SUM = "abs(coalesce(sum(CASE WHEN Type = 'Debit' THEN CAST(Amount AS DECIMAL(18,4)) END), 0))"
+CREDIT_SUM = "coalesce(sum(CASE WHEN Type = 'Credit' THEN CAST(Amount AS DECIMAL(38,10)) END), 0)"
+DEBIT_SUM = "abs(coalesce(sum(CASE WHEN Type = 'Debit' THEN CAST(Amount AS DECIMAL(38,10)) END), 0))"
 
 
 def cents(expr: str) -> str:
@@ -84,22 +84,23 @@ SELECT *, {pct('Savings', 'Income')} AS SavingsRate FROM m"""
 
 
 def monthly_series(ledger: str) -> str:
-    return f"""WITH {ledger}
-SELECT account_id, CAST(date_trunc('month', "Date") AS DATE) AS MonthDate,
+    return f"""WITH {ledger},
+m AS (SELECT account_id, CAST(date_trunc('month', "Date") AS DATE) AS MonthDate,
        {cents(CREDIT_SUM)} AS Income, {cents(DEBIT_SUM)} AS Expenses,
        {cents(CREDIT_SUM + ' - ' + DEBIT_SUM)} AS Savings
-FROM ledger WHERE "Date" IS NOT NULL GROUP BY ALL"""
+FROM ledger WHERE "Date" IS NOT NULL GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY account_id ORDER BY MonthDate) AS INTEGER) AS position FROM m"""
 
 
 def category_expenses(ledger: str) -> str:
     return f"""WITH {ledger}
-SELECT account_id, Category, {cents('abs(sum(CAST(Amount AS DECIMAL(18,4))))')} AS Amount
+SELECT account_id, Category, {cents('abs(sum(CAST(Amount AS DECIMAL(38,10))))')} AS Amount
 FROM ledger WHERE Type = 'Debit' GROUP BY ALL"""
 
 
 def category_share(ledger: str) -> str:
     return f"""WITH {ledger},
-c AS (SELECT account_id, Category, abs(sum(CAST(Amount AS DECIMAL(18,4)))) AS amt
+c AS (SELECT account_id, Category, abs(sum(CAST(Amount AS DECIMAL(38,10)))) AS amt
       FROM ledger WHERE Type = 'Debit' GROUP BY ALL),
 t AS (SELECT account_id, Category, {cents('amt')} AS Amount,
              {cents('sum(amt) OVER (PARTITION BY account_id)')} AS total_expenses FROM c)
@@ -149,6 +150,11 @@ def ledger_rows(ledger: str) -> str:
     return f"WITH {ledger}\nSELECT * FROM ledger"
 
 
+def ledger_newest_first(ledger: str) -> str:
+    return (f"WITH {ledger}\nSELECT *, coalesce(-epoch_us(CAST(\"Date\" AS TIMESTAMP)), 9223372036854775807) "
+            "AS sort_key FROM ledger")
+
+
 def monthly_cash_flow_long(ledger: str) -> str:
     return f"""WITH {ledger},
 m AS (SELECT account_id, strftime(date_trunc('month', "Date"), '%Y-%m') AS Month,
@@ -295,9 +301,13 @@ SELECT *, {money_txt('remaining')} AS remaining_text, format('{{:.1f}}', months_
 RAW_STATEMENT = """raw AS (
   SELECT 'statement_' || CAST(o_custkey AS VARCHAR) || '.csv' AS source_file, o_orderkey AS line_no,
          o_custkey AS account_id,
-         CASE (CASE WHEN o_custkey % 97 = 5 AND o_orderstatus = 'P' THEN 0 ELSE o_custkey % 4 END)
+         CASE WHEN o_orderkey % 29 = 3 THEN 'N/A' ELSE
+         CASE (CASE WHEN o_custkey % 97 = 5 AND o_orderstatus = 'P' THEN 0 ELSE o_custkey % 9 END)
               WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%m/%d/%Y')
-              WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%b %-d, %Y') END AS raw_date,
+              WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 3 THEN strftime(o_orderdate, '%b %-d, %Y')
+              WHEN 4 THEN strftime(o_orderdate, '%-m/%-d/%y') WHEN 5 THEN strftime(o_orderdate, '%-d %b %Y')
+              WHEN 6 THEN strftime(o_orderdate, '%m-%d-%Y') WHEN 7 THEN strftime(o_orderdate, '%m/%d/%Y %H:%M')
+              ELSE strftime(o_orderdate, '%d-%m-%Y') END END AS raw_date,
          'Payment ' || CAST(o_orderkey AS VARCHAR) AS raw_desc,
          CASE o_orderkey % 5
               WHEN 0 THEN '$' || format('{:,.2f}', CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END)
@@ -319,7 +329,21 @@ FORMATS_SQL = [("iso", "try_cast(trim(d) AS TIMESTAMP)"),
                ("yyyy/M/d", "try_strptime(trim(d), '%Y/%m/%d')"),
                ("d.M.yyyy", "try_strptime(trim(d), '%d.%m.%Y')"),
                ("d-MMM-yyyy", "try_strptime(trim(d), '%d-%b-%Y')"),
-               ("MMMM d, yyyy", "try_strptime(trim(d), '%B %d, %Y')")]
+               ("MMMM d, yyyy", "try_strptime(trim(d), '%B %d, %Y')"),
+               ("M/d/yy", "try_strptime(trim(d), '%m/%d/%y')"),
+               ("d/M/yy", "try_strptime(trim(d), '%d/%m/%y')"),
+               ("M/d/yyyy H:mm", "try_strptime(trim(d), '%m/%d/%Y %H:%M')"),
+               ("d/M/yyyy H:mm", "try_strptime(trim(d), '%d/%m/%Y %H:%M')"),
+               ("M/d/yyyy H:mm:ss", "try_strptime(trim(d), '%m/%d/%Y %H:%M:%S')"),
+               ("d/M/yyyy H:mm:ss", "try_strptime(trim(d), '%d/%m/%Y %H:%M:%S')"),
+               ("d MMM yyyy", "try_strptime(trim(d), '%d %b %Y')"),
+               ("d MMMM yyyy", "try_strptime(trim(d), '%d %B %Y')"),
+               ("M-d-yyyy", "try_strptime(trim(d), '%m-%d-%Y')"),
+               ("d-M-yyyy", "try_strptime(trim(d), '%d-%m-%Y')")]
+
+# strptime's %Y also takes years of other lengths; statements write four digits.
+FORMATS_SQL = [(f, f"CASE WHEN regexp_matches(trim(d), '(^|[^0-9])[0-9]{{4}}($|[^0-9])') THEN {e} END"
+                if "%Y" in e and "%Y%m" not in e else e) for f, e in FORMATS_SQL]
 
 NUMERIC = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -345,9 +369,7 @@ st AS (SELECT account_id, line_no AS txn_id, CASE fmt_idx {date} END AS "Date",
               coalesce(ds, '') AS Description, CASE WHEN isfinite(amt) THEN amt ELSE 0.0 END AS Amount,
               coalesce(c, 'Uncategorized') AS Category, source_file, raw_date, raw_amount, raw_cat,
               CASE fmt_idx {label} END AS date_format,
-              CASE WHEN fmt_idx IS NULL THEN 'no single date format fits the file'
-                   WHEN abs(CASE WHEN isfinite(amt) THEN amt ELSE 0.0 END) >= 1e14 THEN 'amount out of range'
-              END AS reject_reason
+              CASE WHEN fmt_idx IS NULL THEN 'no single date format fits the file' END AS reject_reason
        FROM n),
 stt AS (SELECT *, CASE WHEN Amount >= 0 THEN 'Credit' ELSE 'Debit' END AS Type FROM st)"""
 
@@ -381,6 +403,52 @@ def classify_type(ledger: str) -> str:
     return f"WITH {ledger}\nSELECT txn_id, Amount, CASE WHEN Amount >= 0 THEN 'Credit' ELSE 'Debit' END AS Type FROM ledger"
 
 
+def _line_ctes(rules) -> str:
+    """What the statements written from orders must give, straight from the orders."""
+    signed = "CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END"
+    return f"""WITH o AS (
+  SELECT *, o_custkey // 50 AS statement, o_orderkey % 101 = 7 AND abs(o_totalprice) >= 1000 AS wide,
+         row_number() OVER (PARTITION BY o_custkey // 50 ORDER BY o_orderkey) AS line_no,
+         CASE o_orderkey % 6 WHEN 0 THEN 'Joe "Big" Deli, NY ' WHEN 1 THEN 'Corporate Payroll '
+              WHEN 2 THEN 'Netflix' || chr(10) || 'subscription ' WHEN 3 THEN 'Landlord '
+              WHEN 4 THEN 'Uber trip ' ELSE 'Transfer ' END || o_orderkey AS descr,
+         round({signed}, 2) AS amt
+  FROM orders),
+lines AS (SELECT statement, line_no AS txn_id, wide,
+  CASE WHEN o_orderkey % 29 = 3 THEN NULL
+       WHEN statement % 9 = 7 THEN date_trunc('minute', CAST(o_orderdate AS TIMESTAMP))
+       ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS "Date",
+  descr AS Description, amt AS Amount,
+  CASE WHEN statement % 2 = 0 THEN o_orderpriority ELSE {categorize_sql('descr', rules)} END AS Category,
+  CASE WHEN amt >= 0 THEN 'Credit' ELSE 'Debit' END AS Type
+  FROM o WHERE statement % 11 <> 5)"""
+
+
+def read_statement_lines(rules) -> str:
+    return _line_ctes(rules) + """
+SELECT statement AS account_id, txn_id, "Date", Description, Amount, Category, Type FROM lines WHERE NOT wide"""
+
+
+def rejected_statement_lines(rules) -> str:
+    return _line_ctes(rules) + """
+SELECT statement AS account_id, txn_id, 'more fields than the header' AS reject_reason FROM lines WHERE wide
+UNION ALL
+SELECT DISTINCT o_custkey // 50, CAST(NULL AS BIGINT), 'could not map date, description and amount columns'
+FROM orders WHERE (o_custkey // 50) % 11 = 5"""
+
+
+def statement_layouts() -> str:
+    return """WITH s AS (SELECT DISTINCT o_custkey // 50 AS statement FROM orders),
+k AS (SELECT statement, CASE WHEN statement % 11 = 5 THEN 2 ELSE statement % 2 END AS kind FROM s)
+SELECT statement AS account_id,
+  CASE kind WHEN 0 THEN 'Posting Date|Merchant Details|Amount (USD)|Tag'
+            WHEN 1 THEN 'Amount (USD)|Payee|Transaction Date' ELSE 'When|Who|How Much' END AS header,
+  CAST(CASE kind WHEN 0 THEN 1 WHEN 1 THEN 3 END AS INTEGER) AS date_at,
+  CAST(CASE kind WHEN 0 THEN 2 WHEN 1 THEN 2 END AS INTEGER) AS description_at,
+  CAST(CASE kind WHEN 0 THEN 3 WHEN 1 THEN 1 END AS INTEGER) AS amount_at,
+  CAST(CASE kind WHEN 0 THEN 4 END AS INTEGER) AS category_at FROM k"""
+
+
 def categorize_sql(text: str, rules, other: str = "Other") -> str:
     """CASE over ordered keyword rules: substring of the lower-cased text."""
     arms = []
@@ -442,7 +510,7 @@ k AS (SELECT account_id, {cents('inc')} AS total_income, {cents('exp')} AS total
              {cents('inc - exp')} AS net_savings FROM s),
 kr AS (SELECT *, CAST(round(CAST({pct('net_savings', 'total_income')} AS DECIMAL(38,10)), 2) AS DOUBLE)
                  AS savings_rate_pct FROM k),
-c AS (SELECT account_id, Category, {cents('abs(sum(CAST(Amount AS DECIMAL(18,4))))')} AS Amount
+c AS (SELECT account_id, Category, {cents('abs(sum(CAST(Amount AS DECIMAL(38,10))))')} AS Amount
       FROM ledger WHERE Type = 'Debit' GROUP BY ALL),
 cl AS (SELECT account_id, '[' || string_agg({obj}, ', ' ORDER BY Amount DESC, Category) || ']' AS cj,
               '[' || chr(10) || string_agg({obj_i}, ',' || chr(10) ORDER BY Amount DESC, Category)
@@ -615,7 +683,7 @@ def report_document(ledger: str, generated_at: str, title: str, kpi_labels: list
     return f"""WITH {ledger},
 s AS (SELECT account_id, {CREDIT_SUM} AS inc, {DEBIT_SUM} AS exp FROM ledger GROUP BY account_id),
 k AS (SELECT account_id, {cents('inc')} AS ti, {cents('exp')} AS te, {cents('inc - exp')} AS ns FROM s),
-c AS (SELECT account_id, Category, abs(sum(CAST(Amount AS DECIMAL(18,4)))) AS amt
+c AS (SELECT account_id, Category, abs(sum(CAST(Amount AS DECIMAL(38,10)))) AS amt
       FROM ledger WHERE Type = 'Debit' GROUP BY ALL),
 t AS (SELECT account_id, Category, {cents('amt')} AS Amount,
              {cents('sum(amt) OVER (PARTITION BY account_id)')} AS total FROM c),

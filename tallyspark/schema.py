@@ -26,5 +26,7 @@ DEBIT = "Debit"
 
 LEDGER_COLUMNS = [ACCOUNT, TXN, DATE, DESC, AMOUNT, CATEGORY, TYPE]
 
-# Money is summed as exact decimals and rounded to cents (see functions.money).
-MONEY_DECIMAL = "decimal(18,4)"
+# Money is summed as exact decimals of ten places and rounded to cents once, after
+# the sum (see functions.money). A row may be up to 1e18, a sum up to 1e28.
+ROW_DECIMAL = "decimal(28,10)"
+MONEY_DECIMAL = "decimal(38,10)"

@@ -80,35 +80,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, mode: str = "parquet") -> DataFrame:
-    """Cut lineage by writing ``df`` into the shared checkpoint folder.
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write ``df`` as a table into the shared checkpoint folder and read it back.
 
-    ``mode="parquet"`` writes a table and reads it back (survives executor
-    loss and is re-readable by later jobs); ``mode="checkpoint"`` uses
-    Spark's reliable ``checkpoint()``. Never a local checkpoint.
+    The table survives executor loss and can be read by later jobs. Never a
+    local checkpoint. ``drop_staged`` removes it.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    if mode == "checkpoint":
-        return df.checkpoint(eager=True)
-    out = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    out = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("errorifexists").parquet(out)
     return spark.read.parquet(out)
 
 
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Round-robin an input that has fewer splits than cores, for CPU-heavy rows.
-
-    Meant for per-row text work (regex, splitting long documents) where one
-    task per big row group would leave cores idle. A no-op whenever the scan
-    already yields at least ``defaultParallelism`` splits, the normal case
-    for multi-file tables on a cluster; not used for light per-row work,
-    where the extra shuffle costs more than it saves.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # no RDD access (e.g. Spark Connect): keep the plan
-        return df
-    return df.repartition(cores)
+def drop_staged(staged: DataFrame) -> None:
+    """Delete the folders of a table that ``materialize`` wrote, once nothing reads it any more."""
+    spark = staged.sparkSession
+    jvm, base = spark._jvm, os.path.join(ensure_checkpoint_dir(spark), "tables")
+    for folder in {os.path.dirname(f) for f in staged.inputFiles()}:
+        if "/tables/" in folder and os.path.basename(base) == "tables":
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

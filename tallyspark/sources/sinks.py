@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame
 
 from tallyspark.operators import context
-from tallyspark.session import materialize
+from tallyspark.session import drop_staged, materialize
 
 FORMATS = ("parquet", "csv", "json", "orc")
 
@@ -40,4 +40,6 @@ def write_report(ledger: DataFrame, out_dir: str, fmt: str = "parquet",
     if review_text is not None:
         blocks = context.text_blocks(review_text, "text", "account_id")
         out["review_blocks"] = write_table(blocks, os.path.join(out_dir, "review_blocks"), fmt)
+    if stage_ledger:
+        drop_staged(led)
     return out

@@ -1,110 +1,171 @@
 """CSV bank statements with differing headers -> one ledger.
 
 Spark's CSV reader binds columns by position to one header, so a folder that
-mixes layouts cannot be read in one pass by name. Instead:
-
-1. a text scan takes the first line of every file (``file_block_start = 0``,
-   smallest row id per file), giving (file, header line);
-2. the distinct header lines (one per layout, a handful) go to the driver,
-   which maps each to role positions (date, description, amount, category);
-3. one CSV scan of all files with a wide all-string positional schema
-   (``header=true`` drops each file's first line) is joined to the small
-   file -> layout table, and role columns are picked by layout with CASE.
-
-Only the distinct layouts are collected; file lists and rows stay in Spark.
+mixes layouts cannot be read by name. Instead every byte of CSV is parsed
+once, as records of text fields (whole records: quoted line breaks and doubled
+quotes belong to their field), and written with file and position. All the
+rest reads that table:
+
+1. the first record of each file is its header;
+2. header names are mapped to roles with array functions, file by file;
+3. the files' role positions are joined to the records, and the role fields
+   are picked by position.
+
+No header, file list or row passes through the driver, and the plan does not
+grow with the number of layouts. A file that cannot be used (wrong suffix, no
+header, a header without the roles) is one reject; a record with more fields
+than its header is one reject; all other files and records go on.
 """
 
 from __future__ import annotations
 
-import csv
-import io
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.operators.normalize import finish, map_headers, normalize_roles, rejected
+from tallyspark.operators.normalize import (AMOUNT_KEYWORDS, CATEGORY_KEYWORDS, DATE_KEYWORDS,
+                                            DESC_KEYWORDS, finish, normalize_roles, rejected)
+from tallyspark.schema import ACCOUNT, TXN
 from tallyspark.session import materialize
 
 ACCEPTED_SUFFIXES = (".csv",)
+# Widest statement that is read; a wider record is rejected with a reason.
+MAX_COLUMNS = 64
+
+REJECT_SUFFIX = "unsupported file format"
+REJECT_EMPTY = "no header line"
+REJECT_HEADER = "could not map date, description and amount columns"
+REJECT_WIDE = "more fields than the header"
 
+ROLE_KEYWORDS = {"date": DATE_KEYWORDS, "description": DESC_KEYWORDS,
+                 "amount": AMOUNT_KEYWORDS, "category": CATEGORY_KEYWORDS}
 
-def header_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(source_file, header) for every file: its first line, found in Spark."""
-    txt = (spark.read.option("recursiveFileLookup", "true").text(paths)
-           .select(F.col("_metadata.file_path").alias("source_file"),
-                   F.col("_metadata.file_block_start").alias("_start"),
-                   F.monotonically_increasing_id().alias("_rid"), "value"))
-    return (txt.where(F.col("_start") == 0).groupBy("source_file")
-            .agg(F.min_by("value", "_rid").alias("header")))
 
+def _accepted(path: Column, suffixes) -> Column:
+    ok = F.lit(False)
+    for suffix in suffixes:
+        ok = ok | F.lower(path).endswith(suffix)
+    return ok
 
-def _parse_header(line: str, sep: str) -> list[str]:
-    line = line.lstrip("\ufeff")
-    return next(csv.reader(io.StringIO(line), delimiter=sep))
+
+def field_count(text: Column, width: int, sep: str) -> Column:
+    """Fields of a record, counted on its own text; records of exactly ``width`` fields come without."""
+    bare = F.regexp_replace(text, r'(?s)"(?:[^"]|"")*"', "")
+    return F.when(text.isNull(), F.lit(width)).otherwise(
+        F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1)
+
+
+def statement_records(spark: SparkSession, paths: list[str], sep: str = ",",
+                      suffixes=ACCEPTED_SUFFIXES) -> DataFrame:
+    """(source_file, rid, fields, n_fields): every record of every file, in file order by ``rid``.
+
+    Files are read whole by one task each, as a quoted line break may stand
+    anywhere; statements are small files. ``n_fields`` is counted on the
+    record's own text, so trailing empty fields count.
+    """
+    columns = [f"_c{i}" for i in range(MAX_COLUMNS)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_text"]])
+    rows = (spark.read.schema(schema).option("header", "false").option("sep", sep)
+            .option("multiLine", "true").option("quote", '"').option("escape", '"')
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_text")
+            .option("recursiveFileLookup", "true").csv(paths)
+            .select("*", F.col("_metadata.file_path").alias("source_file"),
+                    F.monotonically_increasing_id().alias("rid")))
+    rows = rows.where(_accepted(F.col("source_file"), suffixes))
+    blank = (F.col("n_fields") == 1) & F.coalesce("_c0", F.lit("")).rlike(r"^\s*$")
+    fields = F.slice(F.array(*columns), F.lit(1), F.least("n_fields", F.lit(MAX_COLUMNS)))
+    return (rows.withColumn("n_fields", field_count(F.col("_text"), MAX_COLUMNS, sep)).where(~blank)
+            .select("source_file", "rid", "n_fields",
+                    F.transform(fields, lambda x: F.regexp_replace(x, "\r$", "")).alias("fields")))
+
+
+def _position(names: Column, keywords: list[str]) -> Column:
+    """1-based position of the first name that holds a keyword; null if none does."""
+    def holds(name):
+        cond = F.lit(False)
+        for k in keywords:
+            cond = cond | name.contains(k)
+        return cond
+    return F.nullif(F.array_position(F.transform(names, lambda x: holds(F.lower(x))), True), F.lit(0))
+
+
+def statement_layouts(spark: SparkSession, paths, records: DataFrame, columns: dict | None = None,
+                      suffixes=ACCEPTED_SUFFIXES) -> DataFrame:
+    """One row per file: its header, the position of each role in it, and why the file is rejected (or null).
+
+    ``columns`` names the header of a role (or None for no such column)
+    instead of the keywords.
+    """
+    for role in columns or {}:
+        if role not in ROLE_KEYWORDS:
+            raise ValueError(f"unknown role {role!r}")
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+              .select(F.col("_metadata.file_path").alias("source_file")))
+    first = records.groupBy("source_file").agg(F.min("rid").alias("rid"))
+    heads = records.join(first, ["source_file", "rid"]).select(
+        "source_file", F.col("rid").alias("first_rid"), F.col("n_fields").alias("width"),
+        F.transform("fields", lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), "^\ufeff", ""))).alias("header"))
+    files = listed.join(heads, "source_file", "left")
+    for role, keywords in ROLE_KEYWORDS.items():
+        if role in (columns or {}):
+            name = columns[role]
+            found = (F.lit(None).cast("bigint") if name is None
+                     else F.nullif(F.array_position("header", name.strip()), F.lit(0)))
+        else:
+            found = _position(F.col("header"), keywords)
+        files = files.withColumn(f"{role}_at", found.cast("int"))
+    unmapped = F.col("date_at").isNull() | F.col("description_at").isNull() | F.col("amount_at").isNull()
+    reason = (F.when(~_accepted(F.col("source_file"), suffixes), F.lit(REJECT_SUFFIX))
+               .when(F.col("header").isNull(), F.lit(REJECT_EMPTY))
+               .when(unmapped, F.lit(REJECT_HEADER)))
+    return files.withColumn("file_reason", reason)
+
+
+def rejected_files(layouts: DataFrame) -> DataFrame:
+    """Files that give no row, in the shape of row rejects (no line, no texts)."""
+    text = F.lit(None).cast("string")
+    return layouts.where(F.col("file_reason").isNotNull()).select(
+        F.col("source_file").alias(ACCOUNT), F.lit(None).cast("bigint").alias(TXN), "source_file",
+        text.alias("raw_date"), text.alias("raw_amount"), F.col("file_reason").alias("reject_reason"))
+
+
+def statement_roles(records: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Role columns of all usable files; ``line_no`` counts a file's records from its header (0)."""
+    usable = layouts.where(F.col("file_reason").isNull()).drop("header", "file_reason")
+    rows = records.join(usable, "source_file").where(F.col("rid") > F.col("first_rid"))
+
+    def cell(role):
+        return F.get("fields", F.col(f"{role}_at") - 1)
+    return rows.select(
+        "source_file", (F.col("rid") - F.col("first_rid")).alias("line_no"),
+        cell("date").alias("raw_date"), cell("description").alias("raw_desc"),
+        cell("amount").alias("raw_amount"), cell("category").alias("raw_cat"),
+        F.col("category_at").isNotNull().alias("has_category"),
+        F.when(F.col("n_fields") > F.col("width"), F.lit(REJECT_WIDE)).alias("row_reason"))
 
 
 def read_statements(spark: SparkSession, paths, columns: dict | None = None, rules=None,
                     sep: str = ",", on_error: str = "quarantine", with_rejects: bool = False,
-                    stage: bool = True):
+                    suffixes=ACCEPTED_SUFFIXES):
     """Read CSV statements (files or folders) into one ledger.
 
     Every file is its own account (``account_id`` = file path) unless the
-    caller re-keys the result. Returns the ledger, or ``(ledger, rejects)``
-    with ``with_rejects=True``.
-
-    With ``stage`` (default) the parsed role columns are written once as
-    parquet into the shared checkpoint folder: the date election and the main
-    pass both read that table, so CSV is parsed once and a lost executor
-    never re-parses it.
+    caller re-keys the result; ``txn_id`` is the record's position in its
+    file. Returns the ledger, or ``(ledger, rejects)`` with
+    ``with_rejects=True``. ``on_error="quarantine"`` leaves out rejected files
+    and records; ``"fail"`` raises if there is any.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    heads = header_lines(spark, paths)
-    # One small job: the distinct header lines and any file with another suffix.
-    ok = F.lower(F.col("source_file")).endswith(ACCEPTED_SUFFIXES[0])
-    for suffix in ACCEPTED_SUFFIXES[1:]:
-        ok = ok | F.lower(F.col("source_file")).endswith(suffix)
-    meta = heads.agg(F.collect_set("header").alias("layouts"),
-                     F.min(F.when(~ok, F.col("source_file"))).alias("bad")).collect()[0]
-    if meta["bad"] is not None:
-        raise ValueError(f"Error parsing statement: Unsupported file format: {meta['bad']}. "
-                         "Please upload CSV.")
-    layouts = sorted(meta["layouts"] or [])
-    if not layouts:
-        raise ValueError("Error parsing statement: no statement files found")
-    parsed = {h: _parse_header(h, sep) for h in layouts}
-    maps = {h: map_headers(parsed[h], columns) for h in layouts}
-    width = max(len(v) for v in parsed.values())
-    layout_df = spark.createDataFrame([(h, i) for i, h in enumerate(layouts)],
-                                      "header string, layout int")
-    file_layout = heads.join(layout_df, "header").select("source_file", "layout")
-
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    rows = (spark.read.schema(schema).option("header", "true").option("enforceSchema", "true")
-            .option("sep", sep).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true")
-            .csv(paths)
-            .select("*", F.col("_metadata.file_path").alias("source_file"),
-                    F.monotonically_increasing_id().alias("_rid")))
-
-    def pick(role):
-        expr = None
-        for i, h in enumerate(layouts):
-            pos = getattr(maps[h], role)
-            val = F.col(f"_c{pos}") if pos is not None else F.lit(None).cast("string")
-            expr = F.when(F.col("layout") == i, val) if expr is None else expr.when(F.col("layout") == i, val)
-        return expr
-
-    has_cat = None
-    for i, h in enumerate(layouts):
-        flag = F.lit(maps[h].category is not None)
-        has_cat = F.when(F.col("layout") == i, flag) if has_cat is None else has_cat.when(F.col("layout") == i, flag)
-    roles = rows.join(file_layout, "source_file").select(
-        "source_file", F.col("_rid").alias("line_no"),
-        pick("date").alias("raw_date"), pick("description").alias("raw_desc"),
-        pick("amount").alias("raw_amount"), pick("category").alias("raw_cat"),
-        has_cat.alias("has_category"))
-    if stage:
-        roles = materialize(roles, "statement-roles")
+    records = materialize(statement_records(spark, paths, sep, suffixes), "statement-records")
+    layouts = statement_layouts(spark, paths, records, columns, suffixes)
+    if on_error == "fail":
+        bad = layouts.where(F.col("file_reason").isNotNull()).select("source_file", "file_reason").limit(1).collect()
+        if bad:
+            raise ValueError(f"Error parsing statement: {bad[0]['file_reason']} ({bad[0]['source_file']})")
+    # The date election and the main pass both read the role columns.
+    roles = materialize(statement_roles(records, layouts), "statement-roles")
     norm = normalize_roles(roles, rules)
     ledger = finish(norm, on_error)
-    return (ledger, rejected(norm)) if with_rejects else ledger
+    if not with_rejects:
+        return ledger
+    return ledger, rejected(norm).unionByName(rejected_files(layouts))

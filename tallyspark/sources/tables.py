@@ -78,11 +78,16 @@ def lineitem_ledger(lineitem: DataFrame, orders: DataFrame, hot_every: int | Non
 RAW_HEADERS = ["Posting Date", "Merchant Details", "Amount (USD)", "Tag", "Balance"]
 
 
+# Date styles of the raw statements, by customer.
+RAW_DATE_STYLES = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "MMM d, yyyy", "M/d/yy", "d MMM yyyy",
+                   "MM-dd-yyyy", "MM/dd/yyyy HH:mm", "dd-MM-yyyy"]
+
+
 def raw_statement(orders: DataFrame) -> DataFrame:
     """Orders rendered as raw statement text, one statement file per customer.
 
-    Date text style is chosen per customer (ISO, month-first, day-first,
-    ``Mon d, yyyy``); for customers with ``o_custkey % 97 = 5`` pending orders
+    Date text style is chosen per customer (``RAW_DATE_STYLES``), and some rows
+    have no date; for customers with ``o_custkey % 97 = 5`` pending orders
     use ISO while the rest of the file does not, so those files fail the
     one-format-per-file rule. Amount text varies by order key: ``$1,234.56``,
     ``€-1,234.56``, ``-£1,234.56``, ``(1,234.56)``, ``n/a``. Priority
@@ -90,11 +95,10 @@ def raw_statement(orders: DataFrame) -> DataFrame:
     """
     ck, ok = F.col("o_custkey"), F.col("o_orderkey")
     d = F.col("o_orderdate")
-    style = F.when((ck % 97 == 5) & (F.col("o_orderstatus") == "P"), F.lit(0)).otherwise(ck % 4)
-    date_text = (F.when(style == 0, F.date_format(d, "yyyy-MM-dd"))
-                  .when(style == 1, F.date_format(d, "MM/dd/yyyy"))
-                  .when(style == 2, F.date_format(d, "dd/MM/yyyy"))
-                  .otherwise(F.date_format(d, "MMM d, yyyy")))
+    style = F.when((ck % 97 == 5) & (F.col("o_orderstatus") == "P"), F.lit(0)).otherwise(ck % len(RAW_DATE_STYLES))
+    date_text = F.when(ok % 29 == 3, F.lit("N/A"))
+    for i, pattern in enumerate(RAW_DATE_STYLES):
+        date_text = date_text.when(style == i, F.date_format(d, pattern))
     price = F.col("o_totalprice")
     credit = F.col("o_orderstatus") == "F"
     signed = F.when(credit, price).otherwise(-price)
@@ -152,3 +156,55 @@ def export_raw_statements(raw: DataFrame, folder: str) -> str:
         (df.repartition(ACCOUNT).write.mode("errorifexists").partitionBy(ACCOUNT)
          .option("header", "true").csv(f"{folder.rstrip('/')}/{name}"))
     return folder
+
+
+# Statements of several customers as CSV text, one file per statement.
+STATEMENT_CUSTOMERS = 50
+STATEMENT_HEADERS = ("Posting Date,Merchant Details,Amount (USD),Tag", "Amount (USD), Payee ,Transaction Date",
+                     "When,Who,How Much")
+
+
+def statement_lines(orders: DataFrame) -> DataFrame:
+    """Orders as the CSV lines of bank statements: (statement, pos, line).
+
+    A statement holds the orders of ``STATEMENT_CUSTOMERS`` customers. By
+    statement number: two header layouts (every eleventh has a header without
+    the roles), a blank first line in every fourth, nine date styles. By order
+    key: quoted commas, doubled quotes and line breaks inside fields, missing
+    dates, records with more fields than the header, and descriptions that
+    reach the categoriser's rules.
+    """
+    ok, ck = F.col("o_orderkey"), F.col("o_custkey")
+    no = F.floor(ck / STATEMENT_CUSTOMERS).cast("bigint")
+    date_text = F.when(ok % 29 == 3, F.lit(""))
+    for i, pattern in enumerate(RAW_DATE_STYLES):
+        date_text = date_text.when(no % len(RAW_DATE_STYLES) == i, F.date_format("o_orderdate", pattern))
+    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    key = ok.cast("string")
+    desc = (F.when(ok % 6 == 0, quote(F.concat(F.lit('Joe ""Big"" Deli, NY '), key)))
+             .when(ok % 6 == 1, F.concat(F.lit("Corporate Payroll "), key))
+             .when(ok % 6 == 2, quote(F.concat(F.lit("Netflix\nsubscription "), key)))
+             .when(ok % 6 == 3, F.concat(F.lit("Landlord "), key))
+             .when(ok % 6 == 4, F.concat(F.lit("Uber trip "), key))
+             .otherwise(F.concat(F.lit("Transfer "), key)))
+    signed = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
+    money = F.format_number(signed, 2)
+    amount = F.when(ok % 101 == 7, money).otherwise(quote(F.concat(F.lit("$"), money)))  # unquoted: too many fields
+    dated = F.when(F.col("_d").contains(","), quote(F.col("_d"))).otherwise(F.col("_d"))
+    a = F.concat_ws(",", dated, desc, amount, F.col("o_orderpriority"))
+    b = F.concat_ws(",", amount, desc, dated)
+    rows = orders.withColumn("_d", date_text).select(
+        no.alias("statement"), ok.alias("pos"), F.when(no % 2 == 0, a).otherwise(b).alias("line"))
+    kind = F.when(F.col("statement") % 11 == 5, 2).otherwise(F.col("statement") % 2).cast("int")
+    header = F.element_at(F.array(*[F.lit(h) for h in STATEMENT_HEADERS]), kind + 1)
+    top = F.array(F.struct(F.lit(-2).cast("bigint").alias("pos"), F.when(F.col("statement") % 4 == 1, F.lit("")).alias("line")),
+                  F.struct(F.lit(-1).cast("bigint").alias("pos"), header.alias("line")))
+    heads = rows.select("statement").distinct().select("statement", F.inline(top)).where(F.col("line").isNotNull())
+    return rows.unionByName(heads)
+
+
+def write_statement_lines(orders: DataFrame, folder: str) -> str:
+    """Write the lines as text files, one folder and file per statement, in order."""
+    (statement_lines(orders).repartition("statement").sortWithinPartitions("statement", "pos")
+     .select("statement", "line").write.mode("errorifexists").partitionBy("statement").text(folder))
+    return folder

@@ -8,10 +8,9 @@ per-file election still sees every row of a file. Output goes to
 overwrite: a batch re-run after a failure rewrites the same folder, so the
 sink is exactly-once together with the checkpoint.
 
-``monthly_summary_stream`` keeps running monthly totals per account over a
-ledger stream, with a watermark on the month start so finished months leave
-the state store and late rows older than the watermark are dropped (standard
-Structured Streaming semantics).
+``start_monthly_totals`` keeps monthly totals per account over a ledger stream.
+Statements upload history in any order, so it has no watermark: each
+micro-batch adds its own sums, and no row is dropped as late.
 """
 
 from __future__ import annotations
@@ -25,18 +24,21 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyspark.functions.dates import month_label, month_start
-from tallyspark.functions.money import exact_sum, safe_ratio_pct, to_cents
+from tallyspark.functions.money import exact_total, safe_ratio_pct, to_cents
 from tallyspark.operators.normalize import finish, map_headers, normalize_roles, rejected
-from tallyspark.schema import ACCOUNT, AMOUNT, CREDIT, DATE, DEBIT, MONEY_DECIMAL, TYPE
+from tallyspark.schema import ACCOUNT, AMOUNT, CREDIT, DATE, DEBIT, TYPE
+from tallyspark.sources.statements import REJECT_WIDE, field_count
 
 
 def statement_stream(spark: SparkSession, folder: str, header: list[str], sep: str = ",",
                      max_files_per_trigger: int | None = None) -> DataFrame:
     """Role columns of a stream of CSV files that share ``header``."""
     hm = map_headers(header)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
+    names = [f"_c{i}" for i in range(len(header))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_text"]])
     reader = (spark.readStream.schema(schema).option("header", "true").option("sep", sep)
-              .option("enforceSchema", "true"))
+              .option("quote", '"').option("escape", '"').option("multiLine", "true")
+              .option("columnNameOfCorruptRecord", "_text").option("enforceSchema", "true"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     raw = reader.csv(folder).select("*", F.col("_metadata.file_path").alias("source_file"))
@@ -44,7 +46,9 @@ def statement_stream(spark: SparkSession, folder: str, header: list[str], sep: s
     return raw.select("source_file", F.col(f"_c{hm.date}").alias("raw_date"),
                       F.col(f"_c{hm.description}").alias("raw_desc"),
                       F.col(f"_c{hm.amount}").alias("raw_amount"), cat.alias("raw_cat"),
-                      F.lit(hm.category is not None).alias("has_category"))
+                      F.lit(hm.category is not None).alias("has_category"),
+                      F.when(field_count(F.col("_text"), len(header), sep) > len(header),
+                             F.lit(REJECT_WIDE)).alias("row_reason"))
 
 
 def start_statement_ingest(spark: SparkSession, folder: str, header: list[str], out: str,
@@ -76,21 +80,52 @@ def start_statement_ingest(spark: SparkSession, folder: str, header: list[str],
     return writer.start()
 
 
-def monthly_summary_stream(ledger: DataFrame, lateness: str = "62 days") -> DataFrame:
-    """Streaming monthly totals per account (update or append output mode).
+def start_monthly_totals(ledger: DataFrame, out: str, checkpoint: str, available_now: bool = True,
+                         processing_time: str | None = None) -> StreamingQuery:
+    """Keep monthly totals per account over a ledger stream, however late a row comes.
 
-    The watermark is set on the month start itself, which is also a grouping
-    key, so state for months older than the watermark is evicted.
+    A new account's first statement reaches years back, so no row is ever too
+    late: there is no watermark and nothing is dropped. Each micro-batch is
+    reduced to its (account, month) sums and written to ``<out>/batch_id=<n>``
+    with overwrite, so a batch that runs again replaces its own folder. Sums
+    add up; ``read_monthly_totals`` gives the totals of all batches, and
+    ``compact_monthly_totals`` merges finished batches into one table.
     """
-    zero = F.lit(0).cast(MONEY_DECIMAL)
-    dated = (ledger.where(F.col(DATE).isNotNull())
-             .withColumn("MonthStart", month_start(F.col(DATE)).cast("timestamp"))
-             .withWatermark("MonthStart", lateness))
-    sums = dated.groupBy(ACCOUNT, "MonthStart").agg(
-        F.coalesce(exact_sum(F.when(F.col(TYPE) == CREDIT, F.col(AMOUNT))), zero).alias("_inc"),
-        F.abs(F.coalesce(exact_sum(F.when(F.col(TYPE) == DEBIT, F.col(AMOUNT))), zero)).alias("_exp"))
-    inc, exp = to_cents(F.col("_inc")), to_cents(F.col("_exp"))
-    net = to_cents(F.col("_inc") - F.col("_exp"))
-    return sums.select(ACCOUNT, "MonthStart", month_label(F.col("MonthStart")).alias("Month"),
-                       inc.alias("Income"), exp.alias("Expenses"), net.alias("Savings"),
-                       safe_ratio_pct(net, inc).alias("SavingsRate"))
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        dated = (batch.where(F.col(DATE).isNotNull())
+                 .withColumn("MonthStart", month_start(F.col(DATE))))
+        sums = dated.groupBy(ACCOUNT, "MonthStart").agg(
+            exact_total(F.when(F.col(TYPE) == CREDIT, F.col(AMOUNT))).alias("credits"),
+            exact_total(F.when(F.col(TYPE) == DEBIT, F.col(AMOUNT))).alias("debits"))
+        sums.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
+
+    writer = ledger.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    elif processing_time:
+        writer = writer.trigger(processingTime=processing_time)
+    return writer.start()
+
+
+def merged_sums(spark: SparkSession, out: str) -> DataFrame:
+    parts = spark.read.option("basePath", out).parquet(out)
+    return parts.groupBy(ACCOUNT, "MonthStart").agg(F.try_sum("credits").alias("credits"),
+                                                    F.try_sum("debits").alias("debits"))
+
+
+def read_monthly_totals(spark: SparkSession, out: str) -> DataFrame:
+    """``monthly_summary`` of all rows streamed so far."""
+    exp = F.abs(F.col("debits"))
+    inc, net = to_cents(F.col("credits")), to_cents(F.col("credits") - exp)
+    return merged_sums(spark, out).select(
+        ACCOUNT, month_label(F.col("MonthStart")).alias("Month"), inc.alias("Income"),
+        to_cents(exp).alias("Expenses"), net.alias("Savings"),
+        safe_ratio_pct(net, inc).alias("SavingsRate"))
+
+
+def compact_monthly_totals(spark: SparkSession, out: str, to: str) -> str:
+    """Write the merged sums to ``to`` as ``batch_id=-1``: a folder of the same kind to go on from
+    (start the stream anew with ``to`` as its output and the same checkpoint)."""
+    merged_sums(spark, out).write.mode("errorifexists").parquet(os.path.join(to, "batch_id=-1"))
+    return to

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from tallyspark.plans import catalog
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -26,9 +27,9 @@ def test_entry_smoke(spark):
     assert df.columns == ["account_id", "Month", "Income", "Expenses", "Savings", "SavingsRate"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_python_or_cartesian(spark, name):
-    plan = _plan(entry.queries()[name](spark, SF_SMALL))
+    plan = _plan(catalog.queries()[name](spark, SF_SMALL))
     for bad in FORBIDDEN:
         assert bad not in plan, f"{name}: {bad}"
 

@@ -5,7 +5,8 @@ import tempfile
 
 from tallyspark.operators import aggregates as agg
 from tallyspark.sources.statements import read_statements
-from tallyspark.streaming.ingest import monthly_summary_stream, start_statement_ingest
+from tallyspark.streaming.ingest import (compact_monthly_totals, read_monthly_totals,
+                                         start_monthly_totals, start_statement_ingest)
 
 HEADER = ["Date", "Description", "Amount"]
 
@@ -32,47 +33,37 @@ def test_stream_ingest_matches_batch(spark):
     cols = ["Date", "Description", "Amount", "Category", "Type"]
     key = lambda df: sorted(tuple(r) for r in df.select(*cols).collect())
     assert key(streamed) == key(batch)
-    assert spark.read.parquet(os.path.join(base, "out", "rejects")).count() == 2
+    assert spark.read.parquet(os.path.join(base, "out", "rejects")).count() == 3  # two in c.csv, and the unquoted comma in a.csv
 
     ledger_stream = spark.readStream.schema(streamed.schema).parquet(os.path.join(base, "out", "ledger"))
-    monthly = monthly_summary_stream(ledger_stream.drop("batch_id"))
-    mq = (monthly.writeStream.outputMode("update").format("memory").queryName("monthly_out")
-          .option("checkpointLocation", os.path.join(base, "ckpt2")).trigger(availableNow=True).start())
+    totals = os.path.join(base, "totals")
+    mq = start_monthly_totals(ledger_stream.drop("batch_id"), totals, os.path.join(base, "ckpt2"))
     mq.awaitTermination(120)
-    got = sorted((r["account_id"], r["Month"], r["Income"], r["Expenses"])
-                 for r in spark.sql("SELECT * FROM monthly_out").collect())
-    want = sorted((r["account_id"], r["Month"], r["Income"], r["Expenses"])
-                  for r in agg.monthly_summary(batch).collect())
-    assert got == want
+    assert _months(read_monthly_totals(spark, totals)) == _months(agg.monthly_summary(batch))
 
 
-def test_monthly_stream_drops_rows_older_than_the_watermark(spark):
+def _months(df):
+    return sorted((r["account_id"], r["Month"], r["Income"], r["Expenses"], r["Savings"], r["SavingsRate"])
+                  for r in df.collect())
+
+
+def test_an_older_statement_that_comes_later_is_not_lost(spark):
     import datetime as dt
-    base = tempfile.mkdtemp(prefix="wm-")
-    src = os.path.join(base, "ledger")
+    base = tempfile.mkdtemp(prefix="late-")
+    src, out = os.path.join(base, "ledger"), os.path.join(base, "totals")
     schema = ("account_id bigint, txn_id bigint, Date timestamp_ntz, Description string, "
               "Amount double, Category string, Type string")
-
-    def batch(rows, name):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, name))
-
-    batch([(1, 1, dt.datetime(2026, 1, 5), "a", 10.0, "c", "Credit"),
-           (1, 2, dt.datetime(2026, 6, 5), "b", 20.0, "c", "Credit")], "b1")
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
-    q = (monthly_summary_stream(stream, "62 days").writeStream.outputMode("update")
-         .format("memory").queryName("wm_out")
-         .option("checkpointLocation", os.path.join(base, "ckpt")).start())
-    try:
-        q.processAllAvailable()
-        # The watermark is now June minus 62 days: a January row is too late,
-        # a May row is not.
-        batch([(1, 3, dt.datetime(2026, 1, 20), "late", 99.0, "c", "Credit"),
-               (1, 4, dt.datetime(2026, 5, 20), "in time", 7.0, "c", "Credit")], "b2")
-        q.processAllAvailable()
-        latest = {}
-        for r in spark.sql("SELECT Month, Income FROM wm_out").collect():
-            latest[r["Month"]] = max(latest.get(r["Month"], 0.0), r["Income"])
-    finally:
-        q.stop()
-    assert latest["2026-01"] == 10.0
-    assert latest["2026-05"] == 7.0 and latest["2026-06"] == 20.0
+    batches = [
+        [(1, 1, dt.datetime(2026, 6, 5), "b", 20.0, "c", "Credit"), (1, 2, None, "undated", 5.0, "c", "Credit")],
+        [(2, 3, dt.datetime(2026, 1, 5), "a", 10.0, "c", "Credit"), (2, 4, dt.datetime(2026, 2, 5), "a", -3.0, "c", "Debit")],
+        [(1, 5, dt.datetime(2019, 3, 1), "old", 99.0, "c", "Credit"), (1, 6, dt.datetime(2026, 6, 6), "b", -4.0, "c", "Debit")],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, f"b{i}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        start_monthly_totals(stream, out, os.path.join(base, "ckpt")).awaitTermination(120)
+    everything = spark.createDataFrame([r for b in batches for r in b], schema)
+    want = _months(agg.monthly_summary(everything))
+    assert len(want) == 4 and _months(read_monthly_totals(spark, out)) == want
+    to = compact_monthly_totals(spark, out, os.path.join(base, "compact"))
+    assert _months(read_monthly_totals(spark, to)) == want
