@@ -26,9 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyspark.session import materialize
+
 WORDS, BINS, VALUE_BITS = 5, 128, 8
 #: Documents are set beside their successors in blocks of so many consecutive ids.
 ID_BLOCK, SUPER_BLOCK = 1024, 4096
+#: Rows of two longs up to which the blocks' links are broadcast (16 MB).
+MOST_BROADCAST = 1_000_000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -113,6 +117,9 @@ def with_next(docs: DataFrame, key: str, columns: list[str], derived: dict[str,
     first = F.max("top").over(Window.partitionBy())
     supers = supers.select(F.col("upper").alias("up"), F.coalesce(F.lag("top").over(Window.orderBy("upper")), first).alias("far"))
     links = tops.withColumn("near", below).join(supers, F.col("upper") == F.col("up")).select(F.col("__block").alias("to"), F.coalesce("near", "far").alias("wanted"))
+    links = materialize(links, "minhash-links")  # one row per block
+    if links.count() <= MOST_BROADCAST:  # else the join deals out the texts once more
+        links = F.broadcast(links)
     tails = rows.join(links, F.col("__id") == F.col("wanted")).withColumn("__block", F.col("to")).drop("to", "wanted").withColumn("__tail", F.lit(1))
     both = rows.withColumn("__tail", F.lit(0)).unionByName(tails).withColumns(derived)  # before rows are dealt
     columns = [*columns, *derived]
