@@ -27,7 +27,6 @@ one by one; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +40,8 @@ from tallyspark.session import materialize
 
 STATES, ROUNDS, SYMBOLS, CLASSES, COUNTED, LONG_WORD = 8, 4, 50_000, 256, 200_000, 64
 SEGMENT, CHUNK = 128, 200_000
+#: Texts whose words are held at once; texts that are scored side by side.
+SLICE_TEXTS, FORWARD_TEXTS = 2_500, 10_000
 #: Pseudo-counts: of the whole vocabulary in a state, spread like the word counts; of a transition.
 PRIOR, STEP_PRIOR = 200.0, 1.0
 #: Words seen less often are left to the classes, whose weight then also fits words not seen at all.
@@ -58,6 +59,12 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(filled), before[ends]
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Words and ends of ``SLICE_TEXTS`` texts at a time."""
+    for i in range(0, len(texts), SLICE_TEXTS):
+        yield split_words(texts.slice(i, SLICE_TEXTS))
+
+
 def sums_between(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The sum of each text's values; 0 for a text without words."""
     out = np.zeros(len(ends) - 1, dtype=np.result_type(values, np.int64))
@@ -81,9 +88,10 @@ def count_words(texts: DataFrame, text: str, classes: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, n = split_words(b.column(0))[0].value_counts().flatten()
-            cls = [class_of(w, classes) for w in words.cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([words, pa.array(cls, pa.int32()), n], names=["word", "cls", "n"])
+            for found, _ in slices(b.column(0)):
+                words, n = found.value_counts().flatten()
+                cls = [class_of(w, classes) for w in words.cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([words, pa.array(cls, pa.int32()), n], names=["word", "cls", "n"])
 
     return texts.select(text).mapInArrow(count, "word string, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("c"))
 
@@ -223,8 +231,7 @@ def train(docs: DataFrame, training: Column, *, text: str = "text", states: int
         m = shared.value
 
         def batch(texts):
-            words, ends = split_words(texts)
-            return {"ids": [ids.tobytes() for ids in m.sequences_of(m.symbols_of(words)[1], ends)]}
+            return {"ids": [ids.tobytes() for words, ends in slices(texts) for ids in m.sequences_of(m.symbols_of(words)[1], ends)]}
 
         return batch
 
@@ -312,41 +319,37 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, key: str = "doc_i
         m = shared.value
 
         def batch(texts):
-            words, ends = split_words(texts)
-            ranks, symbols, unranked = m.symbols_of(words)
-            known = ranks < len(m.ranked)
-            # Words without a rank: no numerator yet, and the room of their class.
-            share = m.share[ranks]
-            share[~known] = -m.class_room[symbols[~known] - m.words]
-            total = lambda x: sums_between(x, ends)
-            length = np.diff(ends) + 1
-            missing = np.concatenate(([0], np.cumsum(~known)))[ends].tolist()
-            logs, held, size = [], [], 0
-            for s in m.sequences_of(symbols, ends):
-                held.append(s)
-                size += len(s)
-                if size >= 8 * CHUNK:
-                    logs.append(forward(held, m))
-                    held, size = [], 0
-            if held:
-                logs.append(forward(held, m))
-            made = np.concatenate(logs) / np.log(10) if logs else np.zeros(0)
-            return {
-                "n_tokens": length,
-                "n_known": total(known) + (m.ends > 0),
-                "base": total(m.base[ranks]) + np.log10(m.ends + 1) - m.room * length,
-                "share": made + total(share),
-                "rare": [[{"word": w.decode(), "n": n} for w, n in Counter(unranked[a:b]).items()] for a, b in zip(missing, missing[1:])],
-            }
+            parts, sequences = [], []
+            for words, ends in slices(texts):
+                ranks, symbols, _ = m.symbols_of(words)
+                known = ranks < len(m.ranked)
+                # Words without a rank: no numerator yet, and the room of their class.
+                share = m.share[ranks]
+                share[~known] = -m.class_room[symbols[~known] - m.words]
+                length = np.diff(ends) + 1
+                missing = np.concatenate(([0], np.cumsum(~known)))[ends]
+                parts.append((
+                    length,
+                    sums_between(known, ends) + (m.ends > 0),
+                    sums_between(m.base[ranks], ends) + np.log10(m.ends + 1) - m.room * length,
+                    sums_between(share, ends),
+                    pa.ListArray.from_arrays(pa.array(missing, pa.int32()), words.filter(pa.array(~known))),
+                ))
+                sequences += m.sequences_of(symbols, ends)
+            if not parts:
+                return {k: [] for k in ("n_tokens", "n_known", "base", "share", "rare")}
+            made = np.concatenate([forward(sequences[i : i + FORWARD_TEXTS], m) for i in range(0, len(sequences), FORWARD_TEXTS)])
+            length, known, base, share = (np.concatenate(x) for x in list(zip(*parts))[:4])
+            return {"n_tokens": length, "n_known": known, "base": base, "share": share + made / np.log(10), "rare": pa.concat_arrays([p[4] for p in parts])}
 
         return batch
 
-    column = text_struct(make, "n_tokens long, n_known long, base double, share double, rare array<struct<word:string,n:long>>", as_list=False)
+    column = text_struct(make, "n_tokens long, n_known long, base double, share double, rare array<string>", as_list=False)
     first = docs.select(F.col(key), F.monotonically_increasing_id().alias("__row"), column(F.col(text)).alias("s")).select(key, "__row", "s.*")
     first = materialize(first, "lm-first")
     # Words that aren't ranked: their counts come by a join; unknown ones add nothing to either sum.
-    rare = first.select("__row", F.explode("rare").alias("w")).select("__row", "w.word", "w.n")
-    found = rare.join(counts, "word").groupBy(F.col("__row").alias("__of")).agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))
+    rare = first.select("__row", F.explode("rare").alias("word"))
+    found = rare.join(counts, "word").groupBy(F.col("__row").alias("__of")).agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("c") + 1)).alias("more"))
     out = first.drop("rare").join(found, F.col("__row") == F.col("__of"), "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(key, "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("share") + more).alias("score"))
