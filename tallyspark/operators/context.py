@@ -365,7 +365,17 @@ def report_document(ledger: DataFrame, generated_at: str, review_text: DataFrame
     (an explicit parameter, not the clock). A renderer only lays these out.
     """
     keys = _keys(by)
-    kpi = kpi_summary(ledger, keys)
+    # One aggregate by (account, category) gives both tables; its exchange is reused.
+    per_cat = ledger.groupBy(*keys, CATEGORY).agg(
+        exact_sum(F.when(F.col(TYPE) == CREDIT, F.col(AMOUNT))).alias("_inc"),
+        exact_sum(F.when(F.col(TYPE) == DEBIT, F.col(AMOUNT))).alias("_deb"))
+    zero = F.lit(0).cast(MONEY_DECIMAL)
+    sums = per_cat.groupBy(*keys).agg(F.coalesce(F.try_sum("_inc"), zero).alias("_inc"),
+                                      F.abs(F.coalesce(F.try_sum("_deb"), zero)).alias("_exp"))
+    inc, exp = to_cents(F.col("_inc")), to_cents(F.col("_exp"))
+    net = to_cents(F.col("_inc") - F.col("_exp"))
+    kpi = sums.select(*keys, inc.alias("total_income"), exp.alias("total_expenses"), net.alias("net_savings"),
+                      safe_ratio_pct(net, inc).alias("savings_rate"))
     stamp = F.concat(F.lit(REPORT_GENERATED),
                      F.date_format(F.lit(generated_at).cast("timestamp_ntz"), REPORT_GENERATED_FORMAT))
 
@@ -386,7 +396,11 @@ def report_document(ledger: DataFrame, generated_at: str, review_text: DataFrame
               row(3, 0, "page_break", F.lit(None)),
               row(4, 0, "heading", F.lit(REPORT_SECTION_3))]
     head = kpi.select(*keys, F.inline(F.array(*fixed)))
-    cats = report_categories(ledger, keys)
+    spent = per_cat.where(F.col("_deb").isNotNull()).withColumn("_amt", F.abs(F.col("_deb")))
+    total = to_cents(F.try_sum("_amt").over(Window.partitionBy(*keys)))
+    cats = spent.select(*keys, CATEGORY, to_cents(F.col("_amt")).alias("Amount"), total.alias("_total"))
+    cats = cats.select("*", money_text(F.col("Amount")).alias("amount_text"),
+                       percent_text(safe_ratio_pct(F.col("Amount"), F.col("_total")), 1).alias("share_text"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("Amount").desc(), F.col(CATEGORY)))
     cat_rows = cats.select(*keys, F.lit(2).alias("section"), (rank + 1).cast("bigint").alias("seq"),
                            F.lit("table_row").alias("kind"), F.col(CATEGORY).alias("cell1"),

@@ -99,8 +99,15 @@ register("events_category_share", lambda s, d: agg.category_share(_events(s, d))
          sql.category_share(sql.EVENTS_LEDGER))
 register("events_monthly_summary", lambda s, d: agg.monthly_summary(_events(s, d)),
          sql.monthly_summary(sql.EVENTS_LEDGER))
-register("lineitem_top_transactions", lambda s, d: agg.top_transactions(_lineitem(s, d), TOP_K),
-         sql.top_transactions(sql.LINEITEM_LEDGER, TOP_K))
+def _top_lines(spark: SparkSession, sf_dir: str, hot_every: int | None = None) -> DataFrame:
+    """Ranked on the native key columns; key text and description are built for the rows that remain."""
+    keyed = tables.lineitem_keyed(tables.read_table(spark, sf_dir, "lineitem"),
+                                  tables.read_table(spark, sf_dir, "orders"), hot_every)
+    return tables.lineitem_texts(agg.top_transactions(keyed, TOP_K, tie=tables.LINE_KEY), ["rank"])
+
+
+register("lineitem_top_transactions", _top_lines,
+         sql.top_transactions(sql.LINEITEM_LEDGER, TOP_K, sql.LINE_KEY))
 register("lineitem_category_share", lambda s, d: agg.category_share(_lineitem(s, d)),
          sql.category_share(sql.LINEITEM_LEDGER))
 
@@ -140,6 +147,13 @@ register("parse_statement", lambda s, d: normalize.standardize_statement(_raw(s,
          sql.parse_statement())
 
 
+# Rows without a date: left out of months, kept among the largest.
+register("statement_monthly_summary",
+         lambda s, d: agg.monthly_summary(normalize.standardize_statement(_raw(s, d))),
+         sql.statement_monthly_summary())
+register("statement_top_lines",
+         lambda s, d: context.top_transaction_lines(normalize.standardize_statement(_raw(s, d)), TOP_K),
+         sql.statement_top_lines(TOP_K))
 register("rejected_rows", lambda s, d: normalize.statement_rejects(_raw(s, d)), sql.rejected_rows())
 register("parse_dates", lambda s, d: normalize.parsed_dates(_raw(s, d)), sql.parse_dates())
 register("fill_category", lambda s, d: normalize.filled_categories(_raw(s, d)), sql.fill_category())
@@ -212,6 +226,18 @@ register("dialog_assembly",
 register("text_blocks",
          lambda s, d: context.text_blocks(tables.read_table(s, d, "documents")),
          sql.text_blocks())
+register("review_blocks",
+         lambda s, d: context.text_blocks(tables.review_text(tables.read_table(s, d, "documents"))),
+         sql.review_blocks())
+register("context_categories",
+         lambda s, d: context.financial_context(_orders(s, d), TOP_K).select(
+             "account_id", F.posexplode("category_expenses").alias("pos", "c")).select(
+             "account_id", "pos", "c.Category", F.col("c.`Total Spent`").alias("total_spent")),
+         sql.context_categories(sql.ORDERS_LEDGER))
+register("context_top_lines",
+         lambda s, d: context.financial_context(_orders(s, d), TOP_K).select(
+             "account_id", F.posexplode("top_5_largest_transactions").alias("pos", "line")),
+         sql.context_top_lines(sql.ORDERS_LEDGER, TOP_K))
 register("kpi_display", lambda s, d: context.kpi_display(_orders(s, d)), sql.kpi_display(sql.ORDERS_LEDGER))
 register("transactions_display", lambda s, d: context.transactions_display(_orders(s, d)),
          sql.transactions_display(sql.ORDERS_LEDGER))
@@ -229,8 +255,8 @@ register("report_document", lambda s, d: context.report_document(_orders(s, d),
 # --- skew: one account with a third of all lineitem rows --------------------
 register("hot_account_kpi_summary", lambda s, d: agg.kpi_summary(_hot_lineitem(s, d)),
          sql.kpi_summary(sql.HOT_LINEITEM_LEDGER))
-register("hot_account_top_transactions", lambda s, d: agg.top_transactions(_hot_lineitem(s, d), TOP_K),
-         sql.top_transactions(sql.HOT_LINEITEM_LEDGER, TOP_K))
+register("hot_account_top_transactions", lambda s, d: _top_lines(s, d, hot_every=3),
+         sql.top_transactions(sql.HOT_LINEITEM_LEDGER, TOP_K, sql.LINE_KEY))
 register("hot_account_forecast", lambda s, d: forecast.forecast(_hot_lineitem(s, d), HORIZON),
          sql.forecast(sql.HOT_LINEITEM_LEDGER, HORIZON))
 register("hot_account_financial_context",

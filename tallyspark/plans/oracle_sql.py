@@ -134,10 +134,14 @@ def monthly_series_body() -> str:
 FROM ledger WHERE "Date" IS NOT NULL GROUP BY ALL"""
 
 
-def top_transactions(ledger: str, k: int = 5) -> str:
+# The four columns of a line item's key, as numbers.
+LINE_KEY = ", ".join(f"CAST(split_part(txn_id, '-', {i}) AS BIGINT)" for i in range(1, 5))
+
+
+def top_transactions(ledger: str, k: int = 5, tie: str = "txn_id") -> str:
     return f"""WITH {ledger},
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY account_id
-                                   ORDER BY abs(Amount) DESC, "Date" DESC NULLS LAST, txn_id) AS INTEGER) AS rank
+                                   ORDER BY abs(Amount) DESC, "Date" DESC NULLS LAST, {tie}) AS INTEGER) AS rank
       FROM ledger)
 SELECT * FROM r WHERE rank <= {k}"""
 
@@ -610,6 +614,45 @@ PYSPACE = (r"[\t\n\x0B\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
 
+REVIEW_TEXT = """documents AS (
+  SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
+    CASE (i - 1 + doc_id) % 6 WHEN 0 THEN '## ' || x WHEN 1 THEN '- **' || left(x, 12) || '** ' || x
+         WHEN 2 THEN '  * ' || x WHEN 3 THEN '**' || x || '** and *one*' WHEN 4 THEN '' ELSE x END),
+    chr(10)) AS text FROM documents)"""
+
+
+def review_blocks() -> str:
+    return text_blocks().replace("WITH sp AS", f"WITH {REVIEW_TEXT},\nsp AS", 1)
+
+
+def statement_monthly_summary() -> str:
+    return monthly_summary(_statement_ledger())
+
+
+def statement_top_lines(k: int) -> str:
+    return top_transaction_lines(_statement_ledger(), k)
+
+
+def _statement_ledger() -> str:
+    """The parsed statements, undated rows among them, as a ledger."""
+    ctes = _statement_ctes().removeprefix("WITH ")
+    return ctes + """,
+ledger AS (SELECT account_id, txn_id, "Date", Description, Amount, Category, Type
+           FROM stt WHERE reject_reason IS NULL)"""
+
+
+def context_categories(ledger: str) -> str:
+    return f"""WITH {ledger},
+c AS (SELECT account_id, Category, {cents('abs(sum(CAST(Amount AS DECIMAL(38,10))))')} AS amt
+      FROM ledger WHERE Type = 'Debit' GROUP BY ALL)
+SELECT account_id, CAST(row_number() OVER (PARTITION BY account_id ORDER BY amt DESC, Category) - 1 AS INTEGER) AS pos,
+       Category, amt AS total_spent FROM c"""
+
+
+def context_top_lines(ledger: str, k: int) -> str:
+    return f"SELECT account_id, CAST(rank - 1 AS INTEGER) AS pos, line FROM ({top_transaction_lines(ledger, k)})"
+
+
 def text_blocks() -> str:
     strip = f"regexp_replace(raw, '^{PYSPACE}+|{PYSPACE}+$', '', 'g')"
     return f"""WITH sp AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),

@@ -46,32 +46,54 @@ def events_ledger(events: DataFrame) -> DataFrame:
         amount, F.col("event_type")))
 
 
-def lineitem_ledger(lineitem: DataFrame, orders: DataFrame, hot_every: int | None = None) -> DataFrame:
-    """Line items booked to the ordering customer; returned lines are credits.
+LINE_KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
-    ``hot_every=k`` books every k-th order (all its lines) to one hot account
-    (-1) instead, a skew test: with k=3 one key holds a third of all rows.
 
-    ``txn_id`` is the four-column line key as text (order and line number
-    alone repeat). The join is an equi-join on the order key: the planner
-    broadcasts orders only when its measured size is under the threshold,
-    otherwise both sides shuffle (or not at all when both are bucketed by
-    order key).
+def lineitem_keyed(lineitem: DataFrame, orders: DataFrame, hot_every: int | None = None) -> DataFrame:
+    """Line items as ledger rows that still carry their key columns and no texts.
+
+    ``hot_every=k`` books every k-th order (all its lines) to one hot account
+    (-1) instead, a skew test: with k=3 one key holds a third of all rows. The
+    join is an equi-join on the order key: the planner broadcasts orders only
+    when its measured size is under the threshold, otherwise both sides
+    shuffle (or not at all when both are bucketed by order key).
     """
-    li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                         "l_extendedprice", "l_returnflag", "l_shipdate")
+    li = lineitem.select(*LINE_KEY, "l_extendedprice", "l_returnflag", "l_shipdate")
     od = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     price = F.col("l_extendedprice")
-    amount = F.when(F.col("l_returnflag") == "R", price).otherwise(-price)
-    key = F.concat_ws("-", *[F.col(c).cast("string") for c in
-                             ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
+    amount = F.coalesce(F.when(F.col("l_returnflag") == "R", price).otherwise(-price), F.lit(0.0))
     account = F.col("o_custkey")
     if hot_every:
         account = F.when(F.col("l_orderkey") % hot_every == 0, F.lit(-1).cast("bigint")).otherwise(account)
-    return li.join(od, "l_orderkey").select(*_ledger(
-        account, key, F.col("l_shipdate"),
-        F.concat(F.lit("Line "), key), amount,
-        F.concat(F.lit("Flag "), F.col("l_returnflag"))))
+    return li.join(od, "l_orderkey").select(
+        account.alias(ACCOUNT), *LINE_KEY, F.col("l_shipdate").alias(DATE), amount.alias(AMOUNT),
+        "l_returnflag", classify_type(amount).alias(TYPE))
+
+
+def lineitem_texts(keyed: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Ledger columns of ``lineitem_keyed`` rows. ``txn_id`` is the four-column
+    line key as text (order and line number alone repeat)."""
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in LINE_KEY])
+    category = F.coalesce(F.concat(F.lit("Flag "), F.col("l_returnflag")), F.lit("Uncategorized"))
+    return keyed.select(ACCOUNT, key.alias(TXN), DATE, F.concat(F.lit("Line "), key).alias(DESC), AMOUNT,
+                        category.alias(CATEGORY), TYPE, *(more or []))
+
+
+def lineitem_ledger(lineitem: DataFrame, orders: DataFrame, hot_every: int | None = None) -> DataFrame:
+    """Line items booked to the ordering customer; returned lines are credits."""
+    return lineitem_texts(lineitem_keyed(lineitem, orders, hot_every))
+
+
+def review_text(documents: DataFrame) -> DataFrame:
+    """Documents as review text: headings, bullets, bold words and blank lines by line and key."""
+    x = lambda line, i: (
+        F.when(kind(i) == 0, F.concat(F.lit("## "), line))
+         .when(kind(i) == 1, F.concat(F.lit("- **"), F.left(line, F.lit(12)), F.lit("** "), line))
+         .when(kind(i) == 2, F.concat(F.lit("  * "), line))
+         .when(kind(i) == 3, F.concat(F.lit("**"), line, F.lit("** and *one*")))
+         .when(kind(i) == 4, F.lit("")).otherwise(line))
+    kind = lambda i: (i + F.col("doc_id")) % 6
+    return documents.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), x), "\n").alias("text"))
 
 
 # Header of the raw statement built from orders (all text, as read from CSV).
