@@ -25,15 +25,16 @@ def _col(c) -> Column:
 def exact_sum(c) -> Column:
     """Sum of money as an exact decimal (order-independent, unlike doubles); null when there is nothing to sum.
 
-    Rows are summed with ten decimal places and never rounded one by one. If a
-    row is 1e18 or more, the group's sum is taken in double precision instead
-    (such doubles have no decimal places left to lose); a sum that even the
-    wide decimal can't hold is null. Nothing raises.
+    Rows are summed with ten decimal places and never rounded one by one. Rows
+    of 1e18 or more have no decimal places left to lose and are added in double
+    precision; a sum that even the wide decimal can't hold is null. Nothing
+    raises.
     """
     x = _col(c)
     row = x.try_cast(ROW_DECIMAL)
-    return (F.when(F.count(row) == F.count(x), F.try_sum(row))
-             .otherwise(F.sum(x.cast("double")).try_cast(MONEY_DECIMAL)))
+    beyond = F.sum(F.when(row.isNull(), x.cast("double")))
+    wide = (beyond + F.coalesce(F.try_sum(row).cast("double"), F.lit(0.0))).try_cast(MONEY_DECIMAL)
+    return F.when(beyond.isNull(), F.try_sum(row)).otherwise(wide)
 
 
 def exact_total(c) -> Column:
