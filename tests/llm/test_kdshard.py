@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 from tallyspark.llm import kdshard, queries
+from tallyspark.llm.common import number_within
 
 
 def test_query_obeys_its_law(spark, data_dir):
@@ -54,3 +55,13 @@ def test_target_bytes_and_empty(spark):
     df = df.selectExpr("doc_id", "concat(text, doc_id) AS text", "lang", "source")
     assert len({r["shard"] for r in kdshard.shard_documents(df, None, target_bytes=800).collect()}) == 8
     assert kdshard.shard_documents(df.limit(0), 4).count() == 0
+
+
+def test_numbering_is_gapless_over_many_salts(spark):
+    rows = [(i, None if i % 3 == 0 else f"g{i % 4}", 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, grp string, slot int").drop("slot")
+    out = number_within(df, "grp", ["id"], "slot", rows_per_task=20).collect()
+    groups = defaultdict(list)
+    for r in out:
+        groups[r["grp"]].append(r["slot"])
+    assert len(out) == 500 and all(sorted(s) == list(range(len(s))) for s in groups.values())
