@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,6 +93,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor, once per application.
+
+    Spark's own way: ``addPyFile`` with a zip of the package. Where the package
+    is installed on the executors it is the same code.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_tallyspark_shipped", False) or not os.path.isdir(root):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tallyspark-code-"), "tallyspark_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._tallyspark_shipped = True
+
+
 def drop_staged(staged: DataFrame) -> None:
     """Delete the folders of a table that ``materialize`` wrote, once nothing reads it any more."""
     spark = staged.sparkSession
