@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyspark.session import ship_package
+
 #: Where public_tokenizers files are found; a parameter of the operators.
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 
@@ -28,6 +30,7 @@ def text_struct(fn: Callable[[], Callable[[list], dict]], schema: str, as_list:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
+    ship_package(SparkSession.active())
     kind = StructType.fromDDL(schema)
     arrow = to_arrow_type(kind)
 

@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import text_struct
+from tallyspark.session import ship_package
 
-SEED_WORDS, MIN_WORDS, MAX_EXPECTED, MIN_SCORE, BLOCK_CHARS = 3, 5, 0.01, 0.5, 8_000_000
+SEED_WORDS, MIN_WORDS, MAX_EXPECTED, MIN_SCORE, BLOCK_CHARS = 3, 5, 0.01, 0.45, 8_000_000
 WORD = re.compile(r"\w+")
 HITS = "hits array<struct<item_id:long,score:double,start:long,end:long>>"
 
@@ -46,6 +47,7 @@ def words_of(text: str | None) -> list[str]:
 
 def word_counts(docs: DataFrame, text: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
     """How often each word of a block's vocabulary stands in all documents, and all words."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import crc_mod, text_struct
-from tallyspark.session import materialize
+from tallyspark.session import materialize, ship_package
 
 STATES, ROUNDS, SYMBOLS, CLASSES, COUNTED, LONG_WORD = 8, 4, 50_000, 256, 200_000, 64
 SEGMENT, CHUNK = 128, 200_000
@@ -85,6 +85,7 @@ def training_rows(key: str = "doc_id") -> Column:
 
 def count_words(texts: DataFrame, text: str, classes: int) -> DataFrame:
     """(word, cls, c) over all rows."""
+    ship_package(texts.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

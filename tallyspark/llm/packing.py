@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import BPE_RANKS, text_struct
 from tallyspark.llm.secrets import load_encoder
-from tallyspark.session import materialize
+from tallyspark.session import materialize, ship_package
 
 CAPACITY, END_ID, GROUP_PIECES, CLOSED = 2048, 0, 30_000, 0.98
 #: The emptiest bins tried in a pass, and the passes that may go by without emptying one.
@@ -158,6 +158,7 @@ def pack_group(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]
 
 def pack(pieces: DataFrame, length: str = "length", *, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, closed: float = CLOSED) -> DataFrame:
     """Add sequence_id and offset to rows with a length of at most ``capacity``."""
+    ship_package(pieces.sparkSession)
     staged = materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     done, level, n = [], 0, staged.count()
     names = [*pieces.columns, "sequence_id", "offset"]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import text_struct
-from tallyspark.session import materialize
+from tallyspark.session import materialize, ship_package
 
 SHINGLE_WORDS, MAX_BITS, HOT_BUCKET = 3, 2, 20_000
 #: Node pairs of the trie that descend at once; rows that a task gathers before it joins them.
@@ -160,6 +160,7 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, hot_bucket: int = HO
     masks = F.filter(F.expr("sequence(0L, shiftleft(1L, q) - 1)"), lambda m: F.bit_count(m) <= max_bits)
     pairs = rows.withColumn("mask", F.explode(masks)).withColumn("mate", F.col("node").bitwiseXOR(F.col("mask")))
     pairs = pairs.select("fp", "block", "value", F.least("node", "mate").alias("lo"), F.greatest("node", "mate").alias("hi"), (F.col("node") > F.col("mate")).cast("int").alias("side"))
+    ship_package(prints.sparkSession)
     keys = ["block", "value", "lo", "hi"]
     dealt = pairs.repartition(*keys).sortWithinPartitions(*keys)
 
