@@ -61,5 +61,5 @@ def json_string(c) -> Column:
                  .otherwise(F.format_string("\\u%04x\\u%04x", hi, lo)))
     full = F.concat(F.lit('"'), F.array_join(F.transform(chars, esc), ""), F.lit('"'))
     return (F.when(x.isNull(), F.lit("null"))
-             .when(x.rlike(r"^[\x20-\x7E]*$"), simple)
+             .when(x.rlike(r"^[\x20-\x7E]*\z"), simple)
              .otherwise(full))

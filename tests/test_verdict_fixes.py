@@ -88,3 +88,12 @@ def test_staged_tables_can_be_dropped(spark):
     drop_staged(staged)
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_json_text_with_a_final_line_break(spark):
+    import json
+
+    from tallyspark.functions.text import json_string
+    texts = ["\r", "a\n", "a\r\n", "plain", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", json_string("t").alias("j"))
+    assert {r["t"]: r["j"] for r in df.collect()} == {t: json.dumps(t) for t in texts}
