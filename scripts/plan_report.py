@@ -15,7 +15,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
+from tallyspark.plans import catalog as entry  # noqa: E402
 from tallyspark.session import build_session  # noqa: E402
 
 
