@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontam, langid, packing, secrets, simhash
-from tallyspark.llm.common import table
+from tallyspark.llm.common import BPE_JSON, table
 from tallyspark.session import materialize
 
 
@@ -47,7 +47,7 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut and pack all documents into sequences."""
-    return packing.pack(packing.token_pieces(docs))
+    return packing.pack(packing.token_pieces(docs, added_tokens=BPE_JSON))
 
 
 STAGES = [

@@ -13,6 +13,7 @@ from tallyspark.session import ship_package
 
 #: Where public_tokenizers files are found; a parameter of the operators.
 BPE_RANKS = "byte_bpe_50k.tiktoken"
+BPE_JSON = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,10 @@ below ``closed`` of the capacity are opened again and dealt anew with those of
 other groups, until one group holds them all or dealing no longer helps.
 
 Ids come from tiktoken with the ranks of the same byte-level vocabulary as the
-``tokenizers`` file; ``tests/llm/test_packing.py`` holds them equal.
+``tokenizers`` file; ``tests/llm/test_packing.py`` holds them equal. With
+``added_tokens``, the added tokens of that file get their own ids wherever a
+text holds them, as ``tokenizers`` does (``tests/llm/test_added_tokens.py``);
+without, they are ordinary text.
 
 Defined results: a null or empty text is the end id alone (length 1). Repeated
 rows are packed one by one. An empty table gives no rows.
@@ -21,6 +24,7 @@ rows are packed one by one. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -43,14 +47,25 @@ def cut(n: int, capacity: int) -> list[int]:
     return [0, *range(first, n + 1, capacity)] if n else [0]
 
 
-def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *, capacity: int = CAPACITY, end_id: int = END_ID, ranks_file: str = BPE_RANKS, keep_ids: bool = False) -> DataFrame:
+def read_added_tokens(name: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file of public_tokenizers, matched as they stand."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{name}: added tokens that aren't matched as they stand")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *, capacity: int = CAPACITY, end_id: int = END_ID, ranks_file: str = BPE_RANKS, added_tokens: str | None = None, keep_ids: bool = False) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32 and, if asked for, the ids."""
 
     def make():
-        encoder = load_encoder(ranks_file)
+        encoder = load_encoder(ranks_file, read_added_tokens(added_tokens) if added_tokens else None)
 
         def pieces(text):
-            ids = np.append(encoder.encode_to_numpy(text), end_id) if text else np.array([end_id])
+            ids = np.append(encoder.encode_to_numpy(text, allowed_special="all"), end_id) if text else np.array([end_id])
             ids = ids.astype("<u4")
             at = cut(len(ids), capacity)
             return [

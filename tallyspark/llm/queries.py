@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontam, hmm, kdshard, langid, licenses, minhash, packing, secrets, simhash, urls
-from tallyspark.llm.common import crc_mod, table
+from tallyspark.llm.common import BPE_JSON, crc_mod, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op6_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), added_tokens=BPE_JSON))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

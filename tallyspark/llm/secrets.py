@@ -50,14 +50,14 @@ def identifier(run: str) -> bool:
     return letters >= 0.75 * len(run) and letters >= 4 * len(words)
 
 
-def load_encoder(ranks_file: str = BPE_RANKS):
+def load_encoder(ranks_file: str = BPE_RANKS, special_tokens: dict[str, int] | None = None):
     """The tiktoken encoder of a rank file of public_tokenizers."""
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(ranks_file), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special_tokens or {})
 
 
 def scanner(ranks_file: str, threshold: float):
