@@ -3,7 +3,7 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet in the shared folder and reads it again as the next
 stage's ``docs``. All stages but the last return the columns of ``docs``; the
-last returns the packed pieces.
+last returns the packed pieces with their token ids.
 
 Empty tables pass through every stage; null texts are rejected by the first
 one as they have no language. Repeated rows are near duplicates of each other.
@@ -46,8 +46,12 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut and pack all documents into sequences."""
-    return packing.pack(packing.token_pieces(docs, added_tokens=BPE_JSON))
+    """Cut and pack all documents into sequences; the ids stay aside while lengths are packed."""
+    pieces = packing.token_pieces(docs, added_tokens=BPE_JSON, keep_ids=True).withColumn("__piece", F.monotonically_increasing_id())
+    pieces = materialize(pieces, "pipeline-pieces")
+    packed = packing.pack(pieces.drop("ids"))
+    ids = pieces.select(F.col("__piece").alias("__of"), "ids")
+    return packed.join(ids, F.col("__piece") == F.col("__of")).drop("__piece", "__of")
 
 
 STAGES = [
