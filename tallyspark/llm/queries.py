@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontam, hmm, importance, kdshard, langid, licenses, minhash, packing, secrets, simhash, urls
+from tallyspark.llm import collocations, decontam, hmm, importance, kdshard, langid, licenses, minhash, packing, secrets, simhash, urls
 from tallyspark.llm.common import BPE_JSON, crc_mod, table
 
 
@@ -73,7 +73,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.score_documents(docs, table(spark, sf_dir, "benchmark").select("text"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_license_scan, op4_decontamination, op5_url_filter, op6_hmm_scoring, op7_best_fit_packing, op8_fingerprints, op9_kd_tree_sharding, op10_simhash, op11_importance_resampling)
+    f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_license_scan, op4_decontamination, op5_url_filter, op6_hmm_scoring, op7_best_fit_packing, op8_fingerprints, op9_kd_tree_sharding, op10_simhash, op11_importance_resampling, op12_phrase_collocations)
 }
-ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle_sql()}
+ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op12_phrase_collocations": collocations.oracle_sql()}
