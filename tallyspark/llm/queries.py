@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import collocations, decontam, hmm, importance, kdshard, langid, licenses, minhash, packing, secrets, simhash, urls
+from tallyspark.llm import collocations, decontam, hmm, importance, kdshard, langid, licenses, minhash, packing, quality, secrets, simhash, urls
 from tallyspark.llm.common import BPE_JSON, crc_mod, table
 
 
@@ -77,7 +77,14 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    held_out = crc_mod("doc_id", 5) == 0
+    return quality.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.GOOD_FROM).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_license_scan, op4_decontamination, op5_url_filter, op6_hmm_scoring, op7_best_fit_packing, op8_fingerprints, op9_kd_tree_sharding, op10_simhash, op11_importance_resampling, op12_phrase_collocations)
+    f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_license_scan, op4_decontamination, op5_url_filter, op6_hmm_scoring, op7_best_fit_packing, op8_fingerprints, op9_kd_tree_sharding, op10_simhash, op11_importance_resampling, op12_phrase_collocations, op13_quality_classifier)
 }
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op12_phrase_collocations": collocations.oracle_sql()}
