@@ -1,6 +1,8 @@
 """Packing: ids equal the tokenizers file's, pieces round-trip, bins valid and few."""
 
+import itertools
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -47,7 +49,7 @@ def test_query_matches_tokenizers_and_packs_tightly(spark, data_dir):
 
 def test_edge_texts(spark):
     texts = [(1, None), (2, ""), (3, " \n\t "), (4, "<|endoftext|> x"), (5, "a" * 30_000), (6, "é ü 漢字 🙂 " * 4000), (7, "word " * 2047), (8, "word " * 2046), (2, ""), (None, "x")]
-    df = spark.createDataFrame([(*t, 1, "y") for t in texts], "doc_id long, text string, length int, sequence_id string").drop("length", "sequence_id")
+    df = spark.createDataFrame([(*t, 1, "y") for t in texts], "doc_id long, text string, length int, sequence_id string")
     rows = packing.pack(packing.token_pieces(df, keep_ids=True)).collect()
     key = lambda r: (str(r[0]), *r[1:])
     assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows), key=key) == sorted(plain_pieces(texts), key=key)
@@ -90,3 +92,43 @@ def test_local_search_empties_bins():
         assert len(after) < 0.9 * len(bins)
         tight = packing.pack_group(lengths)
         assert len(tight) <= -(-lengths.sum() // 2048) + 1
+
+
+@pytest.mark.parametrize("low, high, waste", [(30, 30, 0), (200, 200, 0), (100, 400, 2), (1, 60, 1), (1, 2048, 150)])
+def test_uniform_lengths_end_at_a_local_optimum(low, high, waste):
+    lengths = np.random.default_rng(1).integers(low, high + 1, 30_000)
+    began = time.process_time()
+    bins = packing.pack_group(lengths)
+    assert time.process_time() - began < 30
+    assert sorted(i for b in bins for i in b) == list(range(30_000)) and all(lengths[b].sum() <= 2048 for b in bins)
+    step = int(np.gcd.reduce(lengths))
+    assert len(bins) <= -(-int(lengths.sum()) // (2048 // step * step)) + waste
+
+
+def test_the_search_leaves_no_step():
+    rng = random.Random(4)
+    for _ in range(30):
+        lengths = np.array([rng.randint(300, 900) for _ in range(30)])
+        bins = packing.pack_group(lengths)
+        fill = [int(lengths[b].sum()) for b in bins]
+        if len(bins) == -(-int(lengths.sum()) // 2048):
+            continue
+        few = lambda b: [(), *((i,) for i in b), *itertools.combinations(b, 2)]
+        for v, w in itertools.permutations(range(len(bins)), 2):
+            for out, back in itertools.product(few(bins[v])[1:], few(bins[w])):
+                gain = int(lengths[list(out)].sum()) - int(lengths[list(back)].sum())
+                step = len(out) + len(back) <= 3 and 0 < gain <= 2048 - fill[w] and fill[w] + gain > fill[v]
+                assert not step
+
+
+def test_pack_replaces_its_own_columns(spark):
+    df = spark.createDataFrame([(i, 700, "x", 5) for i in range(10)], "id long, length long, sequence_id string, `offset` int")
+    rows = packing.pack(df).collect()
+    assert check_bins(rows) == 5
+
+
+def test_ids_leave_in_bounded_batches(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text number {i} " * 50) for i in range(200)], "doc_id long, text string").coalesce(1)
+    whole = sorted(packing.token_pieces(df, keep_ids=True).collect())
+    monkeypatch.setattr(packing, "BATCH_IDS", 100)
+    assert sorted(packing.token_pieces(df, keep_ids=True).collect()) == whole and len(whole) == 200
