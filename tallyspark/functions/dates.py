@@ -65,6 +65,50 @@ def parse_date_as(raw, fmt: str) -> Column:
     return F.when(s.rlike(shape), parsed) if shape else parsed
 
 
+# Formats by the shape of their texts; a text is only handed to the parsers of its own shape.
+_SLASH, _DASH, _WORD = r"^\d{1,2}/\d{1,2}/", r"^\d{1,2}-", r"^\p{L}|^\d{1,2}[ -]\p{L}"
+_FAMILIES = [
+    (_SLASH, ("M/d/yyyy", "d/M/yyyy", "M/d/yy", "d/M/yy", "M/d/yyyy H:mm", "d/M/yyyy H:mm", "M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss")),
+    (_WORD, ("MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy")),
+    (r"^\d{1,2}\.", ("d.M.yyyy",)),
+    (_DASH, ("M-d-yyyy", "d-M-yyyy")),
+    (r"^\d+/", ("yyyy/M/d",)),
+    (r"^\d{8,}$", ("yyyyMMdd",)),
+]
+
+
+def date_format_bits(raw, formats=None) -> Column:
+    """An integer with bit i set if format i parses the text; all bits for null.
+
+    The bits of a file's values are merged by ``bit_and``; the lowest one that
+    is left is the file's format. A value is tried only with the formats whose
+    texts look like it.
+    """
+    formats = DATE_FORMATS if formats is None else formats
+    raw = _col(raw)
+    s = F.trim(raw)
+    bit = lambda f: F.when(parse_date_as(raw, f).isNotNull(), F.lit(1 << formats.index(f))).otherwise(F.lit(0))
+    known, bits = {"iso"}, None
+    for shape, family in _FAMILIES:
+        known |= set(family)
+        found = F.lit(0)
+        for f in family:
+            if f in formats:
+                found = found.bitwiseOR(bit(f))
+        bits = F.when(s.rlike(shape), found) if bits is None else bits.when(s.rlike(shape), found)
+    bits = bits.otherwise(bit("iso") if "iso" in formats else F.lit(0))
+    for f in formats:
+        if f not in known:  # a caller's own format
+            bits = bits.bitwiseOR(bit(f))
+    return F.when(raw.isNull(), F.lit((1 << len(formats)) - 1)).otherwise(bits)
+
+
+def lowest_bit(bits) -> Column:
+    """Index of the lowest bit that is set; null for 0."""
+    b = _col(bits)
+    return F.when(b != 0, F.log2(b.bitwiseAND(-b)).cast("int"))
+
+
 def month_start(c) -> Column:
     """First day of the month as DATE (pandas ``to_period('M')``)."""
     return F.trunc(_col(c), "month")

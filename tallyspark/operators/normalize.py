@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.categorize import categorize
-from tallyspark.functions.dates import DATE_FORMATS, parse_date_as
+from tallyspark.functions.dates import DATE_FORMATS, date_format_bits, lowest_bit, parse_date_as
 from tallyspark.functions.money import classify_type, clean_amount
 from tallyspark.schema import ACCOUNT, AMOUNT, CATEGORY, DATE, DESC, TXN, TYPE
 
@@ -95,26 +95,22 @@ def standardize_roles(raw: DataFrame, columns: dict | None = None) -> DataFrame:
 
 
 def elect_date_formats(roles: DataFrame, formats=None) -> DataFrame:
-    """Per file: index of the first format that parses every non-null date.
+    """Per file: ``date_bits``, a bit for each format that parses every non-null date.
 
-    One grouped aggregate (partial before the shuffle); output has one row
-    per file. ``fmt_idx`` is null when no candidate fits.
+    One ``bit_and`` per file (partial before the shuffle) over one integer a
+    value; output has one row per file. No bit is left when no candidate fits.
     """
-    formats = DATE_FORMATS if formats is None else formats
     d = missing_to_null(F.col("raw_date"))
-    fails = [F.sum(F.when(d.isNotNull() & parse_date_as(d, f).isNull(), 1).otherwise(0)).alias(f"_f{i}")
-             for i, f in enumerate(formats)]
-    counts = roles.groupBy("source_file").agg(*fails)
-    idx = None
-    for i in range(len(formats)):
-        cond = F.col(f"_f{i}") == 0
-        idx = F.when(cond, F.lit(i)) if idx is None else idx.when(cond, F.lit(i))
-    return counts.select("source_file", idx.alias("fmt_idx"))
+    return roles.select("source_file", date_format_bits(d, formats).alias("bits")).groupBy("source_file").agg(
+        F.bit_and("bits").alias("date_bits"))
 
 
 def normalize_roles(roles: DataFrame, rules=None, formats=None, date_format: str | None = None,
-                    ) -> DataFrame:
-    """Role columns -> ledger columns plus ``source_file`` and ``reject_reason``."""
+                    elected: DataFrame | None = None) -> DataFrame:
+    """Role columns -> ledger columns plus ``source_file`` and ``reject_reason``.
+
+    ``elected`` (source_file, date_bits) is the date election if it was made before.
+    """
     formats = DATE_FORMATS if formats is None else formats
     if "source_file" not in roles.columns:  # a plain frame is one file
         roles = roles.withColumn("source_file", F.lit("statement"))
@@ -123,8 +119,10 @@ def normalize_roles(roles: DataFrame, rules=None, formats=None, date_format: str
         formats = [date_format]
         elected = roles.withColumn("fmt_idx", F.lit(0))
     else:
-        voters = roles.where(own_reason.isNull())
-        elected = roles.join(elect_date_formats(voters, formats), "source_file", "left")
+        if elected is None:
+            elected = elect_date_formats(roles.where(own_reason.isNull()), formats)
+        formats_of = elected.select("source_file", lowest_bit("date_bits").alias("fmt_idx"))
+        elected = roles.join(formats_of, "source_file", "left")
     d = missing_to_null(F.col("raw_date"))
     date = None
     for i, f in enumerate(formats):

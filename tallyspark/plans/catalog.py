@@ -18,8 +18,9 @@ from tallyspark.functions.money import classify_type
 from tallyspark.operators import aggregates as agg
 from tallyspark.operators import context, filters, forecast, goals, normalize
 from tallyspark.plans import oracle_sql as sql
-from tallyspark.session import ensure_checkpoint_dir, materialize
+from tallyspark.session import ensure_checkpoint_dir
 from tallyspark.sources import statements, tables
+from tallyspark.sources.records import read_records
 
 # Fixed parameters of the registered queries.
 SEARCH_PATTERN = "high|99"
@@ -192,12 +193,20 @@ def _rejected_statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _statement_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _statement_files(spark, sf_dir)
-    records = materialize(statements.statement_records(spark, [folder], suffixes=TEXT_FILES), "statement-records")
-    found = statements.statement_layouts(spark, [folder], records, suffixes=TEXT_FILES)
+    found = statements.statement_layouts(spark, [folder], read_records(spark, [folder], suffixes=TEXT_FILES), suffixes=TEXT_FILES)
     return found.select(_statement_no(), F.array_join("header", "|").alias("header"), "date_at",
-                        "description_at", "amount_at", "category_at")
+                        "description_at", "amount_at", "category_at",
+                        F.array_join("warnings", "; ").alias("warnings"))
 
 
+def _statement_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tables.write_unusable_files(tables.read_table(spark, sf_dir, "region"), _statement_files(spark, sf_dir))
+    made = statements.ingest_statements(spark, folder, suffixes=TEXT_FILES)
+    number = F.regexp_extract("source_file", r"statement=(-?\d+)", 1).cast("bigint").alias("account_id")
+    return statements.file_report(made).select(number, F.col("file_reason").alias("reject_reason"), "ledger_rows", "rejected_records")
+
+
+register("statement_file_report", _statement_file_report, sql.statement_file_report(DEFAULT_RULES))
 register("read_statement_lines", _read_statement_lines, sql.read_statement_lines(DEFAULT_RULES))
 register("rejected_files", _rejected_statement_lines, sql.rejected_statement_lines(DEFAULT_RULES))
 register("statement_layouts", _statement_layouts, sql.statement_layouts())

@@ -441,6 +441,19 @@ SELECT DISTINCT o_custkey // 50, CAST(NULL AS BIGINT), 'could not map date, desc
 FROM orders WHERE (o_custkey // 50) % 11 = 5"""
 
 
+def statement_file_report(rules) -> str:
+    no_rows = "CAST(0 AS BIGINT) AS ledger_rows, CAST(0 AS BIGINT) AS rejected_records"
+    return _line_ctes(rules) + f"""
+SELECT statement AS account_id, CAST(NULL AS VARCHAR) AS reject_reason,
+       count(*) FILTER (NOT wide) AS ledger_rows, count(*) FILTER (wide) AS rejected_records FROM lines GROUP BY statement
+UNION ALL SELECT DISTINCT o_custkey // 50, 'could not map date, description and amount columns', {no_rows}
+FROM orders WHERE (o_custkey // 50) % 11 = 5
+UNION ALL SELECT -1 - r_regionkey, 'no header line', {no_rows} FROM region
+UNION ALL SELECT -11 - r_regionkey, 'a quoted field is never closed', {no_rows} FROM region
+UNION ALL SELECT -100, 'no header line', {no_rows}
+UNION ALL SELECT -200, 'unsupported file format', {no_rows}"""
+
+
 def statement_layouts() -> str:
     return """WITH s AS (SELECT DISTINCT o_custkey // 50 AS statement FROM orders),
 k AS (SELECT statement, CASE WHEN statement % 11 = 5 THEN 2 ELSE statement % 2 END AS kind FROM s)
@@ -450,7 +463,7 @@ SELECT statement AS account_id,
   CAST(CASE kind WHEN 0 THEN 1 WHEN 1 THEN 3 END AS INTEGER) AS date_at,
   CAST(CASE kind WHEN 0 THEN 2 WHEN 1 THEN 2 END AS INTEGER) AS description_at,
   CAST(CASE kind WHEN 0 THEN 3 WHEN 1 THEN 1 END AS INTEGER) AS amount_at,
-  CAST(CASE kind WHEN 0 THEN 4 END AS INTEGER) AS category_at FROM k"""
+  CAST(CASE kind WHEN 0 THEN 4 END AS INTEGER) AS category_at, '' AS warnings FROM k"""
 
 
 def categorize_sql(text: str, rules, other: str = "Other") -> str:

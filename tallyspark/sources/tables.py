@@ -230,3 +230,20 @@ def write_statement_lines(orders: DataFrame, folder: str) -> str:
     (statement_lines(orders).repartition("statement").sortWithinPartitions("statement", "pos")
      .select("statement", "line").write.mode("errorifexists").partitionBy("statement").text(folder))
     return folder
+
+
+def write_unusable_files(region: DataFrame, folder: str) -> str:
+    """Beside statements: files without a byte, with blank lines, an unclosed quote or another suffix.
+
+    By region: ``statement=-1 - r_regionkey`` holds a blank line only, ``-11 -
+    r_regionkey`` opens a quoted field and never closes it. ``-100`` is a
+    file of no bytes, ``-200`` one in another format.
+    """
+    folder = folder.rstrip("/")
+    key = F.col("r_regionkey").cast("bigint")
+    blank = region.select((-1 - key).alias("statement"), F.lit("").alias("line"))
+    unclosed = region.select((-11 - key).alias("statement"), F.concat(F.lit('Date,Payee,Amount\n2026-01-05,"'), "r_name").alias("line"))
+    (blank.unionByName(unclosed).repartition("statement").write.mode("append").partitionBy("statement").text(folder))
+    region.where(F.lit(False)).select("r_name").coalesce(1).write.text(f"{folder}/statement=-100")
+    region.coalesce(1).write.json(f"{folder}/statement=-200")
+    return folder
