@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,8 @@ INSIDE_PERCENT = 100
 MOST_BITS = 28
 #: Texts that are parsed at once.
 SLICE = 500
+#: Bytes of chunks whose phrases are counted together before they leave a task.
+BATCH_BYTES = 8 << 20
 
 # What ends a piece.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -154,26 +157,8 @@ def count_phrases(dictionary: DataFrame, frequent: DataFrame, k: int, min_count:
     shared = dictionary.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            langs, uses = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-            chunks = [c.encode().split(b" ") for c in batch.column(1).to_pylist()]
-            sizes = np.array([len(c) for c in chunks], dtype=np.int64)
-            words = [w for c in chunks for w in c]
-            ends = np.cumsum(sizes)
-            row = np.repeat(np.arange(len(chunks)), sizes)
-            left = ends[row] - np.arange(len(words))  # words from here to the end of the chunk
-            at = place(rolling(hashes(words), k - 1), hashes([x.encode() for x in langs])[row], bits)
-            part = (known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            ok = (left >= k) & (left > batch.column(2).to_numpy()[row])  # whole, and not begun in the overlap
-            ok[:-1] &= (part[:-1] & part[1:]).astype(bool)
-            found: dict = {}
-            for i in np.flatnonzero(ok).tolist():
-                r = row[i]
-                key = (langs[r], b" ".join(words[i : i + k]))
-                found[key] = found.get(key, 0) + uses[r]
-            keys = list(zip(*found)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "phrase", "f"])
+        for part in joined(batches):
+            yield phrases_of(part, k, shared.value, bits)
 
     rows = dictionary.select("lang", "chunk", "tail", "uses").mapInArrow(run, "lang string, phrase string, f long")
     out = materialize(rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), f"collocations-{k}")
@@ -181,6 +166,46 @@ def count_phrases(dictionary: DataFrame, frequent: DataFrame, k: int, min_count:
     return out
 
 
+def joined(batches: Iterator[pa.RecordBatch], least_bytes: int = BATCH_BYTES) -> Iterator[pa.Table]:
+    """Batches put together until they hold so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= least_bytes:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def phrases_of(chunks: pa.Table, k: int, known: np.ndarray, bits: int) -> pa.RecordBatch:
+    """(lang, phrase, f): the phrases of k words of some chunks, of which both parts of k - 1 words may be frequent."""
+    column = lambda i: pa.concat_arrays(chunks.column(i).chunks) if chunks.num_rows else chunks.column(i).combine_chunks()
+    lists = pc.split_pattern(column(1), " ")
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded, langs = lists.flatten().dictionary_encode(), column(0).dictionary_encode()
+    words, of_lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), langs.indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.cumsum(sizes)[row] - np.arange(len(words))  # words from here to the end of the chunk
+    hashed = hashes(coded.dictionary.cast(pa.binary()).to_pylist())
+    hashed_lang = hashes(langs.dictionary.cast(pa.binary()).to_pylist())
+    at = place(rolling(hashed[words], k - 1), hashed_lang[of_lang][row], bits)
+    part = (known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+    ok = (left >= k) & (left > column(2).to_numpy()[row])  # whole, and not begun in the overlap
+    ok[:-1] &= (part[:-1] & part[1:]).astype(bool)
+    first = np.flatnonzero(ok)
+    # Equal phrases get equal numbers, word by word: never more than (phrases so far) x (words).
+    number = of_lang[row[first]].astype(np.int64)
+    for j in range(k):
+        number = np.unique(number * len(hashed) + words[first + j], return_inverse=True)[1]
+    _, one, number = np.unique(number, return_index=True, return_inverse=True)
+    f = np.bincount(number, weights=column(3).to_numpy()[row[first]], minlength=len(one)).astype(np.int64)
+    first = first[one]
+    parts = [coded.dictionary.take(pa.array(words[first + j])) for j in range(k)]
+    lang = langs.dictionary.take(pa.array(of_lang[row[first]]))
+    return pa.RecordBatch.from_arrays([lang, pc.binary_join_element_wise(*parts, " "), pa.array(f)], names=["lang", "phrase", "f"])
+
+
 def first_words(n: str) -> Column:
     return F.expr(f"substring_index(phrase, ' ', {n})")
 
