@@ -365,17 +365,20 @@ def report_document(ledger: DataFrame, generated_at: str, review_text: DataFrame
     (an explicit parameter, not the clock). A renderer only lays these out.
     """
     keys = _keys(by)
-    # One aggregate by (account, category) gives both tables; its exchange is reused.
+    # One aggregate by (account, category) gives both tables: the account's own figures are windows over its categories.
     per_cat = ledger.groupBy(*keys, CATEGORY).agg(
         exact_sum(F.when(F.col(TYPE) == CREDIT, F.col(AMOUNT))).alias("_inc"),
-        exact_sum(F.when(F.col(TYPE) == DEBIT, F.col(AMOUNT))).alias("_deb"))
+        F.abs(exact_sum(F.when(F.col(TYPE) == DEBIT, F.col(AMOUNT)))).alias("_spent"))
+    mine = Window.partitionBy(*keys)
     zero = F.lit(0).cast(MONEY_DECIMAL)
-    sums = per_cat.groupBy(*keys).agg(F.coalesce(F.try_sum("_inc"), zero).alias("_inc"),
-                                      F.abs(F.coalesce(F.try_sum("_deb"), zero)).alias("_exp"))
-    inc, exp = to_cents(F.col("_inc")), to_cents(F.col("_exp"))
-    net = to_cents(F.col("_inc") - F.col("_exp"))
-    kpi = sums.select(*keys, inc.alias("total_income"), exp.alias("total_expenses"), net.alias("net_savings"),
-                      safe_ratio_pct(net, inc).alias("savings_rate"))
+    whole = lambda c: F.coalesce(F.try_sum(c).over(mine), zero)
+    largest = F.row_number().over(mine.orderBy(F.col("Amount").desc_nulls_last(), F.col(CATEGORY)))
+    # The net is taken from exact sums; spending adds up to the same as the debits.
+    per_cat = per_cat.withColumn("Amount", to_cents("_spent")).withColumns({
+        "_all_in": whole("_inc"), "_all_out": whole("_spent"), "_rank": largest})
+    inc, exp, net = to_cents("_all_in"), to_cents("_all_out"), to_cents(F.col("_all_in") - F.col("_all_out"))
+    kpi = per_cat.select(*keys, CATEGORY, "Amount", "_rank", inc.alias("total_income"), exp.alias("total_expenses"),
+                         net.alias("net_savings"), safe_ratio_pct(net, inc).alias("savings_rate"))
     stamp = F.concat(F.lit(REPORT_GENERATED),
                      F.date_format(F.lit(generated_at).cast("timestamp_ntz"), REPORT_GENERATED_FORMAT))
 
@@ -395,17 +398,13 @@ def report_document(ledger: DataFrame, generated_at: str, review_text: DataFrame
               row(2, 1, "table_header", *[F.lit(h) for h in REPORT_CATEGORY_HEADER]),
               row(3, 0, "page_break", F.lit(None)),
               row(4, 0, "heading", F.lit(REPORT_SECTION_3))]
-    head = kpi.select(*keys, F.inline(F.array(*fixed)))
-    spent = per_cat.where(F.col("_deb").isNotNull()).withColumn("_amt", F.abs(F.col("_deb")))
-    total = to_cents(F.try_sum("_amt").over(Window.partitionBy(*keys)))
-    cats = spent.select(*keys, CATEGORY, to_cents(F.col("_amt")).alias("Amount"), total.alias("_total"))
-    cats = cats.select("*", money_text(F.col("Amount")).alias("amount_text"),
-                       percent_text(safe_ratio_pct(F.col("Amount"), F.col("_total")), 1).alias("share_text"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("Amount").desc(), F.col(CATEGORY)))
-    cat_rows = cats.select(*keys, F.lit(2).alias("section"), (rank + 1).cast("bigint").alias("seq"),
-                           F.lit("table_row").alias("kind"), F.col(CATEGORY).alias("cell1"),
-                           F.col("amount_text").alias("cell2"), F.col("share_text").alias("cell3"))
-    out = head.unionByName(cat_rows)
+    share = percent_text(safe_ratio_pct(F.col("Amount"), F.col("total_expenses")), 1)
+    category = F.struct(F.lit(2).alias("section"), (F.col("_rank") + 1).cast("bigint").alias("seq"), F.lit("table_row").alias("kind"),
+                        F.col(CATEGORY).alias("cell1"), money_text(F.col("Amount")).alias("cell2"), share.alias("cell3"))
+    # The account's fixed rows come with its first category; one without spending has no table row.
+    rows = F.concat(F.when(F.col("_rank") == 1, F.array(*fixed)).otherwise(F.array()),
+                    F.when(F.col("Amount").isNotNull(), F.array(category)).otherwise(F.array()))
+    out = kpi.select(*keys, F.inline(rows))
     if review_text is not None:
         blocks = text_blocks(review_text.select(F.col(ACCOUNT).alias("_doc"), "text"), "text", "_doc")
         out = out.unionByName(blocks.select(

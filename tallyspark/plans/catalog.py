@@ -19,7 +19,7 @@ from tallyspark.operators import aggregates as agg
 from tallyspark.operators import context, filters, forecast, goals, normalize
 from tallyspark.plans import oracle_sql as sql
 from tallyspark.session import ensure_checkpoint_dir
-from tallyspark.sources import statements, tables
+from tallyspark.sources import sinks, statements, store, tables
 from tallyspark.sources.records import read_records
 
 # Fixed parameters of the registered queries.
@@ -281,3 +281,48 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle() -> dict[str, str]:
     return {name: q for name, (_, q) in _REGISTRY.items() if q is not None}
+
+
+# --- stored ledger, refreshed totals, committed report -----------------------
+def _staging(spark: SparkSession, name: str) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+# The account of a third of all rows goes to the part that isn't bucketed.
+STORED_BUCKETS, STORED_HOT_ROWS = 16, 10_000
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> store.StoredLedger:
+    name = f"ledger_{uuid.uuid4().hex[:12]}"
+    return store.store_ledger(_hot_lineitem(spark, sf_dir), name, _staging(spark, "stored-ledger"), STORED_BUCKETS, STORED_HOT_ROWS)
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of orders by file (order key modulo 7): file 3 is first sent with wrong amounts and months, file 5 comes late."""
+    ledger = _orders(spark, sf_dir).withColumn("source_file", (F.col("txn_id") % 7).cast("string"))
+    path, fix = _staging(spark, "totals"), F.col("source_file") == "3"
+    wrong = ledger.withColumns({"Amount": F.when(fix, F.col("Amount") * 2).otherwise(F.col("Amount")),
+                                "Date": F.when(fix, F.add_months("Date", 1).cast("timestamp_ntz")).otherwise(F.col("Date"))})
+    files = ledger.select("source_file").distinct()
+    store.refresh_totals(wrong.where("source_file <> '5'"), files.where("source_file <> '5'"), path)
+    store.refresh_totals(ledger.where("source_file IN ('3', '5')"), files.where("source_file IN ('3', '5')"), path)
+    return store.read_totals(spark, path)
+
+
+def _committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _staging(spark, "report")
+    sinks.write_report(_orders(spark, sf_dir), out, generated_at=GENERATED_AT)
+    return sinks.read_report(spark, out, "report_document").drop("bucket")
+
+
+def _sql(name: str) -> str | None:
+    return _REGISTRY[name][1]
+
+
+register("stored_kpi_summary", lambda s, d: store.per_account(_stored(s, d), agg.kpi_summary), _sql("hot_account_kpi_summary"))
+register("stored_forecast", lambda s, d: store.per_account(_stored(s, d), lambda led: forecast.forecast(led, HORIZON)),
+         _sql("hot_account_forecast"))
+register("refreshed_kpi_summary", lambda s, d: store.kpis_of_totals(_refreshed(s, d)), _sql("kpi_summary"))
+register("refreshed_monthly_summary", lambda s, d: store.months_of_totals(_refreshed(s, d)), _sql("monthly_summary"))
+register("refreshed_category_expenses", lambda s, d: store.categories_of_totals(_refreshed(s, d)), _sql("category_expenses"))
+register("committed_report_document", _committed, _sql("report_document"))
