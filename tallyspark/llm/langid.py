@@ -13,7 +13,9 @@ dictionaries share ``MODEL_BYTES``.
 
 Defined results: null text or text without a letter: ``und``, score 0,
 rejected. Nothing to learn from: ``und`` for all. Equal sizes: the language
-that comes first by name, score 0.5, rejected.
+that comes first by name, score 0.5, rejected. Very long texts are read whole,
+block by block. Repeated rows are each judged; an empty table gives no rows. A
+column of the name of ``out`` is replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -77,7 +79,8 @@ def classifier(dictionaries: dict[str, bytes], min_margin: float):
 
     def judge(text: str | None) -> tuple[str, float, float, bool]:
         plain = OTHER.sub(" ", text.lower()) if text else ""
-        if not names or not plain.strip():
+        # A letter is a character of Unicode's category L, here as in SQL's \p{L}; other word characters are none.
+        if not names or not any(map(str.isalpha, plain)):
             return "und", 0.0, 0.0, True
         data = plain.encode("utf-8", "replace")
         blocks = [CARRIER + data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
