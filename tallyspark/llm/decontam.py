@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Texts are compared as lower-case words. Every run of ``SEED_WORDS`` words of a
+Texts are compared as lower-case words; in scripts without spaces every
+character is one. Every run of ``SEED_WORDS`` words of a
 test item is weighed by how often it would appear in the corpus by chance,
 from word counts over all documents. Seeds are the runs expected less than
 ``MAX_EXPECTED`` times, and always the rarer half of an item's runs, so an
@@ -19,7 +20,8 @@ as the documents are.
 Defined results: null or empty texts and items hold nothing. Items of fewer
 than ``MIN_WORDS`` words are too short to tell a copy from ordinary text and
 match nothing. Items of equal words are all reported. Repeated rows are each
-judged; an empty benchmark or table gives no rows.
+judged; an empty benchmark or table gives no rows. Very long texts are
+searched whole. A column of the name of ``out`` is replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -37,7 +39,10 @@ from tallyspark.llm.common import text_struct
 from tallyspark.session import ship_package
 
 SEED_WORDS, MIN_WORDS, MAX_EXPECTED, MIN_SCORE, BLOCK_CHARS = 3, 5, 0.01, 0.45, 8_000_000
-WORD = re.compile(r"\w+")
+# Letters of scripts that put no spaces between words (Thai to Lao, Burmese, Khmer, kana, Han).
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: A word, or one character of a script without spaces, where a copy may begin at any character.
+WORD = re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]")
 HITS = "hits array<struct<item_id:long,score:double,start:long,end:long>>"
 
 

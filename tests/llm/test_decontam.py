@@ -1,7 +1,6 @@
 """Decontamination: planted copies, edits, a full-matrix aligner and edge cases."""
 
 import random
-import re
 
 import numpy as np
 
@@ -25,7 +24,7 @@ def test_alignment_is_the_plain_one():
 
 
 def test_query_finds_all_whole_copies_and_nothing_far(spark, data_dir):
-    words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
+    words = lambda t: " ".join(decontam.words_of(t))
     docs = [(r["doc_id"], f" {words(r['text'])} ") for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()]
     items = [(r["item_id"], words(r["text"])) for r in spark.read.parquet(f"{data_dir}/benchmark.parquet").collect()]
     want = {(d, i) for d, t in docs for i, x in items if f" {x} " in t}
@@ -72,9 +71,20 @@ def test_edited_copies_are_found_and_clean_documents_left(spark):
 
 def test_edges(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta"
-    d = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, item.upper() + "!", 1), (3, item, 1), (None, "x " + item, 1), (5, "İ " * 30 + item, 1), (6, "q " * 50_000 + item, 1), (7, "yes", 1)], "doc_id long, text string, hits0 int")
+    d = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, item.upper() + "!", 1), (3, item, 1), (None, "x " + item, 1), (5, "İ " * 30 + item, 1), (6, "q " * 50_000 + item, 1), (7, "yes", 1)], "doc_id long, text string, hits int")
     b = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "yes"), (None, item)], "item_id long, text string")
     got = [(r["doc_id"], len(r["hits"])) for r in decontam.benchmark_hits(d, b).collect()]
     assert got == [(1, 0), (2, 0), (3, 2), (3, 2), (None, 2), (5, 2), (6, 2), (7, 0)]
     assert decontam.benchmark_hits(d, b.limit(0)).where("size(hits) > 0").count() == 0
     assert decontam.benchmark_hits(d.limit(0), b).count() == 0
+
+
+def test_items_inside_text_without_spaces(spark):
+    item = "\u4eca\u65e5\u306f\u3068\u3066\u3082\u826f\u3044\u5929\u6c17\u3067\u3059\u306d\u660e\u65e5\u3082\u6674\u308c\u308b"
+    thai = "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\u0e0a\u0e32\u0e27\u0e42\u0e25\u0e01"
+    around = "\u6211\u5011\u5728\u5b78\u6821\u88e1"
+    docs = [(1, around + item + around), (2, around * 6), (3, f"a{item}b"), (4, "word " + thai + "\u0e04\u0e23\u0e31\u0e1a"), (5, item[:4] + around)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, thai)], "item_id long, text string")
+    got = {(r["doc_id"], h["item_id"]): docs[r["doc_id"] - 1][1][h["start"] : h["end"]] for r in decontam.benchmark_hits(d, b).collect() for h in r["hits"]}
+    assert got == {(1, 1): item, (3, 1): item, (4, 2): thai}
