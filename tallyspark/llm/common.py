@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.session import ship_package
+from tallyspark.session import materialize, ship_package
 
 #: Where public_tokenizers files are found; a parameter of the operators.
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -50,6 +50,23 @@ def crc_mod(key: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % n
 
 
+def number_in_order(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Number all rows from 0 in the order of ``order`` (one row for each value of it).
+
+    Rows are dealt by ranges and numbered side by side; only the ranges' row
+    counts are brought together.
+    """
+    dealt = materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before, shifts = 0, []
+    for r in dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).orderBy("__range").collect():  # one row a range
+        shifts.append((r["__range"], before))
+        before += r["n"]
+    given = F.broadcast(df.sparkSession.createDataFrame(shifts, "__of int, __before long"))
+    within = Window.partitionBy("__range").orderBy(*order)
+    numbered = dealt.join(given, F.col("__range") == F.col("__of")).withColumn(out, (F.col("__before") + F.row_number().over(within) - 1).cast("long"))
+    return numbered.drop("__range", "__of", "__before")
+
+
 def number_within(df: DataFrame, group: str, order: list[str], out: str, rows_per_task: int = 200_000) -> DataFrame:
     """Number the rows of each group from 0 without gaps, however large a group is.
 

@@ -4,7 +4,7 @@ import zlib
 from collections import defaultdict
 
 from tallyspark.llm import kdshard, queries
-from tallyspark.llm.common import number_within
+from tallyspark.llm.common import number_in_order, number_within
 
 
 def test_query_obeys_its_law(spark, data_dir):
@@ -59,9 +59,49 @@ def test_target_bytes_and_empty(spark):
 
 def test_numbering_is_gapless_over_many_salts(spark):
     rows = [(i, None if i % 3 == 0 else f"g{i % 4}", 7) for i in range(500)]
-    df = spark.createDataFrame(rows, "id long, grp string, slot int").drop("slot")
+    df = spark.createDataFrame(rows, "id long, grp string, slot int")
     out = number_within(df, "grp", ["id"], "slot", rows_per_task=20).collect()
     groups = defaultdict(list)
     for r in out:
         groups[r["grp"]].append(r["slot"])
     assert len(out) == 500 and all(sorted(s) == list(range(len(s))) for s in groups.values())
+
+
+def sizes_of(out, shards):
+    size = [0] * shards
+    for r in out:
+        size[r["shard"]] += r["size"]
+    return size
+
+
+def test_heavy_units_leave_the_rest_equal(spark):
+    """One text and one group of copies heavier than a share: each has its own shard, the rest are within 2 %."""
+    rows = [(i, f"document {i:05d} " + "w " * (i % 37), "en", f"source number {i % 5}") for i in range(6000)]
+    rows += [(10_000, "h" * 150_000, "en", "source number 1")] + [(20_000 + i, "a copy of a passage " * 10, "de", "source number 2") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS slot", "2 AS size", "'x' AS shard")
+    size = sorted(sizes_of(kdshard.shard_documents(df, 20).collect(), 20))
+    assert size[-1] == 150_016 and size[-2] == 400 * (200 + 16)
+    rest = size[:-2]
+    assert min(rest) > 0.98 * max(rest), rest
+
+
+def test_no_shard_is_empty_when_units_suffice(spark):
+    for weights in ([50_000] + [30] * 200, [5000, 4000, 3000] + [10] * 100, [100] * 41, [2**k for k in range(12)]):
+        rows = [(i, f"{i:04d}" + "x" * (w - 4 if w > 4 else 0), "en", "s") for i, w in enumerate(weights)]
+        out = kdshard.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 10).collect()
+        assert min(sizes_of(out, 10)) > 0, weights
+
+
+def test_sources_of_one_beginning_are_told_apart(spark):
+    rows = [(i, f"text {i:03d}", "en", f"https://long.common.beginning/{i % 4}") for i in range(400)]
+    out = kdshard.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 4).collect()
+    homes = defaultdict(set)
+    for r in out:
+        homes[r["doc_id"] % 4].add(r["shard"])
+    assert not (homes[0] | homes[1]) & (homes[2] | homes[3])  # the first split goes by source
+
+
+def test_numbers_in_order(spark):
+    df = spark.createDataFrame([(f"v{i * 37 % 1000:04d}",) for i in range(1000)], "v string").repartition(9)
+    assert {r["v"]: r["n"] for r in number_in_order(df, ["v"], "n").collect()} == {f"v{i:04d}": i for i in range(1000)}
+    assert number_in_order(df.limit(0), ["v"], "n").count() == 0
