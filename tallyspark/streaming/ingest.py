@@ -8,6 +8,10 @@ per-file election still sees every row of a file. Output goes to
 overwrite: a batch re-run after a failure rewrites the same folder, so the
 sink is exactly-once together with the checkpoint.
 
+``start_mixed_ingest`` takes files of any header: the stream carries their
+names, and every micro-batch finds the headers, roles and date formats of its
+own files.
+
 ``start_monthly_totals`` keeps monthly totals per account over a ledger stream.
 Statements upload history in any order, so it has no watermark: each
 micro-batch adds its own sums, and no row is dropped as late.
@@ -27,7 +31,7 @@ from tallyspark.functions.dates import month_label, month_start
 from tallyspark.functions.money import exact_total, safe_ratio_pct, to_cents
 from tallyspark.operators.normalize import finish, map_headers, normalize_roles, rejected
 from tallyspark.schema import ACCOUNT, AMOUNT, CREDIT, DATE, DEBIT, TYPE
-from tallyspark.sources.statements import REJECT_WIDE, field_count
+from tallyspark.sources.statements import ACCEPTED_SUFFIXES, REJECT_WIDE, field_count, ingest_statements
 
 
 def statement_stream(spark: SparkSession, folder: str, header: list[str], sep: str = ",",
@@ -72,7 +76,11 @@ def start_statement_ingest(spark: SparkSession, folder: str, header: list[str],
         finally:
             keyed.unpersist()
 
-    writer = roles.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    return _started(roles.writeStream.foreachBatch(process), checkpoint, available_now, processing_time)
+
+
+def _started(writer, checkpoint: str, available_now: bool, processing_time: str | None) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:
@@ -80,6 +88,36 @@ def start_statement_ingest(spark: SparkSession, folder: str, header: list[str],
     return writer.start()
 
 
+# Fixed value: the columns of Spark's binary file source.
+FILE_COLUMNS = "path string, modificationTime timestamp, length long, content binary"
+
+
+def start_mixed_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, rules=None, suffixes=ACCEPTED_SUFFIXES,
+                       max_files_per_trigger: int = 1000, available_now: bool = True,
+                       processing_time: str | None = None) -> StreamingQuery:
+    """Stream a folder whose files have differing headers: each micro-batch is read by ``ingest_statements``.
+
+    The stream itself carries file names only, at most ``max_files_per_trigger``
+    a batch, so a batch's headers and date formats are elected from its own
+    files. A transaction's key is its file and its place there, whatever batch
+    the file comes in; a batch that runs again writes the same folder. Files
+    without a byte are no event for Spark's file source and come into no batch.
+    """
+    names = (spark.readStream.format("binaryFile").schema(FILE_COLUMNS).option("recursiveFileLookup", "true")
+             .option("maxFilesPerTrigger", str(max_files_per_trigger)).load(folder).select("path"))
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        files = sorted(r["path"] for r in batch.collect())  # at most max_files_per_trigger names
+        if not files:
+            return
+        made = ingest_statements(spark, files, rules=rules, suffixes=suffixes)
+        for name, df in (("ledger", made.ledger), ("rejects", made.rejects), ("layouts", made.layouts.drop("splits", "plain", "open_end"))):
+            df.write.mode("overwrite").parquet(os.path.join(out, name, f"batch_id={batch_id}"))
+
+    return _started(names.writeStream.foreachBatch(process), checkpoint, available_now, processing_time)
+
+
+
 def start_monthly_totals(ledger: DataFrame, out: str, checkpoint: str, available_now: bool = True,
                          processing_time: str | None = None) -> StreamingQuery:
     """Keep monthly totals per account over a ledger stream, however late a row comes.
