@@ -100,7 +100,7 @@ def parse(texts: list[str | None], overlap: int = OVERLAP, spacing: int = SPACIN
 
 
 def chunk_dictionary(docs: DataFrame, lang: str = "lang", text: str = "text", overlap: int = OVERLAP, spacing: int = SPACING) -> DataFrame:
-    """(lang, chunk, tail, uses): each distinct chunk, how many of its words are overlap, and how often it is used."""
+    """(lang, chunk, tail, uses, words): each distinct chunk, how many of its words are overlap, how often it is used, and how many words it has."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,13 +115,12 @@ def chunk_dictionary(docs: DataFrame, lang: str = "lang", text: str = "text", ov
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int32()), pa.array(list(uses.values()), pa.int64())], names=["lang", "chunk", "tail", "uses"])
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), F.col(text))
-    return rows.mapInArrow(run, "lang string, chunk string, tail int, uses long").groupBy("lang", "chunk", "tail").agg(F.sum("uses").alias("uses"))
+    return rows.mapInArrow(run, "lang string, chunk string, tail int, uses long").groupBy("lang", "chunk", "tail").agg(F.sum("uses").alias("uses")).withColumn("words", F.size(F.split("chunk", " ")))
 
 
 def count_words(dictionary: DataFrame) -> DataFrame:
     """(lang, phrase, f) of all words."""
-    words = F.split("chunk", " ")
-    owned = F.slice(words, F.lit(1), F.size(words) - F.col("tail"))
+    owned = F.slice(F.split("chunk", " "), F.lit(1), F.col("words") - F.col("tail"))
     return dictionary.select("lang", F.explode(owned).alias("phrase"), "uses").groupBy("lang", "phrase").agg(F.sum("uses").alias("f"))
 
 
@@ -160,7 +159,7 @@ def count_phrases(dictionary: DataFrame, frequent: DataFrame, k: int, min_count:
         for part in joined(batches):
             yield phrases_of(part, k, shared.value, bits)
 
-    rows = dictionary.select("lang", "chunk", "tail", "uses").mapInArrow(run, "lang string, phrase string, f long")
+    rows = dictionary.where(F.col("words") >= k).select("lang", "chunk", "tail", "uses").mapInArrow(run, "lang string, phrase string, f long")
     out = materialize(rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), f"collocations-{k}")
     shared.unpersist()
     return out
