@@ -26,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyspark.llm.common import number_in_order
 from tallyspark.session import materialize
 
 WORDS, BINS, VALUE_BITS = 5, 128, 8
 #: Documents are set beside their successors in blocks of so many consecutive ids.
-ID_BLOCK, SUPER_BLOCK = 1024, 4096
+ID_BLOCK = 1024
 #: Rows of two longs up to which the blocks' links are broadcast (16 MB).
 MOST_BROADCAST = 1_000_000
 
@@ -110,13 +111,12 @@ def with_next(docs: DataFrame, key: str, columns: list[str], derived: dict[str,
     order = F.coalesce(F.col(key).cast("long"), F.lit(low))
     rows = docs.select(key, *columns).withColumn("__id", order)
     rows = rows.withColumn("__block", F.shiftright("__id", (ID_BLOCK - 1).bit_length())).withColumn("__tie", F.xxhash64(*columns))
-    tops = rows.groupBy("__block").agg(F.max("__id").alias("top")).withColumn("upper", F.shiftright("__block", (SUPER_BLOCK - 1).bit_length()))
-    # The nearest filled block below: within the super block, else the super blocks' tops, else the very first row.
-    below = F.lag("top").over(Window.partitionBy("upper").orderBy("__block"))
-    supers = tops.groupBy("upper").agg(F.max("top").alias("top"))
-    first = F.max("top").over(Window.partitionBy())
-    supers = supers.select(F.col("upper").alias("up"), F.coalesce(F.lag("top").over(Window.orderBy("upper")), first).alias("far"))
-    links = tops.withColumn("near", below).join(supers, F.col("upper") == F.col("up")).select(F.col("__block").alias("to"), F.coalesce("near", "far").alias("wanted"))
+    tops = rows.groupBy("__block").agg(F.max("__id").alias("top"))
+    # The nearest filled block below is the one with the number before; below the lowest comes the very first row again.
+    tops = materialize(number_in_order(tops, ["__block"], "n"), "minhash-blocks")
+    highest = tops.agg(F.max("top")).first()[0]
+    before = tops.select((F.col("n") + 1).alias("after"), F.col("top").alias("near"))
+    links = tops.join(before, F.col("n") == F.col("after"), "left").select(F.col("__block").alias("to"), F.coalesce("near", F.lit(highest)).alias("wanted"))
     links = materialize(links, "minhash-links")  # one row per block
     if links.count() <= MOST_BROADCAST:  # else the join deals out the texts once more
         links = F.broadcast(links)

@@ -1,6 +1,7 @@
 """Fingerprints against a plain version, and the estimate against true similarity."""
 
 import hashlib
+import random
 import re
 import struct
 
@@ -77,6 +78,16 @@ def test_matches_plain_version_for_dense_and_sparse_ids(spark, ids):
         assert got[d][4:] == pytest.approx(want[d][4:])
 
 
+def test_random_ids_need_no_task_that_sees_all(spark):
+    """Every id is alone in its block; the blocks are numbered by ranges, in no window without a partition."""
+    rng = random.Random(6)
+    ids = sorted({rng.randrange(-(2**61), 2**61) for _ in range(3000)})
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(11)
+    out = minhash.with_next(df, "doc_id", ["text"], {})
+    assert {r["doc_id"]: r["next_text"] for r in out.collect()} == {i: f"t{(k - 1) % len(ids)}" for k, i in enumerate(ids)}
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_query_on_the_whole_table(spark, data_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: r for r in queries.op8_fingerprints(spark, data_dir).collect()}
