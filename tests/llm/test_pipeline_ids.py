@@ -20,3 +20,12 @@ def test_sequences_can_be_made_from_the_result(spark, data_dir):
         made += r["ids"]
     assert all(len(s) <= 2048 for s in sequences.values())
     assert sum(map(len, sequences.values())) == sum(r["length"] for r in rows)
+
+
+def test_columns_of_the_results_names_and_odd_rows(spark, data_dir):
+    rows = [(i, t, "a", [1], i) for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string, ids array<int>, length long").selectExpr("*", "7 AS piece", "'o' AS `offset`", "1 AS __piece")
+    got = corpus_pipeline.pack(spark, docs, data_dir).collect()
+    assert sorted((r["doc_id"], r["piece"]) for r in got) == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 1), (3, 2), (4, 0), (5, 0)]
+    assert all(len(r["ids"]) == r["length"] for r in got)
+    assert corpus_pipeline.pack(spark, docs.limit(0), data_dir).count() == 0
