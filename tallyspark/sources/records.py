@@ -5,7 +5,10 @@ breaks. Whether a line stands inside a quoted field depends on all lines
 before it, and only through one bit. Each line is therefore seen as a function
 of that bit: it opens a quoted field, closes one, swaps or keeps the bit. Such
 functions chain within a split by a window over its lines, and from split to
-split by a window over one row a split, so no task reads a whole file.
+split by a window over one row a split, so no task reads a whole file. The
+window over a split's lines numbers its records for both values of the bit it
+may begin with; once the splits are chained each line takes the right number,
+and the lines are shuffled and sorted only once.
 
 Most files need none of that. A file is *plain* if no line that is read from a
 field's start leaves a quoted field open, no line is blank, and no carriage
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,6 +39,19 @@ def one_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
+_LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def _load(spark: SparkSession, reader: DataFrameReader, paths: list[str]) -> DataFrame:
+    """``reader.load(paths)``, its folders listed by some tasks a core: a task a folder takes longer to start than to list."""
+    given = spark.conf.get(_LISTING_TASKS)
+    spark.conf.set(_LISTING_TASKS, str(min(int(given), max(200, 4 * spark.sparkContext.defaultParallelism))))
+    try:
+        return reader.load(paths)  # lists at once
+    finally:
+        spark.conf.set(_LISTING_TASKS, given)
+
+
 def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(source_file, size) of every file, those without a byte included.
 
@@ -44,7 +60,7 @@ def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     the ``binaryFile`` source, which leaves out empty ones; the names of all
     files come from the index in one text.
     """
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    scan = _load(spark, spark.read.format("binaryFile").option("recursiveFileLookup", "true"), paths)
     sized = scan.select(one_path(F.col("_metadata.file_path")).alias("source_file"), F.col("length").alias("size"))
     text = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", scan._jdf.inputFiles())
     names = spark.createDataFrame([(x,) for x in text.split("\n") if x], "name string")
@@ -85,7 +101,7 @@ def text_lines(spark: SparkSession, paths: list[str], suffixes, sep: str = ",",
     reader = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true")
     if skip_unreadable:
         reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    rows = reader.load(paths).select(
+    rows = _load(spark, reader, paths).select(
         one_path(F.col("_metadata.file_path")).alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), "value")
     return rows.where(accepted(F.col("source_file"), suffixes)).withColumn("opens", leaves_open(F.col("value"), sep))
@@ -149,43 +165,52 @@ def read_records(spark: SparkSession, paths: list[str], sep: str = ",", suffixes
 def _joined(lines: DataFrame, sep: str) -> tuple[DataFrame, DataFrame]:
     """Records of files that aren't plain, and (source_file, open_end): whether a quoted field is never closed."""
     # A carriage return inside a line ends a line, too.
-    parts = F.split("value", "(?<=\r)(?!$)")
-    lines = lines.select("source_file", "block", "at", F.posexplode(parts).alias("part", "value"), F.size(parts).alias("parts"))
+    parts = F.when(F.col("value").contains("\r"), F.split("value", "(?<=\r)(?!$)")).otherwise(F.array("value"))
+    lines = lines.select("source_file", "block", "at", "opens", F.posexplode(parts).alias("part", "value"), F.size(parts).alias("parts"))
     lines = lines.withColumn("breaks", F.col("part") == F.col("parts") - 1)  # a line feed follows
+    # Without a quote an open field stays open.
     lines = lines.withColumns({
-        "from_start": leaves_open(F.col("value"), sep).cast("int"),
-        "from_open": leaves_open(F.concat(F.lit('"'), "value"), sep).cast("int")})
+        "from_start": F.when(F.col("parts") == 1, F.col("opens")).otherwise(leaves_open(F.col("value"), sep)).cast("int"),
+        "from_open": (~F.col("value").contains('"') | leaves_open(F.concat(F.lit('"'), "value"), sep)).cast("int")})
     # A line that gives the same bit from either one sets it; else it keeps or swaps it.
     sets = F.col("from_start") == F.col("from_open")
     inside = Window.partitionBy("source_file", "block").orderBy("at", "part")
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("swaps", F.sum(F.when(~sets, F.col("from_start")).otherwise(0)).over(running))
     lines = lines.withColumn("last_set", F.last(F.when(sets, F.struct(F.col("from_start").alias("bit"), "swaps")), ignorenulls=True).over(running))
-    lines = materialize(lines, "statement-odd-lines")  # read for the splits' sums and again for the records
-    known = F.pmod(F.col("last_set.bit") + F.col("swaps") - F.col("last_set.swaps"), F.lit(2))
-    sums = lines.groupBy("source_file", "block").agg(
-        F.max_by(F.struct(known.alias("bit"), "swaps"), F.struct("at", "part")).alias("end"))
+    lines = lines.withColumn("bit", F.pmod(F.col("last_set.bit") + F.col("swaps") - F.col("last_set.swaps"), F.lit(2)))
+    # The bit after and before each line, and the records begun so far, if the split begins with bit 0 or 1.
+    after = {c: F.coalesce("bit", F.pmod(F.lit(c) + F.col("swaps"), F.lit(2))) for c in (0, 1)}
+    lines = lines.withColumns({f"after_{c}": after[c].cast("int") for c in (0, 1)})
+    lines = lines.withColumns({f"before_{c}": F.coalesce(F.lag(f"after_{c}").over(inside), F.lit(c)) for c in (0, 1)}
+                              | {"last": F.lead("at").over(inside).isNull(), "blank": _blank(F.col("value"))})
+    lines = lines.withColumns({f"skip_{c}": F.col("blank") & (F.col(f"before_{c}") == 0) & (F.col(f"after_{c}") == 0) for c in (0, 1)})
+    lines = lines.withColumns({f"begun_{c}": F.sum(((F.col(f"before_{c}") == 0) & ~F.col(f"skip_{c}")).cast("int")).over(running) for c in (0, 1)})
+    lines = materialize(lines.select(
+        "source_file", "block", "at", "part", "value", "breaks", "last", "bit", "swaps",
+        *[f"{x}_{c}" for c in (0, 1) for x in ("before", "after", "skip", "begun")]), "statement-odd-lines")
     # From split to split: the last split that sets the bit, and the swaps since.
     ahead = Window.partitionBy("source_file").orderBy("block")
     upto = ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.select("source_file", "block", F.col("end.bit").alias("bit"), F.when(F.col("end.bit").isNull(), F.pmod("end.swaps", F.lit(2))).otherwise(0).alias("swap"))
+    sums = lines.where("last").select("source_file", "block", "bit", "begun_0", "begun_1",
+                                      F.when(F.col("bit").isNull(), F.pmod("swaps", F.lit(2))).otherwise(0).alias("swap"))
     sums = sums.withColumn("swaps_so_far", F.sum("swap").over(upto))
     sums = sums.withColumn("set_at", F.last(F.when(F.col("bit").isNotNull(), F.struct("bit", "swaps_so_far")), ignorenulls=True).over(upto))
     after = F.pmod(F.coalesce(F.col("set_at.bit"), F.lit(0)) + F.col("swaps_so_far") - F.coalesce(F.col("set_at.swaps_so_far"), F.lit(0)), F.lit(2))
     sums = sums.withColumn("after", after)
     sums = sums.withColumn("carried", F.coalesce(F.lag("after").over(ahead), F.lit(0)))
+    sums = sums.withColumn("begun", F.when(F.col("carried") == 0, F.col("begun_0")).otherwise(F.col("begun_1")))
+    sums = materialize(sums.select(
+        "source_file", "block", "carried", "after",
+        F.coalesce(F.sum("begun").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")), "statement-odd-splits")
     ends = sums.groupBy("source_file").agg((F.max_by("after", "block") == 1).alias("open_end"))
     closed = ends.where("NOT open_end").select("source_file")
 
-    lines = lines.join(sums.select("source_file", "block", "carried"), ["source_file", "block"]).join(closed, "source_file", "left_semi")
-    lines = lines.withColumn("open_after", F.when(F.col("last_set").isNotNull(), known).otherwise(F.pmod(F.col("carried") + F.col("swaps"), F.lit(2))))
-    lines = lines.withColumn("open_before", F.coalesce(F.lag("open_after").over(inside), F.col("carried")))
-    lines = lines.where(~((F.col("open_before") == 0) & (F.col("open_after") == 0) & _blank(F.col("value"))))
-    begins = (F.col("open_before") == 0).cast("int")
-    counts = lines.groupBy("source_file", "block").agg(F.sum(begins).alias("begun"))
-    counts = counts.select("source_file", "block", F.coalesce(F.sum("begun").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    lines = lines.withColumn("within", F.sum(begins).over(running)).join(counts, ["source_file", "block"])
-    lines = lines.withColumn("rec_no", (F.col("before") + F.col("within")).cast("bigint"))
+    splits = sums.join(closed, "source_file", "left_semi").select("source_file", "block", "carried", "before")
+    held = lambda x: F.when(F.col("carried") == 0, F.col(f"{x}_0")).otherwise(F.col(f"{x}_1"))
+    lines = lines.join(splits, ["source_file", "block"]).where(~held("skip")).select(
+        "source_file", "block", "at", "part", "value", "breaks", held("before").alias("open_before"), held("after").alias("open_after"),
+        (F.col("before") + held("begun")).cast("bigint").alias("rec_no"))
     whole = (F.col("open_before") == 0) & (F.col("open_after") == 0)
     single = lines.where(whole).select("source_file", "rec_no", "value")
     piece = F.struct("block", "at", "part", F.when(F.col("breaks"), F.concat("value", F.lit("\n"))).otherwise(F.col("value")).alias("value"))

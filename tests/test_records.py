@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions.dates import DATE_FORMATS, date_format_bits, lowest_bit, parse_date_as
+from tallyspark.sources import records as records_module
 from tallyspark.sources import statements
 from tallyspark.sources.records import leaves_open, list_files, read_records, record_fields, text_lines
 from tallyspark.sources.statements import ingest_statements, read_statements
@@ -54,6 +55,53 @@ def test_quoted_breaks_over_split_borders(spark, small_splits):
     assert {k: [v[i + 1] for i in range(len(v))] for k, v in got.items()} == want
 
 
+def test_blank_lines_beside_records_and_inside_fields_over_split_borders(spark, small_splits):
+    rng, folder, want = random.Random(11), tempfile.mkdtemp(prefix="rec-"), {}
+    for k in range(3):
+        rows, text = [["Date", "Description", "Amount"]], "\n \nDate,Description,Amount\n"
+        for i in range(30):
+            note = f"row {i}" + "".join(rng.choice(["\n", "\n\n", "\n  \n", '"', "\r", " x" * 20]) for _ in range(rng.randint(0, 5)))
+            rows.append(["2026-01-05", note, str(i)])
+            text += '2026-01-05,"' + note.replace('"', '""') + f'",{i}\n' + rng.choice(["", "", "\n", "\t\n\n"])
+        _write(folder, f"f{k}.csv", text)
+        want[f"f{k}.csv"] = rows
+    got = {}
+    for r in read_records(spark, [folder]).odd.select("source_file", "rec_no", record_fields(F.col("value")).alias("f")).collect():
+        got.setdefault(os.path.basename(r["source_file"]), {})[r["rec_no"]] = r["f"]
+    assert {k: [v[i + 1] for i in range(len(v))] for k, v in got.items()} == want
+
+
+def test_lines_of_odd_files_are_sorted_only_once(spark, monkeypatch):
+    """Lines are put in order by one shuffle for the sums of their splits; the records need none but that of their pieces."""
+    folder, plans, write = tempfile.mkdtemp(prefix="rec-"), {}, records_module.materialize
+    _write(folder, "a.csv", 'Date,Description,Amount\n2026-01-05,"x\ny",1\n')
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+    monkeypatch.setattr(records_module, "materialize", kept)
+    assert [r["value"] for r in read_records(spark, [folder]).odd.orderBy("rec_no").collect()] == ["Date,Description,Amount", '2026-01-05,"x\ny",1']
+    assert "Window" in plans["statement-odd-lines"]
+    assert "Window" not in plans["statement-odd-records"]
+
+
+def test_many_folders_are_listed_by_a_bounded_number_of_tasks(spark):
+    folder, key = tempfile.mkdtemp(prefix="rec-"), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    for i in range(300):
+        os.mkdir(os.path.join(folder, f"n={i}"))
+        _write(folder, f"n={i}/a.csv", "Date,Description,Amount\n")
+    sc, given = spark.sparkContext, spark.conf.get(key)
+    most = max(200, 4 * sc.defaultParallelism)
+    for name, run in (("list", lambda: list_files(spark, [folder])), ("lines", lambda: text_lines(spark, [folder], (".csv",)))):
+        sc.setJobGroup(f"listing-{name}", "")
+        df = run()
+        sc.setJobGroup("other", "")
+        assert df.select("source_file").distinct().count() == 300
+        stages = [s for j in sc.statusTracker().getJobIdsForGroup(f"listing-{name}") for s in sc.statusTracker().getJobInfo(j).stageIds]
+        assert stages and max(sc.statusTracker().getStageInfo(s).numTasks for s in stages) <= most < 300
+    assert spark.conf.get(key) == given
+
+
 def test_plain_files_are_read_by_many_tasks_without_a_shuffle(spark, small_splits):
     folder = tempfile.mkdtemp(prefix="rec-")
     _write(folder, "p.csv", "Date,Description,Amount\n" + "".join(f"2026-01-05,plain {i},{i}\n" for i in range(300)))
