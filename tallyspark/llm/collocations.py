@@ -11,10 +11,15 @@ is counted there and nowhere else, once per entry, weighted by the entry's uses.
 
 Phrases are counted by growing length. One of k words can only be frequent if
 both of its parts of k-1 words are, so the dictionary is scanned with a bit set
-of the frequent parts' hashes, and only phrases that pass go to the exact
-count. The bit set has 16 bits a frequent part, at most 2 to the power of
-``MOST_BITS`` (32 MB); false
-hits cost counting and change nothing. It is the only thing that is broadcast.
+of the frequent parts' hashes. What passes is summed by hash: a batch's sorted
+hashes and their counts go out as one row of packed numbers for each range of
+hashes, so the shuffle moves few rows however many phrases there are. A hash of
+too small a sum has no frequent phrase. The last scan counts the phrases
+themselves, letting through only those whose hash is known as frequent (for the
+longest: the hashes of its parts); this count is the exact one. A bit set has 16
+bits a frequent hash, at most 2 to the power of ``MOST_BITS`` (32 MB); equal
+hashes and false hits cost counting and change nothing. The bit sets are all
+that is broadcast.
 
 A candidate's score is its count against what its two halves would give by
 chance, at the weakest of its cuts. Candidates that nearly only occur inside
@@ -28,17 +33,16 @@ piece without a trigger is one chunk. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.llm.common import text_struct
 from tallyspark.session import drop_staged, materialize, ship_package
 
 #: Longest phrase, words that chunks overlap by, mean words from trigger to trigger.
@@ -52,13 +56,19 @@ MOST_BITS = 28
 SLICE = 500
 #: Bytes of chunks whose phrases are counted together before they leave a task.
 BATCH_BYTES = 8 << 20
+#: Words, of all texts, for each range of hashes; a range is summed at once, 16 bytes or less a word.
+RANGE_WORDS = 1 << 20
+#: Longer words, in bytes, are hashed one by one.
+LONG_WORD = 64
 
 # What ends a piece.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-BREAK = bytes(10 if c in BREAKS else c for c in bytes(range(256)).lower())
+BREAK = bytes(10 if c in BREAKS else 32 if c == 9 else c for c in bytes(range(256)).lower())
 #: floor(1000 * a * n / (l * r)); the products are decimals of 38 digits, the result is at most 1000 * n / min_count.
 SCORE = "(CAST(1000 * a AS DECIMAL(19, 0)) * CAST(n AS DECIMAL(19, 0))) DIV (CAST(l AS DECIMAL(19, 0)) * CAST(r AS DECIMAL(19, 0)))"
 MIX, LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: The first 0 to 8 of eight bytes.
+KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -66,6 +76,23 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.array([digest(w) for w in words], dtype=np.uint64)
 
 
+def hashes_at(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each of the words data[begins:ends], eight bytes at a time. Unequal words may share one."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - begins
+    out = size.astype(np.uint64) * LAST
+    which = slice(None)
+    for i in range(0, min(int(size.max(initial=0)), LONG_WORD), 8):
+        if i:
+            which = np.flatnonzero(size > i)
+        x = (out[which] ^ (eight[begins[which] + i] & KEEP[np.minimum(size[which] - i, 8)])) * MIX
+        out[which] = x ^ (x >> np.uint64(29))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[begins[i] : ends[i]].tobytes())
+    return out * LAST
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k values from each place on (fewer at the end: not of use)."""
     out = h.copy()
@@ -76,27 +103,30 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
 
 def parse(texts: list[str | None], overlap: int = OVERLAP, spacing: int = SPACING) -> Iterator[tuple[int, str, int]]:
     """(number of the text, chunk, words of its overlap) of every chunk of every text."""
-    words, begins, owner = [], [], []  # of the pieces
-    for t, text in enumerate(texts):
-        for piece in (text or "").encode().translate(BREAK).split(b"\n"):
-            found = piece.split()  # of white space only spaces and tabs are left
-            if found:
-                begins.append(len(words))
-                owner.append(t)
-                words += found
-    if not words:
+    plain = [(t or "").encode().translate(BREAK) for t in texts]
+    plain = [re.sub(b"  +", b" ", t) if b"  " in t else t for t in plain]
+    joined_texts = b"\n".join(plain)
+    data = np.frombuffer(joined_texts, np.uint8)
+    solid = np.zeros(len(data) + 2, np.int8)
+    solid[1:-1] = (data != 32) & (data != 10)
+    edges = np.diff(solid)
+    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)  # bytes of each word
+    if not len(first):
         return
-    ends = np.array(begins[1:] + [len(words)])
-    trigger = (rolling(hashes(words), overlap) >> np.uint64(32)) % np.uint64(spacing) == 0
+    line = np.searchsorted(np.flatnonzero(data == 10), first)
+    begins = np.flatnonzero(np.diff(line, prepend=-1))  # words that begin a piece
+    ends = np.append(begins[1:], len(first))
+    trigger = (rolling(hashes_at(data, first, last), overlap) >> np.uint64(32)) % np.uint64(spacing) == 0
+    trigger[begins] = False
     at = np.flatnonzero(trigger)
-    piece = np.searchsorted(begins, at, side="right") - 1
-    at = at[at + overlap <= ends[piece]]  # the window lies in one piece
-    starts = np.union1d(at, begins)
-    piece = np.searchsorted(begins, starts, side="right") - 1
-    stops = np.append(starts[1:], len(words))  # the piece's end or the next chunk's start
-    reach = np.minimum(stops + overlap, ends[piece])
-    for a, stop, b, p in zip(starts.tolist(), stops.tolist(), reach.tolist(), piece.tolist()):
-        yield owner[p], b" ".join(words[a:b]).decode(), b - stop
+    at = at[at + overlap <= ends[np.searchsorted(begins, at, side="right") - 1]]  # the window lies in one piece
+    starts = np.sort(np.append(at, begins), kind="stable")
+    stops = np.append(starts[1:], len(first))  # the piece's end or the next chunk's start
+    reach = np.minimum(stops + overlap, ends[np.searchsorted(begins, starts, side="right") - 1])
+    text_begins = np.cumsum([0] + [len(t) + 1 for t in plain[:-1]])
+    owner = np.searchsorted(text_begins, first[starts], side="right") - 1
+    for t, a, b, tail in zip(owner.tolist(), first[starts].tolist(), last[reach - 1].tolist(), (reach - stops).tolist()):
+        yield t, joined_texts[a:b].decode(), tail
 
 
 def chunk_dictionary(docs: DataFrame, lang: str = "lang", text: str = "text", overlap: int = OVERLAP, spacing: int = SPACING) -> DataFrame:
@@ -120,29 +150,18 @@ def chunk_dictionary(docs: DataFrame, lang: str = "lang", text: str = "text", ov
 
 def count_words(dictionary: DataFrame) -> DataFrame:
     """(lang, phrase, f) of all words."""
-    owned = F.slice(F.split("chunk", " "), F.lit(1), F.col("words") - F.col("tail"))
-    return dictionary.select("lang", F.explode(owned).alias("phrase"), "uses").groupBy("lang", "phrase").agg(F.sum("uses").alias("f"))
-
+    return exact_counts(dictionary, {}, [1], 1)
 
-def place(combined: np.ndarray, lang: np.ndarray, bits: int) -> np.ndarray:
-    """Where the bit of a phrase stands, of 2 ** bits."""
-    return ((combined ^ lang) * LAST) >> np.uint64(64 - bits)
 
+def place(key: np.ndarray, bits: int) -> np.ndarray:
+    """Where the bit of a key stands, of 2 ** bits."""
+    return (key >> np.uint64(64 - bits)).astype(np.int64)
 
-def bit_set(frequent: DataFrame, k: int, most_bits: int = MOST_BITS) -> tuple[np.ndarray, int]:
-    """The bits of all frequent phrases of k words, and their number as a power of two."""
-    bits = min(most_bits, max(15, (16 * frequent.count()).bit_length()))
-    ship_package(frequent.sparkSession)
 
-    def make():
-        def batch(rows: list) -> dict:
-            words = [w for r in rows for w in r["phrase"].encode().split(b" ")]
-            langs = hashes([r["lang"].encode() for r in rows])
-            return {"at": place(rolling(hashes(words), k)[::k], langs, bits).astype(np.int64)}
-
-        return batch
-
-    at = frequent.select((text_struct(make, "at long")(F.struct("lang", "phrase"))["at"] + 1).alias("at"))  # Spark's bit maps count from 1
+def bit_set(keys: DataFrame, most_bits: int = MOST_BITS) -> tuple[np.ndarray, int]:
+    """The bits of all keys (column ``key``), and their number as a power of two."""
+    bits = min(most_bits, max(15, (16 * keys.count()).bit_length()))
+    at = keys.select((F.shiftrightunsigned("key", 64 - bits) + 1).alias("at"))  # Spark's bit maps count from 1
     blocks = at.groupBy(F.expr("bitmap_bucket_number(at)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bitmap"))
     out = np.zeros((1 << bits) >> 3, dtype=np.uint8)
     for r in blocks.collect():  # at most 2 ** bits / 32768 rows of 4 KB
@@ -150,21 +169,136 @@ def bit_set(frequent: DataFrame, k: int, most_bits: int = MOST_BITS) -> tuple[np
     return out, bits
 
 
-def count_phrases(dictionary: DataFrame, frequent: DataFrame, k: int, min_count: int = MIN_COUNT, most_bits: int = MOST_BITS) -> DataFrame:
-    """(lang, phrase, f) of the phrases of k words with f >= min_count; ``frequent`` are those of k - 1 words."""
-    table, bits = bit_set(frequent, k - 1, most_bits)
-    shared = dictionary.sparkSession.sparkContext.broadcast(table)
+class Words:
+    """The words of some chunks (lang, chunk, tail, uses): their bytes, hashes, and places in the chunks."""
+
+    def __init__(self, chunks: pa.Table):
+        column = lambda i, kind: pa.concat_arrays([c.cast(kind) for c in chunks.column(i).chunks] or [pa.array([], kind)])
+        text, self.langs = column(1, pa.large_binary()), column(0, pa.large_string()).dictionary_encode()
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        data = text.buffers()[2]
+        self.data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(text) else np.zeros(0, np.uint8)
+        of_chunk = offsets[:-1] - offsets[0]
+        begin = np.zeros(len(self.data) + 1, bool)
+        begin[1:] = self.data == 32  # words are joined by one space
+        begin[of_chunk] = True
+        self.begins = np.flatnonzero(begin[: len(self.data)])
+        first = np.searchsorted(self.begins, of_chunk)
+        sizes = np.diff(first, append=len(self.begins))
+        self.ends = np.append(self.begins[1:] - 1, len(self.data))
+        self.ends[first[1:] - 1] += 1  # no space follows a chunk
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.left = np.repeat(first + sizes, sizes) - np.arange(len(self.begins))  # words from here to the end of the chunk
+        self.owned = self.left > column(2, pa.int64()).to_numpy()[self.row]  # not begun in the overlap
+        self.uses = column(3, pa.int64()).to_numpy()
+        self.lang = self.langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.hashed = hashes_at(self.data, self.begins, self.ends)
+        self.salt = hashes(self.langs.dictionary.cast(pa.large_binary()).to_pylist())[self.lang][self.row]
+
+    def keys(self, k: int) -> np.ndarray:
+        """A key of the language and the k words from each word on (not of use where the chunk ends sooner)."""
+        return (rolling(self.hashed, k) ^ self.salt) * LAST
+
+    def known(self, k: int, table: np.ndarray, bits: int) -> np.ndarray:
+        """Whether the bit of the k words from each word on is set."""
+        at = place(self.keys(k), bits)
+        return ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+    def possible(self, k: int, sets: dict[int, tuple[np.ndarray, int]]) -> np.ndarray:
+        """Words that begin a phrase of k words that may be frequent, by the sets of frequent keys of k or of k - 1 words."""
+        ok = self.owned & (self.left >= k)
+        if k in sets:
+            ok &= self.known(k, *sets[k])
+        elif k - 1 in sets:
+            part = self.known(k - 1, *sets[k - 1])
+            ok[:-1] &= part[:-1] & part[1:]
+        return np.flatnonzero(ok)
+
+    def packed(self, k: int, sets: dict[int, tuple[np.ndarray, int]], range_bits: int) -> pa.RecordBatch:
+        """(range, keys, counts): the possible phrases' keys and uses, one row for each range of keys."""
+        at = self.possible(k, sets)
+        keys, counts = summed(self.keys(k)[at], self.uses[self.row[at]])
+        edges = np.arange(1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits) if range_bits else np.zeros(1, np.uint64)
+        cuts = np.append(np.searchsorted(keys, edges), len(keys))
+        filled = np.flatnonzero(np.diff(cuts))
+        offsets = pa.py_buffer((np.append(cuts[filled], len(keys)) * 8).astype(np.int32))
+        numbers = [pa.Array.from_buffers(pa.binary(), len(filled), [None, offsets, pa.py_buffer(x)]) for x in (keys, counts)]
+        return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), *numbers], names=["range", "keys", "counts"])
+
+    def phrases(self, k: int, sets: dict[int, tuple[np.ndarray, int]]) -> pa.RecordBatch:
+        """(lang, phrase, f) of the possible phrases themselves."""
+        at = self.possible(k, sets)
+        begins = self.begins[at]
+        offsets = np.append(0, np.cumsum(self.ends[at + k - 1] - begins))
+        data = self.data[np.repeat(begins - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])]
+        text = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        number = text.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(self.langs.dictionary)) + self.lang[self.row[at]]
+        number, f = summed(number, self.uses[self.row[at]])
+        of_text, of_lang = np.divmod(number, max(1, len(self.langs.dictionary)))
+        lang, phrase = self.langs.dictionary.take(pa.array(of_lang)), text.dictionary.take(pa.array(of_text))
+        return pa.RecordBatch.from_arrays([lang.cast(pa.string()), phrase.cast(pa.string()), pa.array(f)], names=["lang", "phrase", "f"])
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of the counts of each."""
+    if not len(keys):
+        return keys, counts[:0]
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
+def frequent_keys(dictionary: DataFrame, sets: dict[int, tuple[np.ndarray, int]], k: int, min_count: int, range_bits: int) -> DataFrame:
+    """(key, f) of the keys of k words that f >= min_count phrases have in all; ``sets`` holds those of k - 1 words."""
+    shared = dictionary.sparkSession.sparkContext.broadcast(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in joined(batches):
+            yield Words(part).packed(k, shared.value, range_bits)
+
+    def add(part: pa.Table) -> pa.Table:
+        numbers = [np.concatenate([np.frombuffer(x, kind) for x in part.column(i).to_pylist()]) for i, kind in ((1, np.uint64), (2, np.int64))]
+        keys, f = summed(*numbers)
+        often = f >= min_count
+        return pa.table({"key": keys[often].view(np.int64), "f": f[often]})
+
+    rows = dictionary.where(F.col("words") >= k).select("lang", "chunk", "tail", "uses").mapInArrow(run, "range int, keys binary, counts binary")
+    out = materialize(rows.groupBy("range").applyInArrow(add, "key long, f long"), f"collocations-keys-{k}")
+    shared.unpersist()
+    return out
+
+
+def exact_counts(dictionary: DataFrame, sets: dict[int, tuple[np.ndarray, int]], sizes: list[int], min_count: int) -> DataFrame:
+    """(lang, phrase, f) of the phrases of so many words with f >= min_count, among those that ``sets`` let through."""
+    ship_package(dictionary.sparkSession)
+    shared = dictionary.sparkSession.sparkContext.broadcast(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in joined(batches):
-            yield phrases_of(part, k, shared.value, bits)
+            words = Words(part)
+            for k in sizes:
+                yield words.phrases(k, shared.value)
 
-    rows = dictionary.where(F.col("words") >= k).select("lang", "chunk", "tail", "uses").mapInArrow(run, "lang string, phrase string, f long")
-    out = materialize(rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), f"collocations-{k}")
+    rows = dictionary.where(F.col("words") >= min(sizes)).select("lang", "chunk", "tail", "uses").mapInArrow(run, "lang string, phrase string, f long")
+    out = materialize(rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), "collocations-phrases")
     shared.unpersist()
     return out
 
 
+def count_phrases(dictionary: DataFrame, frequent: DataFrame, k: int, min_count: int = MIN_COUNT, most_bits: int = MOST_BITS) -> DataFrame:
+    """(lang, phrase, f) of the phrases of k words with f >= min_count; ``frequent`` (lang, phrase) are those of k - 1 words."""
+    ship_package(dictionary.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in joined(batches):
+            words = Words(part)
+            yield pa.RecordBatch.from_arrays([pa.array(words.keys(k - 1)[words.left == k - 1].view(np.int64))], names=["key"])
+
+    keys = frequent.select("lang", "phrase", F.lit(0).alias("tail"), F.lit(1).cast("long").alias("uses")).mapInArrow(run, "key long")
+    return exact_counts(dictionary, {k - 1: bit_set(keys, most_bits)}, [k], min_count)
+
+
 def joined(batches: Iterator[pa.RecordBatch], least_bytes: int = BATCH_BYTES) -> Iterator[pa.Table]:
     """Batches put together until they hold so many bytes."""
     held: list[pa.RecordBatch] = []
@@ -177,34 +311,6 @@ def joined(batches: Iterator[pa.RecordBatch], least_bytes: int = BATCH_BYTES) ->
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def phrases_of(chunks: pa.Table, k: int, known: np.ndarray, bits: int) -> pa.RecordBatch:
-    """(lang, phrase, f): the phrases of k words of some chunks, of which both parts of k - 1 words may be frequent."""
-    column = lambda i: pa.concat_arrays(chunks.column(i).chunks) if chunks.num_rows else chunks.column(i).combine_chunks()
-    lists = pc.split_pattern(column(1), " ")
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    coded, langs = lists.flatten().dictionary_encode(), column(0).dictionary_encode()
-    words, of_lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), langs.indices.to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    left = np.cumsum(sizes)[row] - np.arange(len(words))  # words from here to the end of the chunk
-    hashed = hashes(coded.dictionary.cast(pa.binary()).to_pylist())
-    hashed_lang = hashes(langs.dictionary.cast(pa.binary()).to_pylist())
-    at = place(rolling(hashed[words], k - 1), hashed_lang[of_lang][row], bits)
-    part = (known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-    ok = (left >= k) & (left > column(2).to_numpy()[row])  # whole, and not begun in the overlap
-    ok[:-1] &= (part[:-1] & part[1:]).astype(bool)
-    first = np.flatnonzero(ok)
-    # Equal phrases get equal numbers, word by word: never more than (phrases so far) x (words).
-    number = of_lang[row[first]].astype(np.int64)
-    for j in range(k):
-        number = np.unique(number * len(hashed) + words[first + j], return_inverse=True)[1]
-    _, one, number = np.unique(number, return_index=True, return_inverse=True)
-    f = np.bincount(number, weights=column(3).to_numpy()[row[first]], minlength=len(one)).astype(np.int64)
-    first = first[one]
-    parts = [coded.dictionary.take(pa.array(words[first + j])) for j in range(k)]
-    lang = langs.dictionary.take(pa.array(of_lang[row[first]]))
-    return pa.RecordBatch.from_arrays([lang, pc.binary_join_element_wise(*parts, " "), pa.array(f)], names=["lang", "phrase", "f"])
-
-
 def first_words(n: str) -> Column:
     return F.expr(f"substring_index(phrase, ' ', {n})")
 
@@ -216,17 +322,16 @@ def last_words(n: str) -> Column:
 def collocations(docs: DataFrame, *, lang: str = "lang", text: str = "text", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, most: int = MOST, inside_percent: int = INSIDE_PERCENT, spacing: int = SPACING, most_bits: int = MOST_BITS) -> DataFrame:
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     dictionary = materialize(chunk_dictionary(docs, lang, text, max_words - 1, spacing), "collocations-chunks")
-    words = materialize(count_words(dictionary), "collocations-words")
-    levels = [words.where(F.col("f") >= min_count)]
-    for k in range(2, max_words + 1):
-        levels.append(count_phrases(dictionary, levels[-1], k, min_count, most_bits))
+    sizes = materialize(dictionary.groupBy("lang").agg(F.sum(F.col("uses") * (F.col("words") - F.col("tail"))).alias("n")), "collocations-sizes")
+    range_bits = ((sizes.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS).bit_length()
+    sets: dict[int, tuple[np.ndarray, int]] = {}
+    for k in range(1, max_words):
+        keys = frequent_keys(dictionary, {k - 1: sets[k - 1]} if k > 1 else {}, k, min_count, range_bits)
+        sets[k] = bit_set(keys, most_bits)
+        drop_staged(keys)
+    known = exact_counts(dictionary, sets, list(range(1, max_words + 1)), min_count).withColumn("k", F.size(F.split("phrase", " ")))
     drop_staged(dictionary)
-    phrases = [level.withColumn("k", F.lit(k)) for k, level in enumerate(levels, 1)]
-    known, candidates = phrases[0], phrases[1]
-    for p in phrases[1:]:
-        known = known.unionByName(p)
-    for p in phrases[2:]:
-        candidates = candidates.unionByName(p)
+    candidates = known.where(F.col("k") > 1)
     held = [candidates.where(F.col("k") > j).select("lang", F.explode(parts_of(j)).alias("phrase"), F.col("f").alias("longer")) for j in range(2, max_words)]
     inside = held[0]
     for h in held[1:]:
@@ -237,7 +342,6 @@ def collocations(docs: DataFrame, *, lang: str = "lang", text: str = "text", max
     cuts = cuts.withColumns({"first": first_words("j"), "rest": last_words("k - j")})
     part = lambda name, count: known.select("lang", F.col("phrase").alias(name), F.col("f").alias(count))
     cuts = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"])
-    sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
     cuts = cuts.join(sizes, "lang").withColumn("score", F.expr(SCORE))
     weakest = cuts.groupBy("lang", "phrase").agg(F.min_by(F.struct("a", "l", "r", "n", "score"), F.struct("score", "j")).alias("c")).select("lang", "phrase", "c.*")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

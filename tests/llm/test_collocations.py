@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tallyspark.llm import collocations as col
 
@@ -103,3 +104,64 @@ def test_empty_and_too_few(spark):
 def test_rolling_hash_is_of_the_window():
     h = np.arange(20, dtype=np.uint64)
     assert (col.rolling(h, 3)[4:5] == col.rolling(h[4:7], 3)[:1]).all()
+
+
+def test_parsing_hashes_words_together(monkeypatch):
+    """Not one call for each word, of which there are as many as the input has."""
+    calls = []
+    digest = col.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(col.xxhash, "xxh3_64_intdigest", lambda w: calls.append(w) or digest(w))
+    assert sum(1 for _ in col.parse([t for _, t in corpus(40)])) > 40
+    assert not calls
+    assert [c for _, c, _ in col.parse(["a " + "b" * 100])] == ["a " + "b" * 100] and len(calls) == 1
+
+
+def test_a_word_has_one_hash_wherever_it_stands():
+    words = [("abcdefgh" * 20)[:n] for n in range(1, 161)] + ["é", "éa", "日本語", "日本語日本語", "a\x00", "a\x00\x00"]
+    for joined_by in (" ", "  .", "\n"):
+        data = joined_by.join(words + words[::-1]).encode()
+        begins, at = [], 0
+        for w in words + words[::-1]:
+            begins.append(data.index(w.encode(), at))
+            at = begins[-1] + len(w.encode())
+        sizes = [len(w.encode()) for w in words + words[::-1]]
+        h = col.hashes_at(np.frombuffer(data, np.uint8), np.array(begins), np.array(begins) + np.array(sizes))
+        assert (h == h[::-1]).all() and len(set(h.tolist())) == len(words)
+
+
+def dictionary_of(docs):
+    uses = Counter((lang or "und", c, tail) for lang, t in docs for _, c, tail in col.parse([t], 4, 3))
+    langs, chunks, tails = zip(*uses) if uses else ((), (), ())
+    return pa.table([pa.array(langs, pa.string()), pa.array(chunks, pa.string()), pa.array(tails, pa.int32()), pa.array(list(uses.values()), pa.int64())], names=["lang", "chunk", "tail", "uses"])
+
+
+def test_counts_leave_a_task_as_one_row_a_range():
+    """Every phrase's count is in it, however many phrases there are."""
+    for docs in (corpus(60), []):
+        words = col.Words(dictionary_of(docs))
+        for k in (1, 2, 5):
+            want = Counter((lang or "und", tuple(w[i : i + k])) for lang, t in docs for w in pieces_of(t) for i in range(len(w) - k + 1))
+            for bits in (0, 3):
+                rows = words.packed(k, {}, bits).to_pylist()
+                assert len(rows) <= 2**bits and all(r["keys"] for r in rows)
+                keys, counts = (np.concatenate([np.zeros(0, t)] + [np.frombuffer(r[c], t) for r in rows]) for c, t in (("keys", np.uint64), ("counts", np.int64)))
+                assert sorted(counts.tolist()) == sorted(want.values()) and (np.diff(keys) > 0).all()
+                assert all((np.frombuffer(r["keys"], np.uint64) >> np.uint64(61) == r["range"]).all() for r in rows) or not bits
+            assert {(r["lang"], tuple(r["phrase"].split(" "))): r["f"] for r in words.phrases(k, {}).to_pylist()} == want
+
+
+def test_equal_hashes_leave_the_count_exact(monkeypatch):
+    docs = corpus(60)
+    monkeypatch.setattr(col, "hashes_at", lambda data, begins, ends: np.zeros(len(begins), np.uint64))
+    words = col.Words(dictionary_of(docs))
+    every = np.full(1 << 12, 255, np.uint8), 15
+    for sets in ({}, {2: every}, {1: every}):
+        want = Counter((lang or "und", " ".join(w[i : i + 2])) for lang, t in docs for w in pieces_of(t) for i in range(len(w) - 1))
+        assert {(r["lang"], r["phrase"]): r["f"] for r in words.phrases(2, sets).to_pylist()} == want
+
+
+def test_many_ranges_of_hashes(spark, monkeypatch):
+    docs = corpus()
+    monkeypatch.setattr(col, "RANGE_WORDS", 500)
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(3)
+    assert rows_of(col.collocations(df, min_count=20)) == plain(docs, 20)
